@@ -45,16 +45,25 @@ FAR = r"(?i)\b(?:version|release|order|invoice|isbn|issn|doi|sku|part|serial|bui
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, value>> of all matches; offsets count code points, ends are exclusive."""
+    """array<struct<start, end, value, before, left, right>> of all matches; offsets count code points, ends are exclusive.
+
+    before: up to BEFORE characters since the match before; left and right: the neighbouring ones.
+    """
+    kind = "struct<start:int,end:int,value:string,before:string,left:string,right:string>"
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    pairs = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("gap"), found.alias("value"))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
-    step = lambda acc, p: F.struct(
-        (acc.at + p["gap"] + F.length(p["value"])).alias("at"),
-        F.concat(acc.out, F.array(F.struct((acc.at + p["gap"]).alias("start"), (acc.at + p["gap"] + F.length(p["value"])).alias("end"), p["value"].alias("value")))).alias("out"),
-    )
-    return F.when(F.size(found) > 0, F.aggregate(pairs, empty, step, lambda acc: acc.out)).otherwise(empty["out"])
+    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.struct(F.length(g).alias("n"), F.substring(g, -BEFORE, BEFORE).alias("tail"), F.substring(g, 1, 1).alias("head")))
+    n = F.size(found)
+    rows = F.arrays_zip(F.slice(gaps, F.lit(1), n).alias("gap"), found.alias("value"), F.slice(gaps, F.lit(2), n).alias("next"))
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("last"), F.array().cast(f"array<{kind}>").alias("out"))
+
+    def step(acc, r):
+        gap, value = r["gap"], r["value"]
+        begin = acc.at + gap["n"]
+        left = F.when(gap["n"] > 0, F.substring(gap["tail"], -1, 1)).otherwise(acc["last"])
+        one = F.struct(begin.alias("start"), (begin + F.length(value)).alias("end"), value.alias("value"), gap["tail"].alias("before"), left.alias("left"), r["next"]["head"].alias("right"))
+        return F.struct((begin + F.length(value)).alias("at"), F.substring(value, -1, 1).alias("last"), F.concat(acc.out, F.array(one)).alias("out"))
+
+    return F.aggregate(rows, start, step, lambda acc: acc.out)
 
 
 def digits(value: Column) -> Column:
@@ -80,7 +89,7 @@ def gazetteer(kind: Column, value: Column) -> Column:
     """1, 0 or -1 by lists of known prefixes, networks and domains."""
     d = digits(value)
     return (
-        F.when(kind.isin("email", "email_like"), F.when(F.lower(F.regexp_extract(value, r"([A-Za-z0-9-]+)$", 1)).isin(DOMAINS), 1).otherwise(0))
+        F.when(kind.isin("email", "email_like"), F.when(F.lower(F.substring_index(F.substring_index(F.regexp_replace(value, r"[ )\]]", "."), ".", -1), "@", -1)).isin(DOMAINS), 1).otherwise(0))
         .when(kind == "ip", F.when(value.rlike(r"^(?:0|127|255)\.|^(?:22[4-9]|23[0-9]|24[0-9]|25[0-5])\.|^[0-9]\.[0-9]\.[0-9]\.[0-9]$"), 0).otherwise(1))
         .when(kind.isin("card", "card_like"), F.when(d.rlike("^(?:4|5[1-5]|2[2-7]|3[47]|6(?:011|5))"), 1).otherwise(0))
         .when(kind.isin("phone", "phone_like"), F.when(d.rlike("^(?:0|1[01]|[01]{3})"), 0).otherwise(1))
@@ -88,14 +97,12 @@ def gazetteer(kind: Column, value: Column) -> Column:
     )
 
 
-def described(text: Column, kind: str, spans: Column, base: bool) -> Column:
+def described(kind: str, spans: Column, base: bool) -> Column:
     """Votes and features of each span."""
     name = F.lit(kind)
 
     def one(s):
-        value, start = s["value"], s["start"]
-        before = F.substring(text, F.greatest(start - BEFORE + 1, F.lit(1)), F.least(start, F.lit(BEFORE)))
-        left, right = F.substring(text, start, F.when(start > 0, 1).otherwise(0)), F.substring(text, s["end"] + 1, F.lit(1))
+        value, start, before, left, right = (s[x] for x in ("value", "start", "before", "left", "right"))
         ok = base_ok(kind, value) if base else F.lit(False)
         shown = F.when(ok, name).otherwise(F.lit({"email": "email_like", "ip": "ip_like", "card": "card_like", "phone": "phone_like"}.get(kind, kind)))
         edge = lambda c: F.when(c == "", "none").when(c.rlike(r"^\s$"), "space").when(c.rlike("^[A-Za-z0-9_]$"), "word").otherwise("mark")
@@ -126,7 +133,7 @@ def candidates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
         ("email", EMAIL, True, t.contains("@")), ("ip", IP, True, t.rlike(r"[0-9]\.[0-9]")), ("card", CARD, True, has_digits), ("phone", PHONE, True, t.contains("+")),
         ("email_like", EMAIL_LIKE, False, t.contains("(at)") | t.contains("[at]")), ("phone_like", PHONE_LIKE, False, has_digits), ("ssn_like", SSN_LIKE, False, has_digits & t.contains("-")),
     ):
-        parts.append(F.when(may & t.rlike(pattern), described(t, kind, matches(t, pattern), base).cast(f"array<{STRUCT}>")).otherwise(none))
+        parts.append(F.when(may & t.rlike(pattern), described(kind, matches(t, pattern), base).cast(f"array<{STRUCT}>")).otherwise(none))
     docs = df.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return docs.select("doc_id", F.concat(*parts).alias("spans"))
 
