@@ -36,6 +36,7 @@ from .common import documents, map_rows, materialize, schema, slices, worker_sta
 
 WORDS, NUM, DEN = 5, 3, 4
 SKETCH_BITS, SKETCH_BLOCK, FAN_IN = 22, 1 << 12, 32
+BROADCAST_IDS = 2_000_000
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -146,6 +147,12 @@ def signatures(df: DataFrame, counts: np.ndarray, key: str = "doc_id", text: str
     return map_rows(df.select(F.col(key).cast("long").alias("doc_id"), F.col(text)), make, schema("doc_id long, n_shingles long, f1 long, f2 long, common int, prefix array<long>"))
 
 
+def having(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of df whose doc_id is in ids; the ids are broadcast up to BROADCAST_IDS of 8 bytes, joined beyond."""
+    n = ids.count()
+    return df.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+
+
 def fits(a, b):
     """Sizes that allow a similarity of 0.75."""
     return (DEN * a >= NUM * b) & (DEN * b >= NUM * a)
@@ -200,16 +207,17 @@ def similar(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     sets = materialize(signatures(docs, sketch(docs)), "sets")
     classes = materialize(sets.where("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("node")), "classes")
     nodes = classes.where("node is not null").select(F.col("node").alias("doc_id"))
-    rows = sets.select("doc_id", "n_shingles", "common", "prefix").where("n_shingles > 0").join(nodes, "doc_id", "left_semi")
+    rows = sets.select("doc_id", "n_shingles", "common", "prefix").where("n_shingles > 0")
+    rows = having(rows, nodes)
     post = materialize(rows.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "common", F.posexplode("prefix").alias("at", "h"))
                        .withColumn("size_h", F.count("*").over(Window.partitionBy("h"))).where("size_h > 1").drop("size_h"), "columns")
     hub = F.first(F.struct("node", "n")).over(Window.partitionBy("h").orderBy(F.desc("common"), "node").rowsBetween(Window.unboundedPreceding, 0))
     hubs = post.withColumn("hub", hub)
     tried = hubs.where((F.col("hub.node") != F.col("node")) & fits(F.col("hub.n"), F.col("n"))).select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
     tried = materialize(tried, "tried")
-    ends = tried.select(F.col("a").alias("doc_id")).unionByName(tried.select(F.col("b").alias("doc_id"))).distinct()
+    ends = materialize(tried.select(F.col("a").alias("doc_id")).unionByName(tried.select(F.col("b").alias("doc_id"))).distinct(), "ends")
     once = lambda t: t.dropDuplicates(["doc_id"])
-    edges = materialize(linked(tried, once(docs.join(ends, "doc_id", "left_semi"))), "links")
+    edges = materialize(linked(tried, once(having(docs, ends))), "links")
     joined = components(edges)
     label = joined.withColumnRenamed("node", "l_node")
     named = post.join(label, F.col("node") == F.col("l_node"), "left").withColumn("c", F.coalesce("component", "node")).drop("l_node", "component")
@@ -224,8 +232,8 @@ def similar(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     left = found.select(F.least("node", "node_x").alias("a"), F.greatest("node", "node_x").alias("b")).distinct()
     done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     left = materialize(left.join(done, ["a", "b"], "left_anti"), "left")
-    ends = left.select(F.col("a").alias("doc_id")).unionByName(left.select(F.col("b").alias("doc_id"))).distinct()
-    more = materialize(linked(left, once(docs.join(ends, "doc_id", "left_semi"))), "links")
+    ends = materialize(left.select(F.col("a").alias("doc_id")).unionByName(left.select(F.col("b").alias("doc_id"))).distinct(), "ends")
+    more = materialize(linked(left, once(having(docs, ends))), "links")
     joined = components(edges.unionByName(more)) if more.limit(1).count() else joined
     named = classes.join(joined, classes.node == joined.node, "left").select("f1", "f2", "n_shingles", F.coalesce("component", classes.node).alias("component_id"))
     return (
