@@ -1,8 +1,4 @@
-"""Registered queries and their SQL."""
+"""Registered queries and their SQL: importing the operator modules fills the tables."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-QUERIES: dict[str, Callable] = {}
-SQL: dict[str, str] = {}
+from .operators import audit, dedup, identity, labels, scalars, spatial, windows  # noqa: F401
+from .plans.dialect import QUERIES, SQL  # noqa: F401
