@@ -167,9 +167,9 @@ def split_with_synthetic(d):
 
 @relational("topup_plan", *MA, "synthetic", more={**LABELS, "counts": counts_sql})
 def topup_plan(d):
-    """needed rows a class, dealt to its sources in turn; numbers go on after those that a source has."""
+    """Rows needed to raise each class to the largest one, dealt to its sources in turn; numbers go on after those that a source has."""
     return f"""SELECT p.digit, s.crop_id AS source_crop_id, k.i AS turn, s.used + 1 + {d.int('floor(CAST(k.i AS DOUBLE) / s.sources)')} AS aug_index
-      FROM (SELECT c.digit, greatest(0, {d.int(d.even('(SELECT sum(n) / 9.0 FROM counts)'))} - c.n - coalesce(y.n, 0)) AS needed
+      FROM (SELECT c.digit, greatest(0, {d.int(d.even('(SELECT CAST(max(n) AS DOUBLE) FROM counts)'))} - c.n - coalesce(y.n, 0)) AS needed
             FROM counts c LEFT JOIN (SELECT digit, count(*) AS n FROM synthetic GROUP BY digit) y ON y.digit = c.digit) p,
       {d.explode(0, 'greatest(p.needed - 1, 0)')} AS k(i)
       JOIN (SELECT l.digit, l.crop_id, coalesce(u.used, 0) AS used, row_number() OVER (PARTITION BY l.digit ORDER BY l.crop_id) - 1 AS at, count(*) OVER (PARTITION BY l.digit) AS sources
