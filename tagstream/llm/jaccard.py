@@ -93,12 +93,11 @@ def sketch(df: DataFrame, text: str = "text", bits: int = SKETCH_BITS) -> np.nda
     def run(batches):
         from pyspark import TaskContext
 
-        state, total, waiting = {}, np.zeros(1 << bits, np.uint32), []
+        state, total = {}, np.zeros(1 << bits, np.uint32)
         for batch in batches:
             for part in slices(batch):
-                waiting = [shingles(t, state) >> _U(64 - bits) for t in part.column(0).to_pylist()]
-                if waiting:
-                    total += np.bincount(np.concatenate(waiting).astype(np.int64), minlength=1 << bits).astype(np.uint32)
+                for t in part.column(0).to_pylist():
+                    np.add.at(total, (shingles(t, state) >> _U(64 - bits)).astype(np.int64), np.uint32(1))
         task = TaskContext.get().partitionId()
         for b in range(0, len(total), step):
             if total[b : b + step].any():
