@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +14,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 #: Rows and bytes of text that a Python worker holds as objects at once.
 SLICE_ROWS, SLICE_BYTES = 512, 4 << 20
 
-#: Rows and bytes of a batch on its way to a Python worker, in written tables.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+#: Rows and bytes of a batch on its way to a Python worker.
+BATCH_ROWS, BATCH_BYTES = 1000, "8m"
+_ROWS, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 #: A word: a run of anything but the six ASCII white-space characters.
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -33,25 +33,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-@contextmanager
-def configured(spark: SparkSession, settings: dict[str, str]):
-    """Settings that hold inside the block and go back after it."""
-    before = {k: spark.conf.get(k, None) for k in settings}
-    for k, v in settings.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+def bounded(spark: SparkSession) -> None:
+    """Set the session's batches to BATCH_ROWS rows and BATCH_BYTES at most, so that what is on its way to Python workers stays small."""
+    if int(spark.conf.get(_ROWS)) > BATCH_ROWS:
+        spark.conf.set(_ROWS, str(BATCH_ROWS))
+        spark.conf.set(_BYTES, BATCH_BYTES)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    with configured(spark, BATCH):
-        df.write.parquet(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -77,8 +70,10 @@ def _bytes(batch: pa.RecordBatch, start: int, rows: int) -> int:
 def map_rows(df: DataFrame, make, schema: T.StructType) -> DataFrame:
     """mapInArrow over df. make() runs once per task and returns f(columns) -> list of columns."""
     out = to_arrow_schema(schema)
+    bounded(df.sparkSession)
 
     def run(batches):
+        forget("packing")
         f = make()
         for batch in batches:
             for part in slices(batch):
@@ -105,3 +100,12 @@ def worker_state(kind: str, version: str) -> dict:
     if kept.get(kind, ("", {}))[0] != version:
         kept[kind] = (version, {})
     return kept[kind][1]
+
+
+def forget(kind: str) -> None:
+    """Give up what a worker keeps of a kind: the caches of one operator are no use to the next."""
+    import sys
+
+    kept = sys.modules.get("_tagstream_worker")
+    if kept is not None and kept.__dict__.pop(kind, None):
+        pa.default_memory_pool().release_unused()

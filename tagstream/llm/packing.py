@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import documents, schema, slices, worker_state
+from .common import bounded, documents, schema, slices, worker_state
 
 CAPACITY, END = 4096, 2
 VOCABULARY = "word_bpe_49k.json"
@@ -196,6 +196,7 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: int =
     rows = schema(f"{key} {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     out = to_arrow_schema(rows)
     end = np.array([END], "<u4").tobytes()
+    bounded(df.sparkSession)
 
     def run(batches):
         words = WordIds(path, worker_state("packing", path))

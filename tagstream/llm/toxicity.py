@@ -15,13 +15,14 @@ is the smoothed share of label 1 for all rows; a null doc_id is not held out.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_rows, schema
+from .common import bounded, documents, forget, map_rows, schema
 
 MAX_PER_CLASS, MAX_FEATURES, MIN_DOCS = 1500, 1 << 17, 2
 N_MIN, N_MAX, LEAST_RATIO, SMOOTH, STEPS, L2 = 3, 5, 0.7, 6.0, 150, 0.01
@@ -159,10 +160,13 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Drop the documents predicted toxic; all columns stay. The model is fitted on the documents of sf_dir."""
     model = train(spark, documents(spark, sf_dir), sf_dir)
     shared = spark.sparkContext.broadcast(model)
+    bounded(spark)
 
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        forget("packing")
         f = scorer(shared.value)
-        return pd.Series([f(t) for t in texts], dtype=float)
+        for texts in batches:
+            yield pd.Series([f(t) for t in texts], dtype=float)
 
     return docs.where(score(F.col("text")) < THRESHOLD)
