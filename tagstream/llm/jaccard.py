@@ -24,7 +24,7 @@ there are none); no rows give no rows.
 from __future__ import annotations
 
 import math
-import uuid
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import documents, map_rows, materialize, schema, slices, worker_state
+from .common import bounded, documents, forget, map_rows, materialize, schema, slices
 
 WORDS, NUM, DEN = 5, 3, 4
 SKETCH_BITS, SKETCH_BLOCK, FAN_IN = 22, 1 << 12, 32
@@ -83,16 +83,23 @@ def shingles(text: str | None, state: dict) -> np.ndarray:
     return np.unique(h)
 
 
+def squeezed(counts: np.ndarray) -> bytes:
+    """Most counts of a task are small: a few bits each."""
+    return zlib.compress(counts.tobytes(), 1)
+
+
 def sketch(df: DataFrame, text: str = "text", bits: int = SKETCH_BITS) -> np.ndarray:
     """Counts of the n-grams of all documents in 2^bits places. Tasks add up their own; blocks of
     places are then added up by FAN_IN at a time, so no group grows with the input."""
     rows = schema("task int, block int, counts binary")
     out = to_arrow_schema(rows)
     step = min(SKETCH_BLOCK, 1 << bits)
+    bounded(df.sparkSession)
 
     def run(batches):
         from pyspark import TaskContext
 
+        forget("packing")
         state, total = {}, np.zeros(1 << bits, np.uint32)
         for batch in batches:
             for part in slices(batch):
@@ -101,11 +108,11 @@ def sketch(df: DataFrame, text: str = "text", bits: int = SKETCH_BITS) -> np.nda
         task = TaskContext.get().partitionId()
         for b in range(0, len(total), step):
             if total[b : b + step].any():
-                yield pa.record_batch([pa.array([task], pa.int32()), pa.array([b // step], pa.int32()), pa.array([total[b : b + step].tobytes()], pa.binary())], schema=out)
+                yield pa.record_batch([pa.array([task], pa.int32()), pa.array([b // step], pa.int32()), pa.array([squeezed(total[b : b + step])], pa.binary())], schema=out)
 
     def add(key, table):
-        total = sum(np.frombuffer(x, np.uint32).astype(np.uint64) for x in table["counts"].to_pylist())
-        return pa.table([pa.array([key[1].as_py()], pa.int32()), pa.array([key[0].as_py()], pa.int32()), pa.array([np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes()], pa.binary())], schema=out)
+        total = sum(np.frombuffer(zlib.decompress(x), np.uint32).astype(np.uint64) for x in table["counts"].to_pylist())
+        return pa.table([pa.array([key[1].as_py()], pa.int32()), pa.array([key[0].as_py()], pa.int32()), pa.array([squeezed(np.minimum(total, 0xFFFFFFFF).astype(np.uint32))], pa.binary())], schema=out)
 
     parts = materialize(df.select(text).mapInArrow(run, rows), "sketch")
     tasks = (parts.agg(F.max("task")).first()[0] or 0) + 1
@@ -114,7 +121,7 @@ def sketch(df: DataFrame, text: str = "text", bits: int = SKETCH_BITS) -> np.nda
         parts = parts.groupBy("block", F.floor(F.col("task") / FAN_IN).cast("int").alias("upper")).applyInArrow(add, rows)
     total = np.zeros(1 << bits, np.uint32)
     for r in parts.select("block", "counts").collect():  # 2^bits places
-        total[r.block * step : (r.block + 1) * step] = np.frombuffer(r.counts, np.uint32)
+        total[r.block * step : (r.block + 1) * step] = np.frombuffer(zlib.decompress(r.counts), np.uint32)
     return total
 
 
@@ -247,11 +254,11 @@ def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, the one of the smallest doc_id; rows without doc_id stay."""
-    found = similar(docs)
-    own = materialize(found.where(F.col("component_id") == F.col("doc_id")).groupBy("doc_id").agg(F.count("*").alias("copies_")), "own")
-    one, many = (own.where(c).select(F.col("doc_id").alias("own_")) for c in ("copies_ = 1", "copies_ > 1"))
-    of = lambda ids: docs.join(ids, docs["doc_id"] == ids["own_"], "left_semi")
-    return of(one).unionByName(of(many).dropDuplicates(["doc_id"])).unionByName(docs.where(F.col("doc_id").isNull()))
+    found = similar(docs).where("doc_id is not null")
+    ids = materialize(found.groupBy("doc_id").agg(F.sum((F.col("component_id") == F.col("doc_id")).cast("int")).alias("own_")).where("own_ <> 1").select(F.col("doc_id").alias("id_"), "own_"), "verdicts")
+    few = ids.count() <= BROADCAST_IDS
+    of = lambda ids, how: docs.join(F.broadcast(ids) if few else ids, docs["doc_id"] == ids["id_"], how)
+    return of(ids, "left_anti").unionByName(of(ids.where("own_ > 1"), "left_semi").dropDuplicates(["doc_id"]))
 
 
 ORACLE = """
