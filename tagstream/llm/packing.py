@@ -28,7 +28,7 @@ from .common import bounded, documents, schema, slices, worker_state
 
 CAPACITY, END = 4096, 2
 VOCABULARY = "word_bpe_49k.json"
-_CACHE = 800_000
+_CACHE = 250_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
