@@ -2,8 +2,10 @@
 
 fit(): a bounded, documented sample of labelled documents (MAX_PER_CLASS of each class, lowest
 hashes of doc_id first) goes to the driver. Features are the character n-grams of a text's
-distinct lower-cased words, with word edges; each is scaled by its log-count ratio
-log((p/|p|) / (q/|q|)), smoothed in proportion to the classes, and weighted by logistic regression. The model holds MAX_FEATURES
+lower-cased words, with word edges; each is scaled by its log-count ratio
+log((p/|p|) / (q/|q|)), smoothed in proportion to the classes, and weighted by logistic regression. Only
+n-grams whose ratio is LEAST_Z standard errors from 0 count: a long text has thousands of n-grams whose ratios
+are chance, and their sum would hide a few telling ones. The model holds MAX_FEATURES
 n-grams at most, so what is broadcast is bounded whatever the input.
 score(): a narrow map over whole texts.
 
@@ -25,11 +27,13 @@ from pyspark.sql import functions as F
 from .common import bounded, documents, forget, map_rows, schema
 
 MAX_PER_CLASS, MAX_FEATURES, MIN_DOCS = 1500, 1 << 17, 2
-N_MIN, N_MAX, LEAST_RATIO, SMOOTH, STEPS, L2 = 3, 5, 0.7, 6.0, 150, 0.01
+N_MIN, N_MAX, LEAST_RATIO, LEAST_Z, SMOOTH, STEPS, L2 = 3, 8, 0.7, 3.5, 6.0, 150, 0.01
 THRESHOLD = 0.7
 _EDGES = " \t\n\r\x0b\x0c.,;:!?\"'()[]{}<>*#$%&|-_/\\=+~`^@"
 _BREAK = 10
 _SIEVE_BITS = 20
+#: fit() looks at the n-grams in so many ranges of their hashes, one after another, to bound the driver's memory.
+_RANGE_BITS = 4
 
 
 def edges() -> np.ndarray:
@@ -43,18 +47,15 @@ def grams(text: str | None, table: np.ndarray) -> np.ndarray:
     low = c < 128
     c[low] = table[c[low]]
     inner = c != _BREAK
-    out = []
-    for n in range(N_MIN, N_MAX + 1):
+    h, ok, out = np.full(len(c), N_MIN, np.uint64), np.ones(len(c), bool), []
+    for n in range(1, min(N_MAX, len(c)) + 1):
         m = len(c) - n + 1
-        if m <= 0:
-            break
-        ok, h = np.ones(m, bool), np.full(m, n, np.uint64)
-        for k in range(n):
-            if 0 < k < n - 1:
-                ok &= inner[k : k + m]
-            h = (h ^ c[k : k + m]) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-        out.append(h[ok])
+        h = (h[:m] ^ c[n - 1 :]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        if n > 2:
+            ok = ok[:m] & inner[n - 2 : n - 2 + m]
+        if n >= N_MIN:
+            out.append(h[ok])
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
@@ -83,35 +84,40 @@ def fit(rows: list[tuple[str | None, int]]) -> dict:
         return {"keys": np.empty(0, np.uint64), "weights": np.empty(0), "bias": base}
     table = edges()
     docs = [np.unique(grams(text, table)) for text, _ in rows]
-    keys, flat = np.unique(np.concatenate(docs), return_inverse=True)
     y = np.array([y for _, y in rows], float)
-    row = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-    p = np.bincount(flat, weights=y[row], minlength=len(keys))
-    df = np.bincount(flat, minlength=len(keys))
-    q = df - p
     s1, s0 = SMOOTH * n1 / (n0 + n1), SMOOTH * n0 / (n0 + n1)
-    ratio = np.log((p + s1) / (n1 + s1)) - np.log((q + s0) / (n0 + s0))
-    use = (df >= MIN_DOCS) & (np.abs(ratio) >= LEAST_RATIO)
-    if use.sum() > MAX_FEATURES:
-        use &= np.abs(ratio) * np.sqrt(df) >= np.partition((np.abs(ratio) * np.sqrt(df))[use], -MAX_FEATURES)[-MAX_FEATURES]
-    kept = np.flatnonzero(use)
-    place = np.full(len(keys), -1)
-    place[kept] = np.arange(len(kept))
-    on = use[flat]
-    col, row = place[flat[on]], row[on]
-    r = ratio[kept]
-    w, b = np.zeros(len(kept)), 0.0
+    found, total = [], 0
+    for k in range(1 << _RANGE_BITS):
+        own = [d[d >> np.uint64(64 - _RANGE_BITS) == k] for d in docs]
+        keys, flat = np.unique(np.concatenate(own), return_inverse=True)
+        row = np.repeat(np.arange(len(docs)), [len(d) for d in own])
+        p = np.bincount(flat, weights=y[row], minlength=len(keys))
+        df = np.bincount(flat, minlength=len(keys))
+        q = df - p
+        ratio = np.log((p + s1) / (n1 + s1)) - np.log((q + s0) / (n0 + s0))
+        use = (df >= MIN_DOCS) & (np.abs(ratio) >= np.maximum(LEAST_RATIO, LEAST_Z * np.sqrt(1 / (p + s1) + 1 / (q + s0))))
+        place = np.cumsum(use) - 1 + total
+        on = use[flat]
+        found.append((keys[use], ratio[use], (np.abs(ratio) * np.sqrt(df))[use], place[flat[on]], row[on]))
+        total += int(use.sum())
+    keys, r, strength, col, row = (np.concatenate(x) for x in zip(*found, strict=True))
+    if total > MAX_FEATURES:
+        use = np.zeros(total, bool)
+        use[np.argsort(-strength, kind="stable")[:MAX_FEATURES]] = True
+        on, place = use[col], np.cumsum(use) - 1
+        keys, r, col, row = keys[use], r[use], place[col[on]], row[on]
+    w, b = np.zeros(len(keys)), 0.0
     weight = 1 / len(y)
-    grad2, bias2 = np.full(len(kept), 1e-8), 1e-8
+    grad2, bias2 = np.full(len(keys), 1e-8), 1e-8
     for _ in range(STEPS):
         z = np.bincount(row, weights=(w * r)[col], minlength=len(docs)) + b
         err = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        g = np.bincount(col, weights=err[row], minlength=len(kept)) * r + L2 * w / len(y)
+        g = np.bincount(col, weights=err[row], minlength=len(keys)) * r + L2 * w / len(y)
         grad2 += g * g
         bias2 += err.sum() ** 2
         w -= 0.1 * g / np.sqrt(grad2)
         b -= 0.1 * err.sum() / math.sqrt(bias2)
-    return {"keys": keys[kept], "weights": w * r, "bias": float(b)}
+    return {"keys": keys, "weights": w * r, "bias": float(b)}
 
 
 def scorer(model: dict):
