@@ -2,7 +2,8 @@
 
 Every text node has a root-to-leaf tag path. Text length and punctuation are added up for each
 path and divided by its nodes; the fused ratio is smoothed over neighbouring nodes in page order
-and thresholded. The selected nodes vote for the element that holds the article, whose
+and thresholded. The smallest element that holds all selected nodes, or the article or main
+element around it, is the article, and its
 blocks are all returned, but for parts that are never article text: menus, headers and footers of the
 page, sidebars, notices, adverts, forms, scripts, styles and reader comments, known by
 element or by the words of class, id and role.
@@ -168,11 +169,12 @@ def chosen(found: list[tuple[Element, int, str]]) -> Element | None:
     if not total:
         return root
     best = root
-    while True:
-        inner = [c for c in children.get(id(best), {}).values() if c.text >= 0.7 * total and c.tag not in INLINE and c.tag not in ("p", "li", "h1", "h2", "h3", "pre")]
+    while not best.article:
+        inner = [c for c in children.get(id(best), {}).values() if c.text == total and c.tag not in INLINE and c.tag not in ("p", "li", "h1", "h2", "h3", "pre")]
         if not inner:
             return best
         best = inner[0]
+    return best
 
 
 def main_text(page: str | None) -> str:

@@ -210,6 +210,15 @@ def test_html_article():
     assert html.main_text(None) == html.main_text("<p>") == "" and html.main_text("a < b") == "a < b"
 
 
+def test_html_keeps_what_stands_beside_the_largest_part():
+    long = "A long sentence, with words and marks, to read."
+    items, paragraphs = f"<li>{long}" * 12, f"<p>{long}</p>" * 8
+    assert html.main_text(f"<article><p>First.</p><ul>{items}</ul><p>End.</p></article>") == "\n".join(["First.", *[long] * 12, "End."])
+    assert html.main_text(f"<article><h1>Title</h1><div class=body>{paragraphs}</div></article>") == "\n".join(["Title", *[long] * 8])
+    for page in ("<article><section>{}</section><section>{}</section></article>", "<body><div>{}</div><div>{}</div></body>"):
+        assert html.main_text(page.format(paragraphs, f"<p>Other. {long}</p>" * 2)) == "\n".join([long] * 8 + [f"Other. {long}"] * 2)
+
+
 def test_pipeline_stages_on_small_tables(spark):
     import corpus_pipeline
     from tagstream.llm.common import documents, materialize
