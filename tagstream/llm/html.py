@@ -6,7 +6,8 @@ and thresholded. The smallest element that holds all selected nodes, or the arti
 element around it, is the article, and its
 blocks are all returned, but for parts that are never article text: menus, headers and footers of the
 page, sidebars, notices, adverts, forms, scripts, styles and reader comments, known by
-element or by the words of class, id and role.
+element or by the head word of a class, id or role. Such a word marks neither an article nor what is
+around the longest one, and ids do not mark headings and paragraphs inside it.
 
 Cases: null html is empty; a page without such text gives an empty string; unclosed elements,
 comments and scripts end where the standard ends them; stray brackets are text; equal
@@ -38,6 +39,9 @@ MARKS = frozenset(
     "reply replies respond related recommended share sharing social widget login search pagination pager toolbar skip contentinfo complementary dialog form".split()
 )
 HEADERS = frozenset(["header", "topbar"])
+# Words after the one that says what a part is (ad-slot, comment-list), and before it, if it says what a page has (no-sidebar).
+PLACES = frozenset("area areas articles bar block body bottom box buttons button container content group icons inner item items left link links list main outer panel posts right section slot top trail unit wrap wrapper".split())
+STATES = frozenset("disable disabled enable enabled has have hide is no non not show with without".split())
 PUNCTUATION = re.compile(r"[.,;:!?。，；！？]")
 
 _TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>", re.S)
@@ -46,10 +50,18 @@ _WORDS = re.compile(r"[A-Za-z]+")
 
 
 class Element:
-    __slots__ = ("tag", "parent", "path", "never", "article", "link", "text")
+    __slots__ = ("tag", "parent", "path", "never", "article", "link", "text", "marked", "holder", "outer")
 
-    def __init__(self, tag, parent, name, never, article):
+    def __init__(self, tag, parent, name, never, article, mark=False):
         self.tag, self.parent, self.never, self.article = tag, parent, never, article
+        around = parent.holder if parent else None
+        # marked: by words, up to the article or main element that holds it (holder); outer: that is so around the holder.
+        self.outer = bool(parent) and (parent.marked or parent.outer)
+        if tag == "article" and (around is None or around.tag != "article") or article and around is None:
+            self.holder, self.marked = self, mark and self.outer
+        else:
+            self.holder, self.marked = around, mark or bool(parent) and parent.marked
+            self.outer = around is not None and around.outer
         self.path = f"{parent.path}/{name}" if parent else name
         self.link = tag == "a" or bool(parent and parent.link)
         self.text = 0.0
@@ -63,17 +75,26 @@ def attributes(raw: str) -> dict[str, str]:
     return out
 
 
+def head(name: str) -> str:
+    """The word of a class or id that says what the element is: the last but for PLACES; none where it says what a page has."""
+    words = [w.lower() for w in _WORDS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", name))]
+    while len(words) > 1 and words[-1] in PLACES:
+        words.pop()
+    return words[-1] if words and words[0] not in STATES else ""
+
+
 def element(tag: str, raw: str, parent: Element) -> Element:
     a = attributes(raw)
-    words = {w.lower() for k in ("class", "id", "role") for w in _WORDS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", a.get(k, "")))}
     article = parent.article or tag in ("article", "main") or "main" in a.get("role", "").lower().split()
+    named = ("class", "role") if parent.article and tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6") else ("class", "id", "role")
+    heads = {head(x) for k in named for x in a.get(k, "").split()}
+    mark = tag not in ("body", "html", "main") and (bool(heads & MARKS) or bool(heads & HEADERS) and not parent.article)
     never = (
-        parent.never or tag in NEVER or bool(words & MARKS) and tag not in ("body", "html", "main")
-        or (tag == "header" or bool(words & HEADERS)) and not parent.article
+        parent.never or tag in NEVER or tag == "header" and not parent.article
         or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or "display:none" in a.get("style", "").replace(" ", "").lower()
     )
     name = tag + "".join("." + c for c in sorted(a.get("class", "").split())[:2])
-    return Element(tag, parent, name, never, article)
+    return Element(tag, parent, name, never, article, mark)
 
 
 def nodes(page: str) -> list[tuple[Element, int, str]]:
@@ -177,8 +198,23 @@ def chosen(found: list[tuple[Element, int, str]]) -> Element | None:
     return best
 
 
+def unmarked(found: list[tuple[Element, int, str]]) -> list[tuple[Element, int, str]]:
+    """What no word marks; or the longest article inside a marked element, if it is longer than all of that."""
+    kept = [x for x in found if not x[0].marked and not x[0].outer]
+    held: dict[int, tuple[int, Element]] = {}
+    for e, _, t in found:
+        if e.outer and not e.marked:
+            held[id(e.holder)] = held.get(id(e.holder), (0,))[0] + len("".join(t.split())), e.holder
+    if held:
+        n, holder = max(held.values(), key=lambda x: x[0])
+        inside = [x for x in kept if x[0].article and x[2].strip()]
+        if n > sum(len("".join(t.split())) for _, _, t in inside or kept):
+            return [x for x in found if x[0].holder is holder and not x[0].marked]
+    return kept
+
+
 def main_text(page: str | None) -> str:
-    found = nodes(page or "")
+    found = unmarked(nodes(page or ""))
     inside = [x for x in found if x[0].article and x[2].strip()]
     if inside:
         found = [x for x in found if x[0].article]

@@ -219,6 +219,16 @@ def test_html_keeps_what_stands_beside_the_largest_part():
         assert html.main_text(page.format(paragraphs, f"<p>Other. {long}</p>" * 2)) == "\n".join([long] * 8 + [f"Other. {long}"] * 2)
 
 
+def test_html_words_that_do_not_name_the_part():
+    text = "A long sentence, with words and marks, to read."
+    for page in ("<article class='post comments-open'>{}</article>", "<div class='content no-sidebar'>{}</div>", "<div id=page class=has-banner><article>{}</article></div>", "<div class=banner><main>{}</main></div>", "<body class=header-fixed>{}"):
+        assert html.main_text(page.format(f"<p>{text}</p>")) == text
+    parts = f"<h2 id=related-work>Related work</h2><p id=share>{text}</p><section id=social-impact><p>{text}</p></section><p class=notice-period>{text}</p>"
+    assert html.main_text(f"<article>{parts}</article>") == "\n".join(["Related work", text, text, text])
+    drop = "<div class='ad-slot'>x</div><div id=commentList><article><p>Nice.</p></article></div><div class=related-posts><article>Other.</article></div>"
+    assert html.main_text(f"<main><p>{text}</p>{drop}</main>") == html.main_text(f"<div><p>{text}</p>{drop}</div>") == text
+
+
 def test_pipeline_stages_on_small_tables(spark):
     import corpus_pipeline
     from tagstream.llm.common import documents, materialize
