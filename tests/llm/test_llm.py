@@ -200,6 +200,15 @@ def test_templates_keep_first_and_join_equals_broadcast(spark):
     assert got == {r.doc_id: r.text for r in templates.dedup_lines(df, max_keys=0).collect()}
 
 
+def test_templates_stage_keeps_what_is_a_documents_own(spark):
+    texts = [LONG, f"{LONG}\nmy own line", LONG, None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for most in (templates.MAX_KEYS, 0):
+        got = {r.doc_id: (r.text, r.copy_, r.bare_) for r in templates.dedup_lines(df, max_keys=most).collect()}
+        assert got == {0: (LONG, False, False), 1: ("my own line", True, False), 2: ("", True, True), 3: (None, False, False), 4: ("", False, False)}
+    assert {r.doc_id: r.text for r in templates.templates_stage(spark, df, SF).collect()} == {0: LONG, 1: "my own line", 3: None, 4: ""}
+
+
 def test_html_article():
     page = """<html><head><title>T</title></head><body><header>Site</header><nav><ul><li><a href=x>Menu</a></ul></nav><div class="cookie-notice">We use cookies.</div>
     <article><h1>A &amp; B</h1><p><b>First one, here.<br>then<p>Second &lt;two&gt;<div class="ad">Buy!</div><section class="comments"><p>Nice post.</p></section></article>
