@@ -209,6 +209,27 @@ def test_templates_stage_keeps_what_is_a_documents_own(spark):
     assert {r.doc_id: r.text for r in templates.templates_stage(spark, df, SF).collect()} == {0: LONG, 1: "my own line", 3: None, 4: ""}
 
 
+def test_templates_join_consecutive_lines(spark):
+    words = LONG.split()
+    for cuts in ((12, 12), (10, 5, 10), (7,) * 6, (19, 1)):
+        at = np.cumsum([0, *cuts])
+        run = [" ".join(f"{words[k % 21]}{k}x" for k in range(a, b)) for a, b in zip(at, at[1:], strict=False)]
+        texts = ["\n".join([f"only {d} here", *run[:1], "", *run[1:], f"end {d} here"]) for d in "abc"] + [run[0], run[-1]]
+        df = spark.createDataFrame(list(enumerate(texts[1:])), "doc_id long, text string")
+        for most in (templates.MAX_KEYS, 0):
+            got = {r.doc_id: r.text for r in templates.dedup_lines(df, max_keys=most).collect()}
+            need = [templates.least_docs(n) for n in cuts]
+            assert got[0] == texts[1] and got[1] == "only c here\n\nend c here"
+            assert [got[2], got[3]] == [x if n > 3 else "" for x, n in zip([run[0], run[-1]], [need[0], need[-1]], strict=True)]
+    split = "\n".join(words[:10]) + "\n" + " ".join(words[10:])
+    rng = np.random.default_rng(2)
+    for _ in range(200):  # every line of a run of 20 tokens is in one of its runs
+        n = rng.integers(1, 19, rng.integers(2, 12))
+        lines = [" ".join(["w"] * k) for k in n]
+        assert {i for _, _, r in templates.runs(lines) for i in r} == (set(range(len(n))) if n.sum() >= 20 else set())
+    assert templates.runs([LONG]) == templates.runs(["a", "b"]) == [] and len(templates.runs(split.split("\n"))) > 0
+
+
 def test_html_article():
     page = """<html><head><title>T</title></head><body><header>Site</header><nav><ul><li><a href=x>Menu</a></ul></nav><div class="cookie-notice">We use cookies.</div>
     <article><h1>A &amp; B</h1><p><b>First one, here.<br>then<p>Second &lt;two&gt;<div class="ad">Buy!</div><section class="comments"><p>Nice post.</p></section></article>
