@@ -1,8 +1,8 @@
 """Mixing sources to target weights with a multivariate-hypergeometric splitting tree.
 
 A document belongs to one of `blocks` blocks of its source by a hash of its id. A source's target
-is reached by whole passes over its blocks, by further blocks in a permuted order, and by a
-few single documents (two of each power-of-two size at most are looked at) that fill what is left.
+is reached by whole passes over its blocks, by further blocks in a permuted order, where those that
+do not fit are skipped, and by single documents of the other blocks until none fits into what is left.
 The source's exact number of block draws is its quota: a splitting tree halves the shards again
 and again and deals the quotas to the halves by multivariate hypergeometric draws, each
 node seeded by its place. A shard then takes the next disjoint run of every source's permuted
@@ -11,7 +11,7 @@ draws, and its rows are ordered by a hash.
 The driver holds a row a source (checked, MAX_SOURCES); blocks have `blocks` rows a source.
 
 Cases: a null source is a source of its own, after all others; null and empty texts have size 0;
-a null doc_id has a block like any other; repeated rows are taken together; a source
+the rows of a null doc_id are one document; repeated rows are taken together; a source
 without words has target 0; an empty table gives no rows; other columns are carried along.
 """
 
@@ -64,23 +64,69 @@ def split_tree(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def fill(gap: float, sizes: list[tuple[int, int]]) -> list[int]:
-    """Ids of documents, largest first, that fit into the gap. sizes: (size, id)."""
-    out = []
-    for size, key in sorted(set(sizes), key=lambda x: (-x[0], x[1])):
-        if 0 < size <= gap:
-            gap -= size
-            out.append(key)
-    return out
-
-
 def placed(docs: DataFrame, blocks: int, seed: int) -> DataFrame:
     """Adds size_ and block_."""
     return docs.withColumn("size_", size_of()).withColumn("block_", F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(blocks)).cast("int"))
 
 
-def plan(narrow: DataFrame, blocks: int = BLOCKS, shards: int = SHARDS, seed: int = SEED) -> tuple[DataFrame, DataFrame, int]:
-    """From doc_id, source, size_, block_: a row a source and a row a block, each with what is taken; the number of sources."""
+def _fitting(units: DataFrame, gap: dict) -> DataFrame:
+    """units (with source and words) that fit into their source's gap, and gap_."""
+    gaps = units.sparkSession.createDataFrame(list(gap.items()), "g_s string, gap_ double")
+    return units.join(F.broadcast(gaps), F.col("source").eqNullSafe(F.col("g_s")) & (F.col("words") <= F.col("gap_"))).drop("g_s")
+
+
+def _union(parts: list[DataFrame], none: DataFrame) -> DataFrame:
+    out = parts[0] if parts else none
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def taken(units: DataFrame, gap: dict, seed: int, key: str) -> tuple[list[DataFrame], dict]:
+    """From source, key, words, block_: the units taken in the order of their hashes, each that fits what is left; and what is left.
+
+    A round takes units up to the first that does not fit; what did not fit then goes on, and never fits again if it is too long.
+    """
+    order = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed), key), key).rowsBetween(Window.unboundedPreceding, 0)
+    columns, parts = units.columns, []
+    while gap:
+        ranked = materialize(_fitting(units, gap).withColumn("up_to_", F.sum("words").over(order)), "ranked")
+        got = ranked.where("up_to_ <= gap_").select(*columns)
+        sums = {r.source: r.words for r in got.groupBy("source").agg(F.sum("words").alias("words")).collect()}
+        if not sums:
+            break
+        parts.append(got)
+        gap = {s: g - sums.get(s, 0) for s, g in gap.items()}
+        units = ranked.where("up_to_ > gap_").select(*columns)
+    return parts, gap
+
+
+def singled(singles: DataFrame, gap: dict, seed: int) -> DataFrame:
+    """source, doc_id: single documents taken until none fits. singles: source, block_, doc_id, words.
+
+    Each time only the blocks are looked at whose fitting documents are as long as the gap together.
+    """
+    order = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed + 1), "block_"), "block_").rowsBetween(Window.unboundedPreceding, 0)
+    none = picks = singles.limit(0)
+    rest, parts = singles, []
+    while gap := {s: g for s, g in gap.items() if g >= 1}:
+        rest = _fitting(rest, gap)
+        if parts:  # what does not fit never fits again, so that only short documents go on
+            p = F.broadcast(_union(parts, none).select(F.col("source").alias("p_s"), F.col("doc_id").alias("p_d")))
+            rest = materialize(rest.join(p, F.col("source").eqNullSafe(F.col("p_s")) & F.col("doc_id").eqNullSafe(F.col("p_d")), "left_anti"), "rest")
+        per = rest.groupBy("source", "block_").agg(F.sum("words").alias("fit_"), F.first("gap_").alias("gap_"))
+        near = per.withColumn("up_to_", F.sum("fit_").over(order)).where("up_to_ - fit_ < gap_").select(F.col("source").alias("n_s"), F.col("block_").alias("n_b"))
+        rest = rest.drop("gap_")
+        near = rest.join(near, F.col("source").eqNullSafe(F.col("n_s")) & (F.col("block_") == F.col("n_b")), "left_semi")
+        parts, gap = taken(near, gap, seed + 2, "doc_id")
+        if not parts:
+            break
+        picks = materialize(_union([picks, *parts], none), "picks")
+    return picks.select("source", "doc_id")
+
+
+def plan(narrow: DataFrame, blocks: int = BLOCKS, shards: int = SHARDS, seed: int = SEED) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """From doc_id, source, size_, block_: a row a source and a row a block, each with what is taken; the single documents; the number of sources."""
     spark = narrow.sparkSession
     per_block = materialize(narrow.groupBy("source", "block_").agg(F.sum("size_").alias("words")), "blocks")
     rows = per_block.groupBy("source").agg(F.sum("words").alias("words"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
@@ -89,37 +135,30 @@ def plan(narrow: DataFrame, blocks: int = BLOCKS, shards: int = SHARDS, seed: in
     sizes = {r.source: r.words for r in rows}
     goal = targets(sizes)
     full = {s: int(goal[s] // sizes[s]) if sizes[s] else 0 for s in sizes}
-    have = spark.createDataFrame([(s, goal[s], full[s], goal[s] - full[s] * sizes[s]) for s in sizes], "s_ string, target double, full_ int, rest_ double")
-    order = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed + 1), "block_"), "block_").rowsBetween(Window.unboundedPreceding, 0)
-    ordered = (
-        per_block.join(F.broadcast(have), F.col("source").eqNullSafe(F.col("s_"))).drop("s_")
-        .withColumn("up_to_", F.sum("words").over(order)).withColumn("at_", F.count("*").over(order) - 1)
-        .withColumn("more_", (F.col("up_to_") <= F.col("rest_")).cast("int"))
+    gap = {s: goal[s] - full[s] * sizes[s] for s in sizes}
+    more, gap = taken(per_block, gap, seed + 1, "block_")
+    more = materialize(_union(more, per_block.limit(0)).select("source", "block_"), "further")
+    extra = {r.source: r.n for r in more.groupBy("source").agg(F.count("*").alias("n")).collect()}
+    flag = more.select(F.col("source").alias("m_s"), F.col("block_").alias("m_b"), F.lit(1).alias("more_"))
+    flag = F.broadcast(flag) if len(rows) * blocks <= BROADCAST_ROWS else flag
+    order = Window.partitionBy("source").orderBy(F.desc("more_"), F.xxhash64(F.lit(seed + 1), "block_"), "block_").rowsBetween(Window.unboundedPreceding, 0)
+    have = spark.createDataFrame([(s, full[s]) for s in sizes], "s_ string, full_ int")
+    ordered = materialize(
+        per_block.join(flag, F.col("source").eqNullSafe(F.col("m_s")) & (F.col("block_") == F.col("m_b")), "left").drop("m_s", "m_b").withColumn("more_", F.coalesce("more_", F.lit(0)))
+        .join(F.broadcast(have), F.col("source").eqNullSafe(F.col("s_"))).drop("s_").withColumn("at_", F.count("*").over(order) - 1), "permuted",
     )
-    ordered = materialize(ordered, "permuted")
-    extra = {r.source: r for r in ordered.groupBy("source").agg(F.sum("more_").alias("n"), F.sum(F.col("words") * F.col("more_")).alias("words")).collect()}
-    gap = {s: goal[s] - full[s] * sizes[s] - extra[s].words for s in sizes}
-    gaps = spark.createDataFrame([(s, g) for s, g in gap.items()], "s_ string, gap_ double")
     left = ordered.where("more_ = 0").select(F.col("source").alias("b_s"), F.col("block_").alias("b_b"))
     left = F.broadcast(left) if len(rows) * blocks <= BROADCAST_ROWS else left
-    choice = (
-        narrow.where("size_ > 0 and doc_id is not null")
-        .join(F.broadcast(gaps), F.col("source").eqNullSafe(F.col("s_")) & (F.col("size_") <= F.col("gap_")))
-        .join(left, F.col("source").eqNullSafe(F.col("b_s")) & (F.col("block_") == F.col("b_b")), "left_semi")
-        .groupBy("source", F.floor(F.log2("size_")).alias("class_"))
-        .agg(*(f(F.struct(F.xxhash64(F.lit(seed + 2), "doc_id").alias("h"), "size_", "doc_id")).alias(n) for f, n in ((F.min, "a"), (F.max, "b"))))
-    )
-    found: dict = {}
-    for r in choice.collect():  # two documents a source and power of two
-        found.setdefault(r.source, []).extend([(r.a.size_, r.a.doc_id), (r.b.size_, r.b.doc_id)])
-    picks = {s: fill(gap[s], found.get(s, [])) for s in sizes}
+    singles = _fitting(narrow.where("size_ > 0").withColumn("words", F.col("size_")), gap).join(left, F.col("source").eqNullSafe(F.col("b_s")) & (F.col("block_") == F.col("b_b")), "left_semi")
+    picks = singled(materialize(singles.groupBy("source", "block_", "doc_id").agg(F.sum("size_").alias("words")), "singles"), gap, seed)
+    picked = {r.source for r in picks.select("source").distinct().collect()}
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     count = {r.source: r.n for r in rows}
-    quotas = np.array([full[s] * count[s] + extra[s].n + bool(picks[s]) for s in names], np.int64)
+    quotas = np.array([full[s] * count[s] + extra.get(s, 0) + (s in picked) for s in names], np.int64)
     ends = np.cumsum(split_tree(quotas, shards, seed), axis=0) if len(names) else np.zeros((shards, 0), np.int64)
     by_source = spark.createDataFrame(
-        [(s, sizes[s], float(goal[s]), picks[s], full[s] * count[s], ends[:, k].tolist(), int(np.searchsorted(ends[:, k], quotas[k] - 1, "right"))) for k, s in enumerate(names)],
-        "s_ string, source_size long, target double, picks_ array<long>, passes_ long, ends_ array<long>, last_ int",
+        [(s, sizes[s], float(goal[s]), full[s] * count[s], ends[:, k].tolist(), int(np.searchsorted(ends[:, k], quotas[k] - 1, "right"))) for k, s in enumerate(names)],
+        "s_ string, source_size long, target double, passes_ long, ends_ array<long>, last_ int",
     )
     shard = lambda draw: F.size(F.filter("ends_", lambda e: e <= draw))
     n_blocks = spark.createDataFrame([(s, count[s]) for s in names], "n_s string, blocks_ long")
@@ -132,24 +171,26 @@ def plan(narrow: DataFrame, blocks: int = BLOCKS, shards: int = SHARDS, seed: in
             .otherwise(F.array().cast("array<int>")).alias("draws_"),
         )
     )
-    return by_source, by_block, len(rows)
+    return by_source, by_block, picks, len(rows)
 
 
-def drawn(rows: DataFrame, by_source: DataFrame, by_block: DataFrame, sources: int, blocks: int) -> DataFrame:
+def drawn(rows: DataFrame, by_source: DataFrame, by_block: DataFrame, picks: DataFrame, sources: int, blocks: int) -> DataFrame:
     """rows (with doc_id, source, block_) and source_size, target, shards_ (the shard of each copy)."""
     by_block = F.broadcast(by_block) if sources * blocks <= BROADCAST_ROWS else by_block
-    own = F.when(F.array_contains("picks_", F.col("doc_id")) & (F.size("picks_") > 0), F.array(F.col("last_"))).otherwise(F.array().cast("array<int>"))
+    picks = picks.select(F.col("source").alias("p_s"), F.col("doc_id").alias("p_d"), F.lit(True).alias("own_"))
+    own = F.when(F.col("own_"), F.array(F.col("last_")))
     return (
-        rows.join(F.broadcast(by_source.select("s_", "source_size", "target", "picks_", "last_")), F.col("source").eqNullSafe(F.col("s_")))
+        rows.join(F.broadcast(by_source.select("s_", "source_size", "target", "last_")), F.col("source").eqNullSafe(F.col("s_")))
         .join(by_block, F.col("source").eqNullSafe(F.col("b_s")) & (F.col("block_") == F.col("b_b")))
-        .withColumn("shards_", F.concat("draws_", F.coalesce(own, F.array().cast("array<int>")))).drop("s_", "b_s", "b_b", "picks_", "last_", "draws_")
+        .join(picks, F.col("source").eqNullSafe(F.col("p_s")) & F.col("doc_id").eqNullSafe(F.col("p_d")), "left")
+        .withColumn("shards_", F.concat("draws_", F.coalesce(own, F.array().cast("array<int>")))).drop("s_", "b_s", "b_b", "p_s", "p_d", "own_", "last_", "draws_")
     )
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     narrow = materialize(placed(documents(spark, sf_dir).select("doc_id", "source", "text"), BLOCKS, SEED).drop("text"), "sizes")
-    by_source, by_block, n = plan(narrow)
-    return drawn(narrow, by_source, by_block, n, BLOCKS).select(
+    by_source, by_block, picks, n = plan(narrow)
+    return drawn(narrow, by_source, by_block, picks, n, BLOCKS).select(
         "doc_id", F.col("size_").alias("size"), "source_size", "target", (F.col("size_") * F.size("shards_")).alias("taken"), "source", F.col("shards_").alias("shards"),
     )
 
@@ -158,7 +199,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, shards: int
     """The mix itself: a row for each copy that is taken, by shard and shuffled inside it; the columns of docs."""
     columns = docs.columns
     narrow = materialize(placed(docs.select("doc_id", "source", "text"), BLOCKS, SEED).drop("text"), "sizes")
-    by_source, by_block, n = plan(narrow, shards=shards)
+    by_source, by_block, picks, n = plan(narrow, shards=shards)
     rows = placed(docs, BLOCKS, SEED) if not {"size_", "block_"} & set(columns) else placed(docs.drop("size_", "block_"), BLOCKS, SEED)
-    copies = drawn(rows, by_source, by_block, n, BLOCKS).select(*columns, F.posexplode("shards_").alias("copy_", "shard_"))
+    copies = drawn(rows, by_source, by_block, picks, n, BLOCKS).select(*columns, F.posexplode("shards_").alias("copy_", "shard_"))
     return copies.repartition("shard_", F.pmod(F.xxhash64("doc_id"), F.lit(16))).sortWithinPartitions("shard_", F.xxhash64(F.lit(SEED + 3), "doc_id", "copy_")).select(*columns)

@@ -153,6 +153,18 @@ def test_mixing_targets_and_tree(spark):
     assert sorted(map(tuple, [(r.doc_id, r.taken) for r in mixing.op1_mixing(spark, SF).collect()])) == sorted((r.doc_id, r.taken) for r in rows)
 
 
+def test_mixing_leaves_no_gap_that_a_document_fits(spark):
+    for seed in (17, 19):
+        narrow = mixing.placed(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "source", "text"), 64, seed).drop("text")
+        made = {}
+        for r in mixing.drawn(narrow, *mixing.plan(narrow, 64, seed=seed), 64).collect():
+            made.setdefault(r.source, []).append((r.size_, len(r.shards_), r.target))
+        for rows in made.values():
+            gap = rows[0][2] - sum(n * k for n, k, _ in rows)
+            least = min(k for _, k, _ in rows)
+            assert gap >= -1e-6 and all(n > gap for n, k, _ in rows if k == least and n and k < 3)
+
+
 def plain_pii(t):
     out = [(0, m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [(1, m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
