@@ -119,25 +119,58 @@ def test_jaccard_against_brute_force(spark):
     assert got == {i: (c, n) for i, (c, n) in enumerate(zip(comp, sizes, strict=True))}
 
 
-def test_packing_covers_every_id():
+ODD = ["don't", "É", "\x1cx", "İ", "Σ", "²", "<|endoftext|>", "<|startoftext|>", " ", "\n", "a<|EndOfText|>", "×", "÷x", "日本語", "привет", "«ok»", "\x85", "\u3000", "12a", "a12", "...", "e\u0301", "x" * 40, "\x00", "'ll", "'", "ñ'S", "z\u0338", "😀", "_-", "\u200b", "Ⅷ", "½", "ª"]
+
+
+def plain_ids(texts):
     t = Tokenizer.from_file(packing.vocabulary_path())
-    t.encode_special_tokens = True
-    words = packing.WordIds(packing.vocabulary_path())
-    texts = [LONG * k for k in range(1, 60)] + ["", "don't É\x1cx İ Σ ²", "<|endoftext|>"]
-    ids = words(texts)
-    assert [np.frombuffer(x, "<u4").tolist() for x in ids] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
-    p = packing.Packer(256, 0)
-    for k, x in enumerate(ids):
-        p.add(k, x + b"\2\0\0\0")
-    p.finish()
-    seen, filled = {}, {}
-    for key, start, n, crc, total, window, offset in p.out:
-        x = ids[key] + b"\2\0\0\0"
-        assert zlib.crc32(x[4 * start : 4 * (start + n)]) == crc and total == len(x) // 4 and offset == filled.get(window, 0)
-        seen.setdefault(key, []).append((start, n))
-        filled[window] = offset + n
-    assert all(sum(n for _, n in v) == len(ids[k]) // 4 + 1 for k, v in seen.items()) and len(seen) == len(ids)
-    assert all(v == 256 or v & (v - 1) == 0 for v in filled.values())
+    return [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_word_ids_equal_the_plain_call():
+    rng = np.random.default_rng(1)
+    texts = [t or "" for t in TEXTS] + [LONG * 200, "", " a"] + ["".join(rng.choice(ODD, int(rng.integers(1, 20)))) for _ in range(2000)]
+    for most in (200, packing._CACHE):  # words go and come again, or stay
+        words = packing.WordIds(packing.vocabulary_path(), most=most)
+        got = [x.tolist() for k in range(0, len(texts), 100) for x in words(texts[k : k + 100])]
+        assert got == plain_ids(texts)
+    assert words(["a <|endoftext|> b"])[0].tolist() == [320, 49407, 321]
+
+
+def test_pack_over_several_tasks(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()] + [(-1, None), (-2, ""), (-3, "<|endoftext|>")]
+    ids = {k: [*x, packing.END] for (k, _), x in zip(rows, plain_ids([t or "" for _, t in rows]), strict=True)}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for tasks in (1, 5):
+        seen, filled = {}, {}
+        for r in packing.pack(df.repartition(tasks, "doc_id"), capacity=512).collect():
+            part = ids[r.doc_id][r.start : r.start + r.length]
+            assert r.ids_crc32 == zlib.crc32(np.array(part, "<u4").tobytes()) and r.doc_tokens == len(ids[r.doc_id]) and r.length > 0
+            seen.setdefault(r.doc_id, []).append((r.start, r.length))
+            filled.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        for spans, whole in [*((v, len(ids[k])) for k, v in seen.items()), *((v, None) for v in filled.values())]:
+            at = 0
+            for start, n in sorted(spans):
+                assert start == at
+                at += n
+            assert at == whole if whole is not None else at == 512 or at & (at - 1) == 0
+        assert seen.keys() == ids.keys()
+
+
+def test_packing_places_by_least_sum_of_squares():
+    rng = np.random.default_rng(4)
+    p, level = packing.Packer(64, 0), [0] * 65
+    for k, n in enumerate(rng.integers(1, 64, 400).tolist()):
+        def after(fill):
+            now = list(level)
+            now[fill] -= fill > 0
+            now[fill + n] += fill + n < 64
+            return sum(x * x for x in now)
+
+        best = min(after(f) for f in range(64 - n + 1) if not f or level[f])
+        p.add(k, bytes(4 * n))
+        level = p.level.tolist()
+        assert sum(x * x for x in level) == best
 
 
 def test_mixing_targets_and_tree(spark):
