@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -304,6 +305,41 @@ def test_html_words_that_do_not_name_the_part():
     assert html.main_text(f"<main><p>{text}</p>{drop}</main>") == html.main_text(f"<div><p>{text}</p>{drop}</div>") == text
 
 
+def nameless(page):
+    """The page with neither telling elements nor telling classes."""
+    page = re.sub(r"<(/?)(?:article|nav|footer)\b[^>]*>", r"<\1div>", page).replace('class="ad"', 'class="x7"')
+    return page.replace("<div><ul>", '<div class="x1"><ul>').replace("<div>&copy;", '<div class="x2">&copy;')
+
+
+def test_html_ratios_find_the_article_without_any_name(spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect() if r.html]
+    gold = [html.main_text(p[p.index("<article>") : p.index("</article>") + 10]) for p in pages]
+    assert [html.main_text(p) for p in pages] == gold
+    bare = [nameless(p) for p in pages]
+    right = sum(html.main_text(p) == g for p, g in zip(bare, gold, strict=True))
+    off = sum(html.main_text(p, 0.0) == g for p, g in zip(bare, gold, strict=True))
+    assert right >= 0.9 * len(pages) and off == 0
+
+
+def test_html_pages_without_article_and_with_misleading_names():
+    long = [f"A long sentence{', with more words' * (k % 4)}, and marks, to read; number {k}." for k in range(8)]
+    body = "".join(f"<p>{t}</p>" for t in long)
+    around = '<div class="x1"><ul><li><a href=a>One</a><li><a href=b>Two</a><li><a href=c>Three</a></ul></div><div class="x2">Buy.</div>{}<div class="x3">2024 us</div>'
+    for hold in ('<div class="c">{}</div>', '<article class="social">{}</article>', '<div id="search-results">{}</div>', '<div class="form-content">{}</div>', '<div class="related-work"><div class="share">{}</div></div>', "<form>{}</form>"):
+        assert html.main_text("<body>" + around.format(hold.format(f"<h2>Title</h2>{body}")) + "</body>") == "\n".join(["Title", *long])
+    comments = "".join(f"<p>I think that this is a fine text{' indeed' * k}, and long, too.</p>" for k in range(9))
+    for hold in ("<div class=c>{}</div>", "<article>{}</article>"):
+        page = hold.format(body) + f"<div class='comments'>{comments}</div><aside>{comments}</aside><div id=cookie-notice>{comments}</div>"
+        assert html.main_text(page) == html.main_text(around.format(page)) == "\n".join(long)
+
+
+@pytest.mark.parametrize("page", ["<a " * 350_000, "<p>x" + "<a " + '"x" ' * 250_000, '<a ="x ' * 150_000, "<div>" * 100_000 + "<p>x", "<div>x" * 100_000, "<b><table>" + "<i>x" * 50_000 + "</b>" * 50_000, "<div class='comments'>x" * 50_000, "<article>x" * 50_000, "<p " + "= " * 300_000 + ">x", "<li>x" * 100_000, "<p a" + " " * 500_000, "<" * 500_000, "<!--" * 200_000], ids=range(13))
+def test_html_takes_time_in_proportion(page):
+    start = time.process_time()
+    html.main_text(page)
+    assert time.process_time() - start < 6
+
+
 def test_pipeline_stages_on_small_tables(spark):
     import corpus_pipeline
     from tagstream.llm.common import documents, materialize
