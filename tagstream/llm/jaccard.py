@@ -1,24 +1,29 @@
 """N-gram Jaccard join: documents whose sets of 5-word shingles have a Jaccard similarity of 0.75 or more.
 
-The document by n-gram incidence matrix is multiplied with itself block by block, but only where
-size-derived bounds allow a pair to pass:
-  1. One map over the texts gives a bounded sketch of n-gram frequencies (summed over all tasks).
-     It only decides an order, rarest n-grams first; any order gives exact results.
-  2. A second map gives each document its set size, the set's fingerprint and the n-grams of its
-     prefix: two sets of sizes a, b that pass share one of the first a - ceil(0.75 a) + 1. Equal sets
-     are one class, with its smallest doc_id as its node.
-  3. In each column (n-gram) of the prefix matrix a hub is chosen, and only pairs (hub, other)
-     are formed: as many as rows, however large the group. Pairs outside the size bound go.
-     Overlaps are counted in blocks: the hub's row against the rows of its block.
-  4. Linked nodes are joined to components. Pairs of one column that are still in different
-     components, within the size bound and the bound on what their sets can share after
-     that column, are counted too; so no link between different sets is lost, while pairs inside a
-     group that is joined already are never formed.
+The document by n-gram incidence matrix M is multiplied with its transpose block by block. Size-derived bounds
+decide which blocks are multiplied at all:
+  1. One map over the texts gives a sketch of n-gram frequencies, its size taken from the texts' size. It only
+     decides an order, rarest n-grams first; any order gives exact results.
+  2. A second map gives each document its set size, the set's fingerprint and its prefix: two sets of sizes
+     a, b that link share one of the first a - ceil(0.75 a) + 1. Equal sets are one class, with its smallest
+     doc_id as its node.
+  3. The prefix columns (n-gram, node, size, place) are sorted by ranges of (n-gram, node), so that a frequent
+     n-gram is spread over many tasks. In each column the first node is tried with all others.
+  4. product(): rows are cut into blocks; a block of rows a is held as a sparse matrix, and the rows b that are
+     to be tried with any of it are multiplied with it: their n-grams are looked up and the overlaps with all
+     rows of the block are accumulated at once. Pairs outside the size bounds go. Blocks with many rows b are
+     salted. Linked nodes are joined to components.
+  5. Columns whose nodes are still in different components: short ones give their pairs, and a pair's shared
+     prefix columns are counted; what they leave possible bounds the overlap, and pairs below it go. The rest is
+     multiplied as in 4. Long columns (over LONG_COLUMN nodes) never give pairs: the documents of such a
+     column are ordered anew by the frequencies inside it, where what they all share is frequent and what sets them
+     apart is rare, and steps 2 to 5 are repeated inside it. After DEPTH such rounds a column is joined
+     with itself, which is exact too.
 
 Cases: null and empty texts and texts without words have the empty set and link with nothing;
-texts of fewer than 5 words are one shingle; copies share their class; repeated rows are copies;
-rows with a null doc_id are members of their class, whose id then comes from the others (null if
-there are none); no rows give no rows.
+texts of fewer than 5 words are one shingle; copies share their class; rows that repeat a doc_id are one
+document, which links with all that any of its texts links with; rows with a null doc_id are members of
+their class, whose id then comes from the others (null if there are none); no rows give no rows.
 """
 
 from __future__ import annotations
@@ -28,14 +33,19 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import bounded, documents, forget, map_rows, materialize, schema, slices
+from .common import bounded, documents, forget, fresh, map_rows, materialize, schema, slices
 
 WORDS, NUM, DEN = 5, 3, 4
-SKETCH_BITS, SKETCH_BLOCK, FAN_IN = 22, 1 << 12, 32
+#: The sketch has a place for each SKETCH_SHARE bytes of text, within these powers of two. Beyond, places are shared by
+#: more n-grams: frequent ones still come last, and columns that get long go the way of step 5.
+SKETCH_SHARE, SKETCH_LEAST, SKETCH_MOST, SKETCH_BLOCK, FAN_IN = 128, 12, 24, 1 << 12, 32
+LONG_COLUMN, DEPTH = 24, 4
+#: Rows a of a block, rows b of a task's share of it, and the set size from which a row is a block of its own.
+BLOCK_ROWS, TASK_ROWS, LONG_ROW = 128, 8192, 50_000
 BROADCAST_IDS = 2_000_000
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -83,14 +93,29 @@ def shingles(text: str | None, state: dict) -> np.ndarray:
     return np.unique(h)
 
 
+def least(n):
+    """Overlap that a set of size n needs with any other: ceil(0.75 n)."""
+    return -(-NUM * n // DEN)
+
+
 def squeezed(counts: np.ndarray) -> bytes:
     """Most counts of a task are small: a few bits each."""
     return zlib.compress(counts.tobytes(), 1)
 
 
-def sketch(df: DataFrame, text: str = "text", bits: int = SKETCH_BITS) -> np.ndarray:
-    """Counts of the n-grams of all documents in 2^bits places. Tasks add up their own; blocks of
-    places are then added up by FAN_IN at a time, so no group grows with the input."""
+def bits_for(df: DataFrame, text: str = "text") -> int:
+    size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return min(SKETCH_MOST, max(SKETCH_LEAST, (size // SKETCH_SHARE).bit_length()))
+
+
+def keyed(h: np.ndarray, group: int | None) -> np.ndarray:
+    """Keys of n-grams inside a column; the n-grams themselves outside of one."""
+    return h if group is None else mix(h ^ mix(np.array([group]).view(_U), 5)[0], 9)
+
+
+def sketch(df: DataFrame, bits: int) -> np.ndarray:
+    """Counts of the n-grams of all rows (text, and in column 1 the columns they are looked at in) in 2^bits places. Tasks
+    add up their own; blocks of places are then added up by FAN_IN at a time, so no group grows with the input."""
     rows = schema("task int, block int, counts binary")
     out = to_arrow_schema(rows)
     step = min(SKETCH_BLOCK, 1 << bits)
@@ -103,8 +128,10 @@ def sketch(df: DataFrame, text: str = "text", bits: int = SKETCH_BITS) -> np.nda
         state, total = {}, np.zeros(1 << bits, np.uint32)
         for batch in batches:
             for part in slices(batch):
-                for t in part.column(0).to_pylist():
-                    np.add.at(total, (shingles(t, state) >> _U(64 - bits)).astype(np.int64), np.uint32(1))
+                for t, groups in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    h = shingles(t, state)
+                    for g in groups or [None]:
+                        np.add.at(total, (keyed(h, g) >> _U(64 - bits)).astype(np.int64), np.uint32(1))
         task = TaskContext.get().partitionId()
         for b in range(0, len(total), step):
             if total[b : b + step].any():
@@ -114,7 +141,7 @@ def sketch(df: DataFrame, text: str = "text", bits: int = SKETCH_BITS) -> np.nda
         total = sum(np.frombuffer(zlib.decompress(x), np.uint32).astype(np.uint64) for x in table["counts"].to_pylist())
         return pa.table([pa.array([key[1].as_py()], pa.int32()), pa.array([key[0].as_py()], pa.int32()), pa.array([squeezed(np.minimum(total, 0xFFFFFFFF).astype(np.uint32))], pa.binary())], schema=out)
 
-    parts = materialize(df.select(text).mapInArrow(run, rows), "sketch")
+    parts = materialize(df.mapInArrow(run, rows), "sketch")
     tasks = (parts.agg(F.max("task")).first()[0] or 0) + 1
     while tasks > 1:
         tasks = -(-tasks // FAN_IN)
@@ -125,32 +152,35 @@ def sketch(df: DataFrame, text: str = "text", bits: int = SKETCH_BITS) -> np.nda
     return total
 
 
-def signatures(df: DataFrame, counts: np.ndarray, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, f1, f2 (the set's fingerprint), common (how common its n-grams are), prefix."""
-    spark = df.sparkSession
+def signatures(df: DataFrame, counts: np.ndarray) -> DataFrame:
+    """From doc_id, text, groups (null, or the columns it is looked at in): a row for each of them with the set's size,
+    its fingerprint f1, f2, common (how common its n-grams are) and the prefix in this column's order."""
     level = np.minimum(np.log2(counts.astype(np.float64) + 1) * 8, 255).astype(np.uint8)
-    shared, bits = spark.sparkContext.broadcast(level), int(math.log2(len(level)))
+    shared, bits = df.sparkSession.sparkContext.broadcast(level), int(math.log2(len(level)))
+    as_long = lambda x: np.uint64(x).astype(np.int64).item()
 
     def make():
         state, level = {}, shared.value
 
         def f(c):
             rows = []
-            for k, t in zip(*c, strict=True):
+            for k, t, groups in zip(*c, strict=True):
                 h = shingles(t, state)
                 n = len(h)
                 if not n:
                     rows.append((k, 0, None, None, 0, []))
                     continue
-                f1, f2 = int(mix(h, 1).sum(dtype=_U)), int(np.bitwise_xor.reduce(mix(h, 2)))
-                place = level[h >> _U(64 - bits)]
-                first = np.lexsort((h, place))[: n - -(-NUM * n // DEN) + 1]
-                rows.append((k, n, np.uint64(f1).astype(np.int64).item(), np.uint64(f2).astype(np.int64).item(), int(1000 * place.mean()), h[first].view(np.int64)))
+                f1, f2 = as_long(mix(h, 1).sum(dtype=_U)), as_long(np.bitwise_xor.reduce(mix(h, 2)))
+                for g in groups or [None]:
+                    own = keyed(h, g)
+                    place = level[own >> _U(64 - bits)]
+                    first = np.lexsort((own, place))[: n - least(n) + 1]
+                    rows.append((k, n, f1, f2, int(1000 * place.mean()), own[first].view(np.int64)))
             return list(zip(*rows, strict=True)) if rows else [[]] * 6
 
         return f
 
-    return map_rows(df.select(F.col(key).cast("long").alias("doc_id"), F.col(text)), make, schema("doc_id long, n_shingles long, f1 long, f2 long, common int, prefix array<long>"))
+    return map_rows(df.select("doc_id", "text", "groups"), make, schema("doc_id long, n_shingles long, f1 long, f2 long, common int, prefix array<long>"))
 
 
 def having(df: DataFrame, ids: DataFrame) -> DataFrame:
@@ -164,30 +194,211 @@ def fits(a, b):
     return (DEN * a >= NUM * b) & (DEN * b >= NUM * a)
 
 
-def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of pairs (a, b) that link: overlaps are counted with a's row against its block of rows."""
-    left, right = (texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
-    rows = pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
+def grouped(df: DataFrame, make, out_schema: str) -> DataFrame:
+    """mapInArrow of f(columns as numpy arrays, last) -> columns; df's partitions are sorted by h. f gets whole runs of equal h,
+    but for runs longer than RUN rows, and is told whether more of the first or of the last run may be elsewhere."""
+    rows = schema(out_schema)
+    out = to_arrow_schema(rows)
+    bounded(df.sparkSession)
+
+    def run(batches):
+        forget("packing")
+        f = make()
+        waiting: list[pa.RecordBatch] = []
+        first, held = True, 0
+
+        def flush(last: bool):
+            nonlocal waiting, first, held
+            if not waiting:
+                return None
+            t = pa.Table.from_batches(waiting).combine_chunks()
+            h = t["h"].to_numpy()
+            cut = len(h) if last else int(np.searchsorted(h, h[-1], "left"))
+            if not cut and held < RUN:
+                return None
+            whole = cut > 0
+            cut = cut or len(h)
+            part, rest = t.slice(0, cut), t.slice(cut)
+            waiting, held = rest.to_batches() if rest.num_rows else [], rest.num_rows
+            cols = {n: part[n].to_numpy() for n in part.column_names}
+            got = f(cols, first, last or not whole)
+            first = not whole
+            return pa.record_batch([pa.array(c, x.type, from_pandas=True) for c, x in zip(got, out, strict=True)], schema=out)
+
+        for batch in batches:
+            if batch.num_rows:
+                waiting.append(batch)
+                held += batch.num_rows
+                if held >= RUN // 2 and (got := flush(False)) is not None:
+                    yield got
+        if (got := flush(True)) is not None:
+            yield got
+
+    return df.mapInArrow(run, rows)
+
+
+RUN = 1 << 17
+
+
+def runs(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and length of each run of equal values."""
+    start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, np.int64)
+    return start, np.diff(np.concatenate([start, [len(h)]]))
+
+
+def fits(a, b):
+    """Sizes that allow a similarity of 0.75."""
+    return (DEN * a >= NUM * b) & (DEN * b >= NUM * a)
+
+
+def starred(post: DataFrame) -> DataFrame:
+    """Columns of more than one row (or that may go on in another task), each row with a hub: its column's first node, the most common one."""
 
     def make():
-        state, last = {}, [None, None]
+        def f(c, first, last):
+            h, node, n = c["h"], c["node"], c["n"]
+            start, size = runs(h)
+            hub = np.repeat(start, size)
+            many = size > 1
+            if len(many):
+                many[0] |= first
+                many[-1] |= last
+            keep = np.repeat(many, size)
+            edge = np.zeros(len(size), bool)
+            if len(edge):
+                edge[0], edge[-1] = edge[0] or first, edge[-1] or last
+            ok = fits(n[hub], n) & (node[hub] != node)
+            pick = lambda x: x[keep]
+            rim = np.zeros(len(h), bool)
+            rim[start[edge]] = True
+            return [pick(h), pick(node), pick(n), pick(c["at"]), np.where(ok, node[hub], -1)[keep], pick(ok), pick(n[hub]), pick(rim)]
+
+        return f
+
+    ordered = post.repartitionByRange("h", F.desc("common"), "node").sortWithinPartitions("h", F.desc("common"), "node")
+    return grouped(ordered, make, "h long, node long, n long, at int, hub long, tried boolean, hub_n long, rim boolean")
+
+
+def tries(stars: DataFrame) -> DataFrame:
+    """a, b, n_a: the pairs (hub, other) to be tried; hubs of one column in several tasks are tried with the first of them."""
+    own = stars.where("tried").select(F.col("hub").alias("a"), F.col("node").alias("b"), F.col("hub_n").alias("n_a"))
+    rims = stars.where("rim").select("h", "node", "n")
+    tops = rims.groupBy("h").agg(F.min_by(F.struct("node", "n"), F.struct(-F.col("n"), "node")).alias("top"), F.count("*").alias("k")).where("k > 1")
+    more = rims.join(tops, "h").where((F.col("top.node") != F.col("node")) & fits(F.col("top.n"), F.col("n")))
+    return own.unionByName(more.select(F.col("top.node").alias("a"), F.col("node").alias("b"), F.col("top.n").alias("n_a"))).groupBy("a", "b").agg(F.max("n_a").alias("n_a"))
+
+
+def divided(post: DataFrame) -> DataFrame:
+    """From h, node, n, c (component): pairs (a, b, n_a, n_b) of short columns whose nodes are in different components; rows
+    (h, node as a, c as b) of long ones and of those that may go on in another task."""
+
+    def make():
+        def f(c, first, last):
+            h, node, n, comp = c["h"], c["node"], c["n"], c["c"]
+            start, size = runs(h)
+            out: list[list[np.ndarray]] = [[] for _ in range(5)]
+
+            def add(*cols):
+                for x, y in zip(out, cols, strict=True):
+                    x.append(y)
+
+            if len(start):
+                lo, hi = np.minimum.reduceat(comp, start), np.maximum.reduceat(comp, start)
+                edge = np.zeros(len(start), bool)
+                edge[0], edge[-1] = first, last or edge[-1]
+                hot = (size > LONG_COLUMN) & (lo != hi) | edge
+                rows = np.repeat(hot, size)
+                add(h[rows], node[rows], comp[rows], n[rows], n[rows] * 0 - 1)
+                short = np.flatnonzero(~hot & (lo != hi))
+                for back in range(1, int(size[short].max()) if len(short) else 1):
+                    on = short[size[short] > back]
+                    at = np.repeat(start[on], size[on] - back) + np.concatenate([np.arange(k) for k in (size[on] - back).tolist()])
+                    x, y = at, at + back
+                    ok = (comp[x] != comp[y]) & fits(n[x], n[y])
+                    x, y = x[ok], y[ok]
+                    swap = node[x] > node[y]
+                    x, y = np.where(swap, y, x), np.where(swap, x, y)
+                    add(h[x], node[x], node[y], n[x], n[y])
+            return [np.concatenate(x) if x else np.empty(0, np.int64) for x in out]
+
+        return f
+
+    ordered = post.repartitionByRange("h", "c", "node").sortWithinPartitions("h", "c", "node")
+    return grouped(ordered, make, "h long, a long, b long, n_a long, n_b long")
+
+
+def need(a, b):
+    """Overlap that sets of these sizes need."""
+    return F.ceil((a + b) * NUM / (NUM + DEN))
+
+
+def possible(pairs: DataFrame) -> DataFrame:
+    """Shared prefix columns of each pair are added up; what is not in the prefixes bounds the rest of the overlap. A pair that also shares a long column is looked at again there."""
+    rest = F.greatest(F.ceil(F.col("n_a") * NUM / DEN), F.ceil(F.col("n_b") * NUM / DEN)) - 1
+    counted = pairs.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("k"))
+    return counted.where(F.col("k") + rest >= need(F.col("n_a"), F.col("n_b"))).select("a", "b", "n_a")
+
+
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id, text of these ids; equal texts of an id once."""
+    keys = ("doc_id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))
+    return having(docs, ids).repartition("doc_id").select(*keys, "text").dropDuplicates(["doc_id", "t1", "t2"]).select("doc_id", "text")
+
+
+def product(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """a, b that link, among them all of pairs (a, b, n_a) that do: rows b times blocks of rows a."""
+    rows_a = pairs.groupBy("a").agg(F.max("n_a").alias("n_a"))
+    blocks = max(1, -(-rows_a.count() // BLOCK_ROWS))
+    block = F.when(F.col("n_a") > LONG_ROW, -1 - F.pmod(F.xxhash64(F.lit(3), "a"), F.lit(1 << 40))).otherwise(F.pmod(F.xxhash64(F.lit(7), "a"), F.lit(blocks)))
+    named = rows_a.select("a", block.alias("block"))
+    few = blocks * BLOCK_ROWS <= BROADCAST_IDS
+    right = pairs.join(F.broadcast(named) if few else named, "a").select("block", F.col("b").alias("doc_id")).distinct()
+    size = right.groupBy("block").agg(F.ceil(F.count("*") / TASK_ROWS).cast("int").alias("shares"))
+    size = materialize(size, "shares")
+    size = F.broadcast(size) if few else size
+    left = named.join(size, "block").select("block", F.col("a").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("side"))
+    right = right.join(size, "block").select("block", "doc_id", F.pmod(F.xxhash64("doc_id"), F.col("shares")).cast("int").alias("share"), F.lit(1).alias("side"))
+    wanted = materialize(left.unionByName(right), "wanted")
+    rows = wanted.join(texts_of(docs, wanted.select("doc_id").distinct()), "doc_id")
+    rows = rows.repartition("block", "share").sortWithinPartitions("block", "share", "side").select("block", "share", "side", "doc_id", "text")
+
+    def make():
+        state: dict = {}
+        now, ids, sets, matrix = [None], [], [], [None]
+
+        def built():
+            h, r = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+            at = np.argsort(h, kind="stable")
+            matrix[0] = h[at], r[at], np.array([len(x) for x in sets]), np.array(ids)
 
         def f(c):
-            ok = []
-            for a, ta, tb in zip(c[0], c[2], c[3], strict=True):
-                if last[0] != a or last[0] is None:
-                    last[:] = [a, shingles(ta, state)]
-                x, y = last[1], shingles(tb, state)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.minimum(np.searchsorted(y, x), max(0, len(y) - 1))
-                both = int((y[at] == x).sum()) if len(y) else 0
-                ok.append(both > 0 and DEN * both >= NUM * (len(x) + len(y) - both))
-            return [c[0], c[1], ok]
+            found: tuple[list, list] = ([], [])
+            for b, s, side, k, t in zip(*c, strict=True):
+                if now[0] != (b, s):
+                    now[0], matrix[0] = (b, s), None
+                    ids.clear()
+                    sets.clear()
+                own = shingles(t, state)
+                if not side:
+                    ids.append(k)
+                    sets.append(own)
+                    continue
+                if matrix[0] is None:
+                    built()
+                h, r, n, names = matrix[0]
+                lo, hi = np.searchsorted(h, own, "left"), np.searchsorted(h, own, "right")
+                hit = hi > lo
+                lo, many = lo[hit], (hi - lo)[hit]
+                cells = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+                both = np.bincount(r[cells], minlength=len(n))
+                ok = fits(n, len(own)) & (both > 0) & (DEN * both >= NUM * (n + len(own) - both)) & (names != k)
+                found[0].extend(names[ok].tolist())
+                found[1].extend([k] * int(ok.sum()))
+            return found
 
         return f
 
-    return map_rows(rows, make, schema("a long, b long, ok boolean")).where("ok").select("a", "b")
+    return map_rows(rows, make, schema("a long, b long"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -210,38 +421,46 @@ def components(edges: DataFrame) -> DataFrame:
 def similar(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sets = materialize(signatures(docs, sketch(docs)), "sets")
+    plain = docs.withColumn("groups", F.lit(None).cast("array<long>"))
+    bits = bits_for(docs)
+    sets = materialize(signatures(plain, sketch(plain.select("text", "groups"), bits)), "sets")
     classes = materialize(sets.where("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("node")), "classes")
-    nodes = classes.where("node is not null").select(F.col("node").alias("doc_id"))
-    rows = sets.select("doc_id", "n_shingles", "common", "prefix").where("n_shingles > 0")
-    rows = having(rows, nodes)
-    post = materialize(rows.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "common", F.posexplode("prefix").alias("at", "h"))
-                       .withColumn("size_h", F.count("*").over(Window.partitionBy("h"))).where("size_h > 1").drop("size_h"), "columns")
-    hub = F.first(F.struct("node", "n")).over(Window.partitionBy("h").orderBy(F.desc("common"), "node").rowsBetween(Window.unboundedPreceding, 0))
-    hubs = post.withColumn("hub", hub)
-    tried = hubs.where((F.col("hub.node") != F.col("node")) & fits(F.col("hub.n"), F.col("n"))).select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
-    tried = materialize(tried, "tried")
-    ends = materialize(tried.select(F.col("a").alias("doc_id")).unionByName(tried.select(F.col("b").alias("doc_id"))).distinct(), "ends")
-    once = lambda t: t.dropDuplicates(["doc_id"])
-    edges = materialize(linked(tried, once(having(docs, ends))), "links")
-    joined = components(edges)
-    label = joined.withColumnRenamed("node", "l_node")
-    named = post.join(label, F.col("node") == F.col("l_node"), "left").withColumn("c", F.coalesce("component", "node")).drop("l_node", "component")
-    mixed = named.withColumn("lo", F.min("c").over(Window.partitionBy("h"))).withColumn("hi", F.max("c").over(Window.partitionBy("h"))).where("lo <> hi")
-    mixed = materialize(mixed.withColumn("top", F.first("c").over(Window.partitionBy("h").orderBy(F.desc("common"), "node").rowsBetween(Window.unboundedPreceding, 0))), "mixed")
-    minor = mixed.where("c <> top").select("h", *(F.col(x).alias(f"{x}_x") for x in ("node", "n", "at", "c")))
-    need = F.ceil((F.col("n") + F.col("n_x")) * NUM / (NUM + DEN))
-    found = minor.join(mixed, "h").where(
-        (F.col("c") != F.col("c_x")) & fits(F.col("n"), F.col("n_x"))
-        & (F.least(F.col("n") - F.col("at"), F.col("n_x") - F.col("at_x")) >= need)
-    )
-    left = found.select(F.least("node", "node_x").alias("a"), F.greatest("node", "node_x").alias("b")).distinct()
-    done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    left = materialize(left.join(done, ["a", "b"], "left_anti"), "left")
-    ends = materialize(left.select(F.col("a").alias("doc_id")).unionByName(left.select(F.col("b").alias("doc_id"))).distinct(), "ends")
-    more = materialize(linked(left, once(having(docs, ends))), "links")
-    joined = components(edges.unionByName(more)) if more.limit(1).count() else joined
-    named = classes.join(joined, classes.node == joined.node, "left").select("f1", "f2", "n_shingles", F.coalesce("component", classes.node).alias("component_id"))
+    nodes = classes.where("node is not null").select(F.col("node").alias("doc_id")).distinct()
+    # a doc_id with several texts joins their classes
+    several = sets.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("f1").alias("lo"), F.max("f1").alias("hi")).where("lo <> hi").select("doc_id")
+    several = sets.where("n_shingles > 0").join(several, "doc_id", "left_semi").join(classes, ["f1", "f2", "n_shingles"]).groupBy("doc_id", "node").count()
+    edges = materialize(several.select(F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a <> b"), "links")
+    columns = lambda sets: sets.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "common", F.posexplode("prefix").alias("at", "h"))
+    post = columns(having(sets.where("n_shingles > 0"), nodes))
+    joined = None
+    for depth in range(DEPTH + 1):
+        stars = materialize(starred(post), "stars")
+        edges = materialize(edges.unionByName(product(materialize(tries(stars), "tries"), docs)), "links")
+        joined = components(edges).select(F.col("node").alias("l_node"), F.col("component").alias("l_c"))
+        label = F.coalesce("l_c", "node").alias("c")
+        named = stars.join(joined, F.col("node") == F.col("l_node"), "left").select("h", "node", "n", label)
+        both = materialize(divided(named), "divided")
+        long = both.where("n_b < 0").select("h", F.col("a").alias("node"), F.col("b").alias("c"), F.col("n_a").alias("n"))
+        mixed = long.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select(F.col("h").alias("doc_id"))
+        long = materialize(having(long.withColumnRenamed("h", "doc_id"), materialize(mixed, "mixed")).withColumnRenamed("doc_id", "h"), "long")
+        # columns cut by the tasks' borders are short ones often enough
+        cut = long.groupBy("h").count().where(F.col("count") <= (LONG_COLUMN if depth < DEPTH else 1 << 62)).select("h")
+        cut = materialize(cut, "cut")
+        own = long.join(cut, "h", "left_semi").select("h", F.col("node").alias("a"), F.col("c").alias("c_a"), F.col("n").alias("n_a"))
+        other = own.select("h", F.col("a").alias("b"), F.col("c_a").alias("c_b"), F.col("n_a").alias("n_b"))
+        rest = own.join(other, "h").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & fits(F.col("n_a"), F.col("n_b")))
+        pairs = materialize(possible(both.where("n_b >= 0").select("a", "b", "n_a", "n_b").unionByName(rest.select("a", "b", "n_a", "n_b"))), "pairs")
+        long = long.join(cut, "h", "left_anti")
+        last = not long.limit(1).count()
+        if pairs.limit(1).count():
+            edges = materialize(edges.unionByName(product(pairs, docs)), "links")
+            joined = components(edges).select(F.col("node").alias("l_node"), F.col("component").alias("l_c"))
+        if last:
+            break
+        groups = long.groupBy("node").agg(F.collect_set("h").alias("groups")).select(F.col("node").alias("doc_id"), "groups")
+        inside = materialize(texts_of(docs, groups.select("doc_id")).join(groups, "doc_id"), "inside")
+        post = columns(signatures(inside, sketch(inside.select("text", "groups"), bits)))
+    named = classes.join(joined, classes.node == F.col("l_node"), "left").select("f1", "f2", "n_shingles", F.coalesce("l_c", classes.node).alias("component_id"))
     return (
         sets.select("doc_id", "n_shingles", "f1", "f2").join(named, ["f1", "f2", "n_shingles"], "left")
         .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
@@ -253,12 +472,15 @@ def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one of the smallest doc_id; rows without doc_id stay."""
+    """One document of each group stays, the one of the smallest doc_id (of its repeated rows, one whole row); rows without doc_id stay."""
     found = similar(docs).where("doc_id is not null")
-    ids = materialize(found.groupBy("doc_id").agg(F.sum((F.col("component_id") == F.col("doc_id")).cast("int")).alias("own_")).where("own_ <> 1").select(F.col("doc_id").alias("id_"), "own_"), "verdicts")
+    ids = found.groupBy("doc_id").agg(F.min("component_id").alias("own"), F.count("*").alias("rows")).where("own <> doc_id or rows > 1")
+    ids = materialize(ids.select("doc_id", (F.col("own") == F.col("doc_id")).alias("stays")), "verdicts")
     few = ids.count() <= BROADCAST_IDS
-    of = lambda ids, how: docs.join(F.broadcast(ids) if few else ids, docs["doc_id"] == ids["id_"], how)
-    return of(ids, "left_anti").unionByName(of(ids.where("own_ > 1"), "left_semi").dropDuplicates(["doc_id"]))
+    id_, stays = fresh(docs, "id"), fresh(docs, "stays")
+    ids = ids.select(F.col("doc_id").alias(id_), F.col("stays").alias(stays))
+    of = lambda ids, how: docs.join(F.broadcast(ids) if few else ids, docs["doc_id"] == ids[id_], how)
+    return of(ids, "left_anti").unionByName(of(ids.where(stays), "left_semi").dropDuplicates(["doc_id"]))
 
 
 ORACLE = """

@@ -105,8 +105,8 @@ def brute_components(texts):
     return comp, [len(s) for s in sets]
 
 
-def test_jaccard_against_brute_force(spark):
-    rng = np.random.default_rng(5)
+def near_texts(seed):
+    rng = np.random.default_rng(seed)
     base = [[f"w{rng.integers(500)}" for _ in range(rng.integers(3, 60))] for _ in range(12)]
     texts = ["", None, "a b", "A B", *(" ".join(b) for b in base)]
     for b in base:
@@ -115,11 +115,53 @@ def test_jaccard_against_brute_force(spark):
             for _ in range(rng.integers(0, 4)):
                 c[rng.integers(len(c))] = f"e{rng.integers(99)}"
             texts.append(" ".join(c))
+    joint = " ".join(f"j{k}" for k in range(40))  # one passage in many documents that are near it or not
+    return texts + [joint + " " + " ".join(f"o{seed}{k}{j % (1 + k % 9)}" for j in range(k)) for k in range(40)]
+
+
+@pytest.mark.parametrize("long_column, depth", [(24, 4), (2, 3), (1, 0), (1, 1)])
+def test_jaccard_against_brute_force(spark, monkeypatch, long_column, depth):
+    monkeypatch.setattr(jaccard, "LONG_COLUMN", long_column)
+    monkeypatch.setattr(jaccard, "DEPTH", depth)
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", 3)
+    monkeypatch.setattr(jaccard, "TASK_ROWS", 4)
+    texts = near_texts(5 + depth)
     got = {r.doc_id: (r.component_id, r.n_shingles) for r in jaccard.similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
     comp, sizes = brute_components(texts)
     assert got == {i: (c, n) for i, (c, n) in enumerate(zip(comp, sizes, strict=True))}
 
 
+def test_jaccard_of_repeated_ids(spark):
+    a, b = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
+    rows = [(7, a), (5, a), (7, b), (9, b + " more"), (9, b + " more"), (None, b), (3, "alone it stands here now"), (7, None)]
+    got = sorted((r.doc_id or -1, r.component_id, r.n_shingles) for r in jaccard.similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect())
+    assert got == [(-1, 5, 26), (3, 3, 1), (5, 5, 26), (7, 5, 26), (7, 5, 26), (7, 7, 0), (9, 5, 27), (9, 5, 27)]
+
+
+def test_jaccard_pairs_grow_no_faster_than_rows(spark, monkeypatch):
+    made = {}
+    plain = jaccard.materialize
+
+    def counted(df, name):
+        out = plain(df, name)
+        made[name] = made.get(name, 0) + (out.count() if name in ("stars", "tries", "divided", "pairs") else 0)
+        return out
+
+    monkeypatch.setattr(jaccard, "materialize", counted)
+    share = []
+    for k in (15, 50, 80):
+        passages = [" ".join(f"p{i}x{j}" for j in range(30)) for i in range(k)]
+        texts = [f"{passages[i]} {passages[j]}" for i in range(k) for j in range(i)]
+        made.clear()
+        got = jaccard.similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
+        assert all(r.doc_id == r.component_id for r in got)
+        share.append((made["tries"] + made["divided"] + made["pairs"]) / made["stars"])
+        print(k, len(texts), made)
+        assert made["pairs"] <= made["stars"]
+    print(share)
+    assert share[2] <= 1.5 * share[0] + 2
+
+
 ODD = ["don't", "É", "\x1cx", "İ", "Σ", "²", "<|endoftext|>", "<|startoftext|>", " ", "\n", "a<|EndOfText|>", "×", "÷x", "日本語", "привет", "«ok»", "\x85", "\u3000", "12a", "a12", "...", "e\u0301", "x" * 40, "\x00", "'ll", "'", "ñ'S", "z\u0338", "😀", "_-", "\u200b", "Ⅷ", "½", "ª"]
 
 
