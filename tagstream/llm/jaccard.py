@@ -15,10 +15,11 @@ decide which blocks are multiplied at all:
      salted. Linked nodes are joined to components.
   5. Columns whose nodes are still in different components: short ones give their pairs, and a pair's shared
      prefix columns are counted; what they leave possible bounds the overlap, and pairs below it go. The rest is
-     multiplied as in 4. Long columns (over LONG_COLUMN nodes) never give pairs: the documents of such a
-     column are ordered anew by the frequencies inside it, where what they all share is frequent and what sets them
-     apart is rare, and steps 2 to 5 are repeated inside it. After DEPTH such rounds a column is joined
-     with itself, which is exact too.
+     multiplied as in 4. Long columns (over LONG_COLUMN nodes) never give pairs. Nodes that hang together by long
+     columns are a cluster; one of up to DENSE nodes is multiplied with itself in blocks. In larger ones, the
+     documents of each column are ordered anew by the frequencies inside it, where what they all share is
+     frequent and what sets them apart is rare, and steps 2 to 5 are repeated inside it. After DEPTH such
+     rounds all clusters are multiplied in blocks, which is exact whatever their size.
 
 Cases: null and empty texts and texts without words have the empty set and link with nothing;
 texts of fewer than 5 words are one shingle; copies share their class; rows that repeat a doc_id are one
@@ -40,12 +41,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .common import bounded, documents, forget, fresh, map_rows, materialize, schema, slices
 
 WORDS, NUM, DEN = 5, 3, 4
-#: The sketch has a place for each SKETCH_SHARE bytes of text, within these powers of two. Beyond, places are shared by
-#: more n-grams: frequent ones still come last, and columns that get long go the way of step 5.
-SKETCH_SHARE, SKETCH_LEAST, SKETCH_MOST, SKETCH_BLOCK, FAN_IN = 128, 12, 24, 1 << 12, 32
-LONG_COLUMN, DEPTH = 24, 4
-#: Rows a of a block, rows b of a task's share of it, and the set size from which a row is a block of its own.
-BLOCK_ROWS, TASK_ROWS, LONG_ROW = 128, 8192, 50_000
+#: The sketch has a place for each SKETCH_SHARE bytes of text (INNER_SHARE inside columns), within these powers of two. Beyond,
+#: places are shared by more n-grams: frequent ones still come last, and columns that get long go the way of step 5.
+SKETCH_SHARE, INNER_SHARE, SKETCH_LEAST, SKETCH_MOST, SKETCH_BLOCK, FAN_IN = 128, 8, 16, 24, 1 << 12, 32
+LONG_COLUMN, DENSE, DEPTH, NEIGHBOURS = 24, 2048, 2, 16
+#: Rows a of a block and their n-grams, rows b of a task's share of it, and the set size from which a row is a block of its own.
+BLOCK_ROWS, BLOCK_GRAMS, TASK_ROWS, LONG_ROW = 128, 2_000_000, 8192, 50_000
 BROADCAST_IDS = 2_000_000
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -103,9 +104,10 @@ def squeezed(counts: np.ndarray) -> bytes:
     return zlib.compress(counts.tobytes(), 1)
 
 
-def bits_for(df: DataFrame, text: str = "text") -> int:
-    size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    return min(SKETCH_MOST, max(SKETCH_LEAST, (size // SKETCH_SHARE).bit_length()))
+def bits_for(df: DataFrame, share: int) -> int:
+    """From text, groups: bits of the sketch's places."""
+    size = df.agg(F.sum(F.octet_length("text").cast("long") * F.greatest(F.lit(1), F.coalesce(F.size("groups"), F.lit(1))))).first()[0] or 0
+    return min(SKETCH_MOST, max(SKETCH_LEAST, (size // share).bit_length()))
 
 
 def keyed(h: np.ndarray, group: int | None) -> np.ndarray:
@@ -113,11 +115,12 @@ def keyed(h: np.ndarray, group: int | None) -> np.ndarray:
     return h if group is None else mix(h ^ mix(np.array([group]).view(_U), 5)[0], 9)
 
 
-def sketch(df: DataFrame, bits: int) -> np.ndarray:
+def sketch(df: DataFrame, share: int) -> np.ndarray:
     """Counts of the n-grams of all rows (text, and in column 1 the columns they are looked at in) in 2^bits places. Tasks
     add up their own; blocks of places are then added up by FAN_IN at a time, so no group grows with the input."""
     rows = schema("task int, block int, counts binary")
     out = to_arrow_schema(rows)
+    bits = bits_for(df, share)
     step = min(SKETCH_BLOCK, 1 << bits)
     bounded(df.sparkSession)
 
@@ -327,6 +330,21 @@ def divided(post: DataFrame) -> DataFrame:
     return grouped(ordered, make, "h long, a long, b long, n_a long, n_b long")
 
 
+def outer(long: DataFrame) -> DataFrame:
+    """h, node, c, n of the long columns, without those whose nodes all are in a longer one too: it holds all their pairs.
+
+    A passage that documents share gives many such columns. Each column is compared with NEIGHBOURS longer ones of each node.
+    """
+    rows = long.groupBy("h", "node").agg(F.max("c").alias("c"), F.max("n").alias("n"))
+    size = rows.groupBy("h").agg(F.count("*").alias("size"))
+    rows = rows.join(size, "h")
+    per = rows.groupBy("node").agg(F.sort_array(F.collect_set(F.struct("size", "h")), False).alias("all"))
+    at = per.select(F.posexplode("all").alias("at", "own"), "all")
+    near = at.select(F.col("own.h").alias("h"), F.col("own.size").alias("size"), F.explode(F.expr(f"slice(all, greatest(1, at + 1 - {NEIGHBOURS}), least(at, {NEIGHBOURS}))")).alias("other"))
+    inner = near.groupBy("h", F.col("other.h").alias("o")).agg(F.count("*").alias("k"), F.first("size").alias("size")).where("k = size").select("h").distinct()
+    return rows.join(materialize(inner, "inner"), "h", "left_anti").select("h", "node", "c", "n")
+
+
 def need(a, b):
     """Overlap that sets of these sizes need."""
     return F.ceil((a + b) * NUM / (NUM + DEN))
@@ -345,18 +363,46 @@ def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return having(docs, ids).repartition("doc_id").select(*keys, "text").dropDuplicates(["doc_id", "t1", "t2"]).select("doc_id", "text")
 
 
+def blocks_of(rows: str = "rows", grams: str = "grams"):
+    return F.greatest(F.lit(1), F.ceil(F.col(rows) / BLOCK_ROWS), F.ceil(F.col(grams) / BLOCK_GRAMS)).cast("long")
+
+
 def product(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """a, b that link, among them all of pairs (a, b, n_a) that do: rows b times blocks of rows a."""
     rows_a = pairs.groupBy("a").agg(F.max("n_a").alias("n_a"))
-    blocks = max(1, -(-rows_a.count() // BLOCK_ROWS))
+    blocks = rows_a.agg(F.count("*").alias("rows"), F.coalesce(F.sum("n_a"), F.lit(0)).alias("grams")).select(blocks_of()).first()[0]
     block = F.when(F.col("n_a") > LONG_ROW, -1 - F.pmod(F.xxhash64(F.lit(3), "a"), F.lit(1 << 40))).otherwise(F.pmod(F.xxhash64(F.lit(7), "a"), F.lit(blocks)))
     named = rows_a.select("a", block.alias("block"))
     few = blocks * BLOCK_ROWS <= BROADCAST_IDS
     right = pairs.join(F.broadcast(named) if few else named, "a").select("block", F.col("b").alias("doc_id")).distinct()
+    return multiply(named.select("block", F.col("a").alias("doc_id")), right, docs, few)
+
+
+def squared(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """From cluster, node, c, n: links between nodes of a cluster whose components differ. Rows of its largest component are not multiplied with each other."""
+    top = rows.groupBy("cluster", "c").agg(F.count("*").alias("k")).groupBy("cluster").agg(F.max_by("c", F.struct("k", "c")).alias("top"))
+    rows = rows.join(top, "cluster")
+    minor = rows.where("c <> top")
+    size = materialize(minor.groupBy("cluster").agg(F.count("*").alias("rows"), F.sum("n").alias("grams")).select("cluster", blocks_of().alias("blocks")), "clusters")
+    block = lambda k: F.xxhash64("cluster", k).alias("block")
+    left = minor.join(size, "cluster").select(block(F.pmod(F.xxhash64("node"), F.col("blocks"))), F.col("node").alias("doc_id"))
+    right = rows.join(size, "cluster").select("cluster", F.col("node").alias("doc_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("k")).select(block(F.col("k")), "doc_id")
+    return multiply(left, right, docs, False)
+
+
+def clusters(long: DataFrame) -> DataFrame:
+    """cluster, node, c, n: the nodes that hang together by the columns (h, node, c, n)."""
+    first = long.groupBy("h").agg(F.min("node").alias("b"))
+    found = components(long.join(first, "h").select(F.col("node").alias("a"), "b").where("a <> b").distinct()).select("node", F.col("component").alias("cluster"))
+    return long.groupBy("node", "c").agg(F.max("n").alias("n")).join(found, "node").select("cluster", "node", "c", "n")
+
+
+def multiply(left: DataFrame, right: DataFrame, docs: DataFrame, few: bool) -> DataFrame:
+    """a, b that link: left (block, doc_id) are the rows a of each block, right the rows b that it is multiplied with."""
     size = right.groupBy("block").agg(F.ceil(F.count("*") / TASK_ROWS).cast("int").alias("shares"))
     size = materialize(size, "shares")
     size = F.broadcast(size) if few else size
-    left = named.join(size, "block").select("block", F.col("a").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("side"))
+    left = left.join(size, "block").select("block", "doc_id", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("side"))
     right = right.join(size, "block").select("block", "doc_id", F.pmod(F.xxhash64("doc_id"), F.col("shares")).cast("int").alias("share"), F.lit(1).alias("side"))
     wanted = materialize(left.unionByName(right), "wanted")
     rows = wanted.join(texts_of(docs, wanted.select("doc_id").distinct()), "doc_id")
@@ -422,8 +468,7 @@ def similar(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     """doc_id, n_shingles, component_id of every row."""
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     plain = docs.withColumn("groups", F.lit(None).cast("array<long>"))
-    bits = bits_for(docs)
-    sets = materialize(signatures(plain, sketch(plain.select("text", "groups"), bits)), "sets")
+    sets = materialize(signatures(plain, sketch(plain.select("text", "groups"), SKETCH_SHARE)), "sets")
     classes = materialize(sets.where("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("node")), "classes")
     nodes = classes.where("node is not null").select(F.col("node").alias("doc_id")).distinct()
     # a doc_id with several texts joins their classes
@@ -437,29 +482,33 @@ def similar(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
         stars = materialize(starred(post), "stars")
         edges = materialize(edges.unionByName(product(materialize(tries(stars), "tries"), docs)), "links")
         joined = components(edges).select(F.col("node").alias("l_node"), F.col("component").alias("l_c"))
-        label = F.coalesce("l_c", "node").alias("c")
-        named = stars.join(joined, F.col("node") == F.col("l_node"), "left").select("h", "node", "n", label)
+        named = stars.join(joined, F.col("node") == F.col("l_node"), "left").select("h", "node", "n", F.coalesce("l_c", "node").alias("c"))
         both = materialize(divided(named), "divided")
         long = both.where("n_b < 0").select("h", F.col("a").alias("node"), F.col("b").alias("c"), F.col("n_a").alias("n"))
         mixed = long.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select(F.col("h").alias("doc_id"))
         long = materialize(having(long.withColumnRenamed("h", "doc_id"), materialize(mixed, "mixed")).withColumnRenamed("doc_id", "h"), "long")
         # columns cut by the tasks' borders are short ones often enough
-        cut = long.groupBy("h").count().where(F.col("count") <= (LONG_COLUMN if depth < DEPTH else 1 << 62)).select("h")
-        cut = materialize(cut, "cut")
+        cut = materialize(long.groupBy("h").count().where(F.col("count") <= LONG_COLUMN).select("h"), "cut")
         own = long.join(cut, "h", "left_semi").select("h", F.col("node").alias("a"), F.col("c").alias("c_a"), F.col("n").alias("n_a"))
         other = own.select("h", F.col("a").alias("b"), F.col("c_a").alias("c_b"), F.col("n_a").alias("n_b"))
         rest = own.join(other, "h").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & fits(F.col("n_a"), F.col("n_b")))
         pairs = materialize(possible(both.where("n_b >= 0").select("a", "b", "n_a", "n_b").unionByName(rest.select("a", "b", "n_a", "n_b"))), "pairs")
-        long = long.join(cut, "h", "left_anti")
-        last = not long.limit(1).count()
-        if pairs.limit(1).count():
-            edges = materialize(edges.unionByName(product(pairs, docs)), "links")
+        more = [product(pairs, docs)] if pairs.limit(1).count() else []
+        long = materialize(outer(long.join(cut, "h", "left_anti")), "outer")
+        if some := long.limit(1).count() > 0:
+            rows = materialize(clusters(long), "rows")
+            large = rows.groupBy("cluster").count().where(F.col("count") > (DENSE if depth < DEPTH else 1 << 62)).select("cluster")
+            large = materialize(rows.join(large, "cluster", "left_semi").select(F.col("node").alias("doc_id")), "large")
+            more.append(squared(rows.join(large, F.col("node") == F.col("doc_id"), "left_anti"), docs))
+        for links in more:
+            edges = materialize(edges.unionByName(links), "links")
+        if more:
             joined = components(edges).select(F.col("node").alias("l_node"), F.col("component").alias("l_c"))
-        if last:
+        if not some or not large.limit(1).count():
             break
-        groups = long.groupBy("node").agg(F.collect_set("h").alias("groups")).select(F.col("node").alias("doc_id"), "groups")
+        groups = having(long.groupBy(F.col("node").alias("doc_id")).agg(F.collect_set("h").alias("groups")), large.distinct())
         inside = materialize(texts_of(docs, groups.select("doc_id")).join(groups, "doc_id"), "inside")
-        post = columns(signatures(inside, sketch(inside.select("text", "groups"), bits)))
+        post = columns(signatures(inside, sketch(inside.select("text", "groups"), INNER_SHARE)))
     named = classes.join(joined, classes.node == F.col("l_node"), "left").select("f1", "f2", "n_shingles", F.coalesce("l_c", classes.node).alias("component_id"))
     return (
         sets.select("doc_id", "n_shingles", "f1", "f2").join(named, ["f1", "f2", "n_shingles"], "left")

@@ -119,8 +119,9 @@ def near_texts(seed):
     return texts + [joint + " " + " ".join(f"o{seed}{k}{j % (1 + k % 9)}" for j in range(k)) for k in range(40)]
 
 
-@pytest.mark.parametrize("long_column, depth", [(24, 4), (2, 3), (1, 0), (1, 1)])
-def test_jaccard_against_brute_force(spark, monkeypatch, long_column, depth):
+@pytest.mark.parametrize("long_column, depth, dense", [(24, 2, 2048), (2, 2, 3), (1, 0, 3), (1, 1, 9)])
+def test_jaccard_against_brute_force(spark, monkeypatch, long_column, depth, dense):
+    monkeypatch.setattr(jaccard, "DENSE", dense)
     monkeypatch.setattr(jaccard, "LONG_COLUMN", long_column)
     monkeypatch.setattr(jaccard, "DEPTH", depth)
     monkeypatch.setattr(jaccard, "BLOCK_ROWS", 3)
@@ -148,8 +149,9 @@ def test_jaccard_pairs_grow_no_faster_than_rows(spark, monkeypatch):
         return out
 
     monkeypatch.setattr(jaccard, "materialize", counted)
+    monkeypatch.setattr(jaccard, "DENSE", 100)
     share = []
-    for k in (15, 50, 80):
+    for k in (15, 30, 50):
         passages = [" ".join(f"p{i}x{j}" for j in range(30)) for i in range(k)]
         texts = [f"{passages[i]} {passages[j]}" for i in range(k) for j in range(i)]
         made.clear()
