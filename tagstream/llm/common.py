@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,6 +58,11 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def whole(df: DataFrame):
+    """All columns of df in one struct, so that their names cannot clash with others."""
+    return F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in df.columns))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -117,3 +124,89 @@ def forget(kind: str) -> None:
     kept = sys.modules.get("_tagstream_worker")
     if kept is not None and kept.__dict__.pop(kind, None):
         pa.default_memory_pool().release_unused()
+
+
+_U = np.uint64
+_BASE = 0x9E3779B97F4A7C15 | 1
+SKETCH_BLOCK, FAN_IN = 1 << 12, 32
+
+
+def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
+    h = h ^ _U(salt)
+    h = (h ^ (h >> _U(33))) * _U(0xFF51AFD7ED558CCD)
+    h = (h ^ (h >> _U(33))) * _U(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> _U(33))
+
+
+def powers(state: dict, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse modulo 2^64."""
+    if len(state.get("up", ())) < n:
+        n = max(n, 1 << 15, 2 * len(state.get("up", ())))
+        state["up"], state["down"] = (np.cumprod(np.concatenate([[_U(1)], np.full(n - 1, _U(b))]), dtype=_U) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
+    return state["up"], state["down"]
+
+
+def word_hashes(text: str, state: dict) -> np.ndarray:
+    """A 64-bit hash of each word, A-Z lower-cased."""
+    raw, start, end = word_bounds(text.encode("utf-8", "surrogatepass").lower())
+    return span_hashes(raw, start, end, state)
+
+
+def word_bounds(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes between two spaces, start and end of each word in them."""
+    raw = np.frombuffer(b" " + text + b" ", np.uint8)
+    space = (raw == 32) | ((raw >= 9) & (raw <= 13))
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    return raw, edge[0::2], edge[1::2]
+
+
+def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, state: dict) -> np.ndarray:
+    """A 64-bit hash of raw[start:end] of each span; raw may hold bytes or hashes."""
+    if not len(start):
+        return np.empty(0, _U)
+    up, down = powers(state, len(raw) + 1)
+    total = np.zeros(len(raw) + 1, _U)
+    np.cumsum((raw.astype(_U) + _U(1)) * up[: len(raw)], out=total[1:])
+    return mix((total[end] - total[start]) * down[start], 0) ^ mix((end - start).astype(_U), 77)
+
+
+def squeezed(counts: np.ndarray) -> bytes:
+    """Most counts of a task are small: a few bits each."""
+    return zlib.compress(counts.tobytes(), 1)
+
+
+def count_sketch(df: DataFrame, bits: int, make) -> np.ndarray:
+    """Counts of the hashes that make()(columns) yields as arrays, in 2^bits places by their leading bits. Tasks
+    add up their own; blocks of places are then added up by FAN_IN at a time, so no group grows with the input."""
+    rows = schema("task int, block int, counts binary")
+    out = to_arrow_schema(rows)
+    step = min(SKETCH_BLOCK, 1 << bits)
+    bounded(df.sparkSession)
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        forget("packing")
+        f, total = make(), np.zeros(1 << bits, np.uint32)
+        for batch in batches:
+            for part in slices(batch):
+                for h in f([c.to_pylist() for c in part.columns]):
+                    np.add.at(total, (h >> _U(64 - bits)).astype(np.int64), np.uint32(1))
+        task = TaskContext.get().partitionId()
+        for b in range(0, len(total), step):
+            if total[b : b + step].any():
+                yield pa.record_batch([pa.array([task], pa.int32()), pa.array([b // step], pa.int32()), pa.array([squeezed(total[b : b + step])], pa.binary())], schema=out)
+
+    def add(key, table):
+        total = sum(np.frombuffer(zlib.decompress(x), np.uint32).astype(np.uint64) for x in table["counts"].to_pylist())
+        return pa.table([pa.array([key[1].as_py()], pa.int32()), pa.array([key[0].as_py()], pa.int32()), pa.array([squeezed(np.minimum(total, 0xFFFFFFFF).astype(np.uint32))], pa.binary())], schema=out)
+
+    parts = materialize(df.mapInArrow(run, rows), "sketch")
+    tasks = (parts.agg(F.max("task")).first()[0] or 0) + 1
+    while tasks > 1:
+        tasks = -(-tasks // FAN_IN)
+        parts = parts.groupBy("block", F.floor(F.col("task") / FAN_IN).cast("int").alias("upper")).applyInArrow(add, rows)
+    total = np.zeros(1 << bits, np.uint32)
+    for r in parts.select("block", "counts").collect():  # 2^bits places
+        total[r.block * step : (r.block + 1) * step] = np.frombuffer(zlib.decompress(r.counts), np.uint32)
+    return total

@@ -30,7 +30,6 @@ their class, whose id then comes from the others (null if there are none); no ro
 from __future__ import annotations
 
 import math
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -38,47 +37,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import bounded, documents, forget, fresh, map_rows, materialize, schema, slices
+from .common import bounded, count_sketch, documents, forget, fresh, map_rows, materialize, mix, schema, word_hashes
 
 WORDS, NUM, DEN = 5, 3, 4
 #: The sketch has a place for each SKETCH_SHARE bytes of text (INNER_SHARE inside columns), within these powers of two. Beyond,
 #: places are shared by more n-grams: frequent ones still come last, and columns that get long go the way of step 5.
-SKETCH_SHARE, INNER_SHARE, SKETCH_LEAST, SKETCH_MOST, SKETCH_BLOCK, FAN_IN = 128, 8, 16, 24, 1 << 12, 32
+SKETCH_SHARE, INNER_SHARE, SKETCH_LEAST, SKETCH_MOST = 128, 8, 16, 24
 LONG_COLUMN, DENSE, DEPTH, NEIGHBOURS = 24, 2048, 2, 16
 #: Rows a of a block and their n-grams, rows b of a task's share of it, and the set size from which a row is a block of its own.
 BLOCK_ROWS, BLOCK_GRAMS, TASK_ROWS, LONG_ROW = 128, 2_000_000, 8192, 50_000
 BROADCAST_IDS = 2_000_000
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-
-
-def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
-    h = h ^ _U(salt)
-    h = (h ^ (h >> _U(33))) * _U(0xFF51AFD7ED558CCD)
-    h = (h ^ (h >> _U(33))) * _U(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> _U(33))
-
-
-def powers(state: dict, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2^64."""
-    if len(state.get("up", ())) < n:
-        n = max(n, 1 << 15, 2 * len(state.get("up", ())))
-        state["up"], state["down"] = (np.cumprod(np.concatenate([[_U(1)], np.full(n - 1, _U(b))]), dtype=_U) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
-    return state["up"], state["down"]
-
-
-def word_hashes(text: str, state: dict) -> np.ndarray:
-    """A 64-bit hash of each word, A-Z lower-cased."""
-    raw = np.frombuffer(b" " + text.encode("utf-8", "surrogatepass").lower() + b" ", np.uint8)
-    space = (raw == 32) | ((raw >= 9) & (raw <= 13))
-    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
-    start, end = edge[0::2], edge[1::2]
-    if not len(start):
-        return np.empty(0, _U)
-    up, down = powers(state, len(raw) + 1)
-    total = np.zeros(len(raw) + 1, _U)
-    np.cumsum((raw.astype(_U) + _U(1)) * up[: len(raw)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start], 0) ^ mix((end - start).astype(_U), 77)
 
 
 def shingles(text: str | None, state: dict) -> np.ndarray:
@@ -99,11 +68,6 @@ def least(n):
     return -(-NUM * n // DEN)
 
 
-def squeezed(counts: np.ndarray) -> bytes:
-    """Most counts of a task are small: a few bits each."""
-    return zlib.compress(counts.tobytes(), 1)
-
-
 def bits_for(df: DataFrame, share: int) -> int:
     """From text, groups: bits of the sketch's places."""
     size = df.agg(F.sum(F.octet_length("text").cast("long") * F.greatest(F.lit(1), F.coalesce(F.size("groups"), F.lit(1))))).first()[0] or 0
@@ -116,43 +80,20 @@ def keyed(h: np.ndarray, group: int | None) -> np.ndarray:
 
 
 def sketch(df: DataFrame, share: int) -> np.ndarray:
-    """Counts of the n-grams of all rows (text, and in column 1 the columns they are looked at in) in 2^bits places. Tasks
-    add up their own; blocks of places are then added up by FAN_IN at a time, so no group grows with the input."""
-    rows = schema("task int, block int, counts binary")
-    out = to_arrow_schema(rows)
-    bits = bits_for(df, share)
-    step = min(SKETCH_BLOCK, 1 << bits)
-    bounded(df.sparkSession)
+    """Counts of the n-grams of all rows (text, and the columns (groups) they are looked at in)."""
 
-    def run(batches):
-        from pyspark import TaskContext
+    def make():
+        state: dict = {}
 
-        forget("packing")
-        state, total = {}, np.zeros(1 << bits, np.uint32)
-        for batch in batches:
-            for part in slices(batch):
-                for t, groups in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    h = shingles(t, state)
-                    for g in groups or [None]:
-                        np.add.at(total, (keyed(h, g) >> _U(64 - bits)).astype(np.int64), np.uint32(1))
-        task = TaskContext.get().partitionId()
-        for b in range(0, len(total), step):
-            if total[b : b + step].any():
-                yield pa.record_batch([pa.array([task], pa.int32()), pa.array([b // step], pa.int32()), pa.array([squeezed(total[b : b + step])], pa.binary())], schema=out)
-
-    def add(key, table):
-        total = sum(np.frombuffer(zlib.decompress(x), np.uint32).astype(np.uint64) for x in table["counts"].to_pylist())
-        return pa.table([pa.array([key[1].as_py()], pa.int32()), pa.array([key[0].as_py()], pa.int32()), pa.array([squeezed(np.minimum(total, 0xFFFFFFFF).astype(np.uint32))], pa.binary())], schema=out)
-
-    parts = materialize(df.mapInArrow(run, rows), "sketch")
-    tasks = (parts.agg(F.max("task")).first()[0] or 0) + 1
-    while tasks > 1:
-        tasks = -(-tasks // FAN_IN)
-        parts = parts.groupBy("block", F.floor(F.col("task") / FAN_IN).cast("int").alias("upper")).applyInArrow(add, rows)
-    total = np.zeros(1 << bits, np.uint32)
-    for r in parts.select("block", "counts").collect():  # 2^bits places
-        total[r.block * step : (r.block + 1) * step] = np.frombuffer(zlib.decompress(r.counts), np.uint32)
-    return total
+        def f(c):
+            for t, groups in zip(*c, strict=True):
+                h = shingles(t, state)
+                for g in groups or [None]:
+                    yield keyed(h, g)
+
+        return f
+
+    return count_sketch(df, bits_for(df, share), make)
 
 
 def signatures(df: DataFrame, counts: np.ndarray) -> DataFrame:

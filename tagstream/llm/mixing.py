@@ -1,18 +1,20 @@
 """Mixing sources to target weights with a multivariate-hypergeometric splitting tree.
 
-A document belongs to one of `blocks` blocks of its source by a hash of its id. A source's target
-is reached by whole passes over its blocks, by further blocks in a permuted order, where those that
-do not fit are skipped, and by single documents of the other blocks until none fits into what is left.
+A document belongs to a block of its source by a hash of its id; there is a block for each BLOCK_WORDS words of the
+input (LEAST_BLOCKS at least), and an output shard for each SHARD_WORDS words. A source's target is reached
+by whole passes over its blocks, by further blocks in a permuted order, where those that do not fit are
+skipped, by single documents of the other blocks, and then by single documents of any block that are not yet
+taken CAP times, until none fits into what is left.
 The source's exact number of block draws is its quota: a splitting tree halves the shards again
 and again and deals the quotas to the halves by multivariate hypergeometric draws, each
 node seeded by its place. A shard then takes the next disjoint run of every source's permuted
 draws, and its rows are ordered by a hash.
 
-The driver holds a row a source (checked, MAX_SOURCES); blocks have `blocks` rows a source.
+The driver holds a row a source and a number a source and shard; blocks are a table.
 
 Cases: a null source is a source of its own, after all others; null and empty texts have size 0;
 the rows of a null doc_id are one document; repeated rows are taken together; a source
-without words has target 0; an empty table gives no rows; other columns are carried along.
+without words has target 0; an empty table gives no rows; other columns are carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,10 +23,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, documents, materialize, schema
+from .common import WORD, documents, materialize, whole
 
-BLOCKS, SHARDS, SEED, CAP = 1024, 64, 17, 3
-MAX_SOURCES, BROADCAST_ROWS = 100_000, 200_000
+BLOCK_WORDS, LEAST_BLOCKS, SHARD_WORDS, LEAST_SHARDS = 1 << 20, 1024, 1 << 25, 64
+SEED, CAP = 17, 3
+BROADCAST_ROWS = 200_000
 
 
 def size_of(text: str = "text"):
@@ -64,9 +67,17 @@ def split_tree(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def placed(docs: DataFrame, blocks: int, seed: int) -> DataFrame:
-    """Adds size_ and block_."""
-    return docs.withColumn("size_", size_of()).withColumn("block_", F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(blocks)).cast("int"))
+def measured(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """doc_id, source, size_, hash_."""
+    return docs.select("doc_id", "source", size_of().alias("size_"), F.xxhash64(F.lit(seed), F.col("doc_id")).alias("hash_"))
+
+
+def in_block(blocks: int):
+    return F.pmod(F.col("hash_"), F.lit(blocks)).cast("long")
+
+
+def power(words: int, each: int, least: int) -> int:
+    return max(least, 1 << max(0, (words // each) - 1).bit_length())
 
 
 def _fitting(units: DataFrame, gap: dict) -> DataFrame:
@@ -125,32 +136,51 @@ def singled(singles: DataFrame, gap: dict, seed: int) -> DataFrame:
     return picks.select("source", "doc_id")
 
 
-def plan(narrow: DataFrame, blocks: int = BLOCKS, shards: int = SHARDS, seed: int = SEED) -> tuple[DataFrame, DataFrame, DataFrame, int]:
-    """From doc_id, source, size_, block_: a row a source and a row a block, each with what is taken; the single documents; the number of sources."""
+def summed(picks: DataFrame) -> dict:
+    return {r.source: r.words for r in picks.groupBy("source").agg(F.sum("words").alias("words")).collect()}
+
+
+def plan(narrow: DataFrame, blocks: int, shards: int, seed: int = SEED) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """From doc_id, source, size_, block_: a row a source and a row a block, each with what is taken; source, doc_id and times of the single documents; the number of sources."""
     spark = narrow.sparkSession
     per_block = materialize(narrow.groupBy("source", "block_").agg(F.sum("size_").alias("words")), "blocks")
-    rows = per_block.groupBy("source").agg(F.sum("words").alias("words"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+    rows = per_block.groupBy("source").agg(F.sum("words").alias("words"), F.count("*").alias("n")).collect()
     sizes = {r.source: r.words for r in rows}
     goal = targets(sizes)
-    full = {s: int(goal[s] // sizes[s]) if sizes[s] else 0 for s in sizes}
+    full = {s: min(CAP, int(goal[s] // sizes[s])) if sizes[s] else 0 for s in sizes}
     gap = {s: goal[s] - full[s] * sizes[s] for s in sizes}
     more, gap = taken(per_block, gap, seed + 1, "block_")
     more = materialize(_union(more, per_block.limit(0)).select("source", "block_"), "further")
     extra = {r.source: r.n for r in more.groupBy("source").agg(F.count("*").alias("n")).collect()}
     flag = more.select(F.col("source").alias("m_s"), F.col("block_").alias("m_b"), F.lit(1).alias("more_"))
-    flag = F.broadcast(flag) if len(rows) * blocks <= BROADCAST_ROWS else flag
+    few = len(rows) * blocks <= BROADCAST_ROWS
     order = Window.partitionBy("source").orderBy(F.desc("more_"), F.xxhash64(F.lit(seed + 1), "block_"), "block_").rowsBetween(Window.unboundedPreceding, 0)
     have = spark.createDataFrame([(s, full[s]) for s in sizes], "s_ string, full_ int")
     ordered = materialize(
-        per_block.join(flag, F.col("source").eqNullSafe(F.col("m_s")) & (F.col("block_") == F.col("m_b")), "left").drop("m_s", "m_b").withColumn("more_", F.coalesce("more_", F.lit(0)))
+        per_block.join(F.broadcast(flag) if few else flag, F.col("source").eqNullSafe(F.col("m_s")) & (F.col("block_") == F.col("m_b")), "left").drop("m_s", "m_b").withColumn("more_", F.coalesce("more_", F.lit(0)))
         .join(F.broadcast(have), F.col("source").eqNullSafe(F.col("s_"))).drop("s_").withColumn("at_", F.count("*").over(order) - 1), "permuted",
     )
-    left = ordered.where("more_ = 0").select(F.col("source").alias("b_s"), F.col("block_").alias("b_b"))
-    left = F.broadcast(left) if len(rows) * blocks <= BROADCAST_ROWS else left
-    singles = _fitting(narrow.where("size_ > 0").withColumn("words", F.col("size_")), gap).join(left, F.col("source").eqNullSafe(F.col("b_s")) & (F.col("block_") == F.col("b_b")), "left_semi")
-    picks = singled(materialize(singles.groupBy("source", "block_", "doc_id").agg(F.sum("size_").alias("words")), "singles"), gap, seed)
+    room = ordered.where(F.col("full_") + F.col("more_") < CAP).select(F.col("source").alias("b_s"), F.col("block_").alias("b_b"), "more_", (CAP - F.col("full_") - F.col("more_")).alias("room_"))
+    room = F.broadcast(room) if few else room
+    words = narrow.where("size_ > 0").withColumnRenamed("size_", "words")
+    picks = materialize(words.limit(0).select("source", "doc_id", "words"), "picks")
+    for turn in range(CAP + 1):  # first the blocks of which nothing more is taken
+        gap = {s: g for s, g in gap.items() if g >= 1}
+        if not gap:
+            break
+        pool = _fitting(words, gap).join(room if turn else room.where("more_ = 0"), F.col("source").eqNullSafe(F.col("b_s")) & (F.col("block_") == F.col("b_b")))
+        pool = pool.groupBy("source", "block_", "doc_id").agg(F.sum("words").alias("words"), F.first("room_").alias("room_"))
+        times = picks.groupBy(F.col("source").alias("p_s"), F.col("doc_id").alias("p_d")).agg(F.count("*").alias("times_"))
+        pool = pool.join(times, F.col("source").eqNullSafe(F.col("p_s")) & F.col("doc_id").eqNullSafe(F.col("p_d")), "left").where(F.coalesce("times_", F.lit(0)) < F.col("room_"))
+        pool = materialize(pool.select("source", "block_", "doc_id", "words"), "singles")
+        got = singled(pool, gap, seed + 7 * turn).select(F.col("source").alias("g_s"), F.col("doc_id").alias("g_d"))
+        got = pool.join(F.broadcast(got), F.col("source").eqNullSafe(F.col("g_s")) & F.col("doc_id").eqNullSafe(F.col("g_d")), "left_semi").select("source", "doc_id", "words")
+        got = materialize(got, "turn")
+        sums = summed(got)
+        if not sums and turn:
+            break
+        gap = {s: g - sums.get(s, 0) for s, g in gap.items()}
+        picks = materialize(picks.unionByName(got), "picks")
     picked = {r.source for r in picks.select("source").distinct().collect()}
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     count = {r.source: r.n for r in rows}
@@ -171,35 +201,41 @@ def plan(narrow: DataFrame, blocks: int = BLOCKS, shards: int = SHARDS, seed: in
             .otherwise(F.array().cast("array<int>")).alias("draws_"),
         )
     )
+    picks = picks.groupBy(F.col("source").alias("p_s"), F.col("doc_id").alias("p_d")).agg(F.count("*").cast("int").alias("times_"))
     return by_source, by_block, picks, len(rows)
 
 
 def drawn(rows: DataFrame, by_source: DataFrame, by_block: DataFrame, picks: DataFrame, sources: int, blocks: int) -> DataFrame:
     """rows (with doc_id, source, block_) and source_size, target, shards_ (the shard of each copy)."""
     by_block = F.broadcast(by_block) if sources * blocks <= BROADCAST_ROWS else by_block
-    picks = picks.select(F.col("source").alias("p_s"), F.col("doc_id").alias("p_d"), F.lit(True).alias("own_"))
-    own = F.when(F.col("own_"), F.array(F.col("last_")))
+    own = F.when(F.col("times_") > 0, F.array_repeat("last_", F.col("times_")))
     return (
         rows.join(F.broadcast(by_source.select("s_", "source_size", "target", "last_")), F.col("source").eqNullSafe(F.col("s_")))
         .join(by_block, F.col("source").eqNullSafe(F.col("b_s")) & (F.col("block_") == F.col("b_b")))
         .join(picks, F.col("source").eqNullSafe(F.col("p_s")) & F.col("doc_id").eqNullSafe(F.col("p_d")), "left")
-        .withColumn("shards_", F.concat("draws_", F.coalesce(own, F.array().cast("array<int>")))).drop("s_", "b_s", "b_b", "p_s", "p_d", "own_", "last_", "draws_")
+        .withColumn("shards_", F.concat("draws_", F.coalesce(own, F.array().cast("array<int>")))).drop("s_", "b_s", "b_b", "p_s", "p_d", "times_", "last_", "draws_")
     )
 
 
+def mixed(docs: DataFrame, shards: int | None = None, seed: int = SEED):
+    """doc_id, source, size_, block_ of docs; the plan; blocks."""
+    sized = materialize(measured(docs, seed), "sizes")
+    words = sized.agg(F.sum("size_")).first()[0] or 0
+    blocks, shards = power(words, BLOCK_WORDS, LEAST_BLOCKS), shards or power(words, SHARD_WORDS, LEAST_SHARDS)
+    narrow = sized.select("doc_id", "source", "size_", in_block(blocks).alias("block_"))
+    return narrow, plan(narrow, blocks, shards, seed), blocks
+
+
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    narrow = materialize(placed(documents(spark, sf_dir).select("doc_id", "source", "text"), BLOCKS, SEED).drop("text"), "sizes")
-    by_source, by_block, picks, n = plan(narrow)
-    return drawn(narrow, by_source, by_block, picks, n, BLOCKS).select(
+    narrow, made, blocks = mixed(documents(spark, sf_dir))
+    return drawn(narrow, *made, blocks).select(
         "doc_id", F.col("size_").alias("size"), "source_size", "target", (F.col("size_") * F.size("shards_")).alias("taken"), "source", F.col("shards_").alias("shards"),
     )
 
 
-def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, shards: int = SHARDS) -> DataFrame:
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, shards: int | None = None) -> DataFrame:
     """The mix itself: a row for each copy that is taken, by shard and shuffled inside it; the columns of docs."""
-    columns = docs.columns
-    narrow = materialize(placed(docs.select("doc_id", "source", "text"), BLOCKS, SEED).drop("text"), "sizes")
-    by_source, by_block, picks, n = plan(narrow, shards=shards)
-    rows = placed(docs, BLOCKS, SEED) if not {"size_", "block_"} & set(columns) else placed(docs.drop("size_", "block_"), BLOCKS, SEED)
-    copies = drawn(rows, by_source, by_block, picks, n, BLOCKS).select(*columns, F.posexplode("shards_").alias("copy_", "shard_"))
-    return copies.repartition("shard_", F.pmod(F.xxhash64("doc_id"), F.lit(16))).sortWithinPartitions("shard_", F.xxhash64(F.lit(SEED + 3), "doc_id", "copy_")).select(*columns)
+    _, made, blocks = mixed(docs, shards)
+    rows = docs.select(whole(docs).alias("row_"), "doc_id", "source", F.xxhash64(F.lit(SEED), F.col("doc_id")).alias("hash_")).withColumn("block_", in_block(blocks))
+    copies = drawn(rows, *made, blocks).select("row_", "doc_id", F.posexplode("shards_").alias("copy_", "shard_"))
+    return copies.repartition("shard_", F.pmod(F.xxhash64("doc_id"), F.lit(16))).sortWithinPartitions("shard_", F.xxhash64(F.lit(SEED + 3), "doc_id", "copy_")).select("row_.*")
