@@ -15,11 +15,12 @@ decide which blocks are multiplied at all:
      salted. Linked nodes are joined to components.
   5. Columns whose nodes are still in different components: short ones give their pairs, and a pair's shared
      prefix columns are counted; what they leave possible bounds the overlap, and pairs below it go. The rest is
-     multiplied as in 4. Long columns (over LONG_COLUMN nodes) never give pairs. Nodes that hang together by long
-     columns are a cluster; one of up to DENSE nodes is multiplied with itself in blocks. In larger ones, the
-     documents of each column are ordered anew by the frequencies inside it, where what they all share is
-     frequent and what sets them apart is rare, and steps 2 to 5 are repeated inside it. After DEPTH such
-     rounds all clusters are multiplied in blocks, which is exact whatever their size.
+     multiplied as in 4. Long columns (over LONG_COLUMN nodes) never give pairs. Components that hang together by
+     long columns are a cluster; its nodes outside of the largest component, if they are DENSE at most, are multiplied
+     in blocks with all its nodes. In other clusters, the documents of each column are ordered anew by the
+     frequencies inside it, where what they all share is frequent and what sets them apart is rare, and steps 2 to 5
+     are repeated inside it. After DEPTH such rounds all clusters are multiplied in blocks, which is exact
+     whatever their size.
 
 Cases: null and empty texts and texts without words have the empty set and link with nothing;
 texts of fewer than 5 words are one shingle; copies share their class; rows that repeat a doc_id are one
@@ -47,6 +48,8 @@ LONG_COLUMN, DENSE, DEPTH, NEIGHBOURS = 24, 2048, 2, 16
 #: Rows a of a block and their n-grams, rows b of a task's share of it, and the set size from which a row is a block of its own.
 BLOCK_ROWS, BLOCK_GRAMS, TASK_ROWS, LONG_ROW = 128, 2_000_000, 8192, 50_000
 BROADCAST_IDS = 2_000_000
+#: Edges that one task joins up: 16 bytes each, and as much again for their nodes.
+SMALL = 1_000_000
 _U = np.uint64
 
 
@@ -233,8 +236,8 @@ def tries(stars: DataFrame) -> DataFrame:
 
 
 def divided(post: DataFrame) -> DataFrame:
-    """From h, node, n, c (component): pairs (a, b, n_a, n_b) of short columns whose nodes are in different components; rows
-    (h, node as a, c as b) of long ones and of those that may go on in another task."""
+    """From h, node, n, c (component): pairs (a, b, n_a, n_b) of short columns whose nodes are in different components; for long
+    ones, and for those that may go on in another task, the components in them (h, a, and n_a, its rows; n_b is -1)."""
 
     def make():
         def f(c, first, last):
@@ -247,12 +250,15 @@ def divided(post: DataFrame) -> DataFrame:
                     x.append(y)
 
             if len(start):
-                lo, hi = np.minimum.reduceat(comp, start), np.maximum.reduceat(comp, start)
+                lo, hi = comp[start], comp[start + size - 1]
                 edge = np.zeros(len(start), bool)
                 edge[0], edge[-1] = first, last or edge[-1]
                 hot = (size > LONG_COLUMN) & (lo != hi) | edge
                 rows = np.repeat(hot, size)
-                add(h[rows], node[rows], comp[rows], n[rows], n[rows] * 0 - 1)
+                own_h, own_c = h[rows], comp[rows]
+                at = np.flatnonzero(np.concatenate([[True], (own_h[1:] != own_h[:-1]) | (own_c[1:] != own_c[:-1])])) if len(own_h) else np.empty(0, np.int64)
+                many = np.diff(np.concatenate([at, [len(own_h)]]))
+                add(own_h[at], own_c[at], many * 0, many, many * 0 - 1)
                 short = np.flatnonzero(~hot & (lo != hi))
                 for back in range(1, int(size[short].max()) if len(short) else 1):
                     on = short[size[short] > back]
@@ -272,18 +278,18 @@ def divided(post: DataFrame) -> DataFrame:
 
 
 def outer(long: DataFrame) -> DataFrame:
-    """h, node, c, n of the long columns, without those whose nodes all are in a longer one too: it holds all their pairs.
+    """h, node of the long columns, without those whose nodes all are in a longer one too: it holds all their pairs.
 
     A passage that documents share gives many such columns. Each column is compared with NEIGHBOURS longer ones of each node.
     """
-    rows = long.groupBy("h", "node").agg(F.max("c").alias("c"), F.max("n").alias("n"))
+    rows = long.select("h", "node").distinct()
     size = rows.groupBy("h").agg(F.count("*").alias("size"))
     rows = rows.join(size, "h")
     per = rows.groupBy("node").agg(F.sort_array(F.collect_set(F.struct("size", "h")), False).alias("all"))
     at = per.select(F.posexplode("all").alias("at", "own"), "all")
     near = at.select(F.col("own.h").alias("h"), F.col("own.size").alias("size"), F.explode(F.expr(f"slice(all, greatest(1, at + 1 - {NEIGHBOURS}), least(at, {NEIGHBOURS}))")).alias("other"))
     inner = near.groupBy("h", F.col("other.h").alias("o")).agg(F.count("*").alias("k"), F.first("size").alias("size")).where("k = size").select("h").distinct()
-    return rows.join(materialize(inner, "inner"), "h", "left_anti").select("h", "node", "c", "n")
+    return rows.join(materialize(inner, "inner"), "h", "left_anti").select("h", "node")
 
 
 def need(a, b):
@@ -315,70 +321,74 @@ def product(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     block = F.when(F.col("n_a") > LONG_ROW, -1 - F.pmod(F.xxhash64(F.lit(3), "a"), F.lit(1 << 40))).otherwise(F.pmod(F.xxhash64(F.lit(7), "a"), F.lit(blocks)))
     named = rows_a.select("a", block.alias("block"))
     few = blocks * BLOCK_ROWS <= BROADCAST_IDS
-    right = pairs.join(F.broadcast(named) if few else named, "a").select("block", F.col("b").alias("doc_id")).distinct()
-    return multiply(named.select("block", F.col("a").alias("doc_id")), right, docs, few)
+    right = pairs.join(F.broadcast(named) if few else named, "a").select("block", F.col("b").alias("doc_id"), F.col("b").alias("c")).distinct()
+    return multiply(named.select("block", F.col("a").alias("doc_id"), F.col("a").alias("c")), right, docs, few)
 
 
 def squared(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """From cluster, node, c, n: links between nodes of a cluster whose components differ. Rows of its largest component are not multiplied with each other."""
-    top = rows.groupBy("cluster", "c").agg(F.count("*").alias("k")).groupBy("cluster").agg(F.max_by("c", F.struct("k", "c")).alias("top"))
-    rows = rows.join(top, "cluster")
+    """From cluster, node, c, n, top: links between nodes of a cluster whose components differ. Rows of its largest component (top) are not multiplied with each other."""
     minor = rows.where("c <> top")
     size = materialize(minor.groupBy("cluster").agg(F.count("*").alias("rows"), F.sum("n").alias("grams")).select("cluster", blocks_of().alias("blocks")), "clusters")
+    few = size.count() <= BROADCAST_IDS
     block = lambda k: F.xxhash64("cluster", k).alias("block")
-    left = minor.join(size, "cluster").select(block(F.pmod(F.xxhash64("node"), F.col("blocks"))), F.col("node").alias("doc_id"))
-    right = rows.join(size, "cluster").select("cluster", F.col("node").alias("doc_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("k")).select(block(F.col("k")), "doc_id")
-    return multiply(left, right, docs, False)
-
-
-def clusters(long: DataFrame) -> DataFrame:
-    """cluster, node, c, n: the nodes that hang together by the columns (h, node, c, n)."""
-    first = long.groupBy("h").agg(F.min("node").alias("b"))
-    found = components(long.join(first, "h").select(F.col("node").alias("a"), "b").where("a <> b").distinct()).select("node", F.col("component").alias("cluster"))
-    return long.groupBy("node", "c").agg(F.max("n").alias("n")).join(found, "node").select("cluster", "node", "c", "n")
+    of = F.broadcast(size) if few else size
+    left = minor.join(of, "cluster").select(block(F.pmod(F.xxhash64("node"), F.col("blocks"))), F.col("node").alias("doc_id"), "c").distinct()
+    right = rows.join(of, "cluster").select("cluster", F.col("node").alias("doc_id"), "c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("k")).select(block(F.col("k")), "doc_id", "c").distinct()
+    return multiply(left, right, docs, few)
+
+
+def clusters(long: DataFrame, named: DataFrame) -> DataFrame:
+    """From the components (h, c) of long columns and the rows (node, n, c): cluster, node, c, n, top (its largest component)."""
+    first = long.groupBy("h").agg(F.min("c").alias("b"))
+    found = components(long.join(first, "h").select(F.col("c").alias("a"), "b").where("a <> b").distinct()).select(F.col("node").alias("c"), F.col("component").alias("cluster"))
+    few = found.count() <= BROADCAST_IDS
+    rows = materialize(named.join(F.broadcast(found) if few else found, "c").groupBy("cluster", "node", "c").agg(F.max("n").alias("n")), "rows")
+    top = rows.groupBy("cluster", "c").agg(F.count("*").alias("k")).groupBy("cluster").agg(F.max_by("c", F.struct("k", "c")).alias("top"))
+    return rows.join(F.broadcast(top) if few else top, "cluster")
 
 
 def multiply(left: DataFrame, right: DataFrame, docs: DataFrame, few: bool) -> DataFrame:
-    """a, b that link: left (block, doc_id) are the rows a of each block, right the rows b that it is multiplied with."""
+    """a, b that link and differ in c: left (block, doc_id, c) are the rows a of each block, right the rows b that it is multiplied with."""
     size = right.groupBy("block").agg(F.ceil(F.count("*") / TASK_ROWS).cast("int").alias("shares"))
     size = materialize(size, "shares")
     size = F.broadcast(size) if few else size
-    left = left.join(size, "block").select("block", "doc_id", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("side"))
-    right = right.join(size, "block").select("block", "doc_id", F.pmod(F.xxhash64("doc_id"), F.col("shares")).cast("int").alias("share"), F.lit(1).alias("side"))
+    left = left.join(size, "block").select("block", "doc_id", "c", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("side"))
+    right = right.join(size, "block").select("block", "doc_id", "c", F.pmod(F.xxhash64("doc_id"), F.col("shares")).cast("int").alias("share"), F.lit(1).alias("side"))
     wanted = materialize(left.unionByName(right), "wanted")
     rows = wanted.join(texts_of(docs, wanted.select("doc_id").distinct()), "doc_id")
-    rows = rows.repartition("block", "share").sortWithinPartitions("block", "share", "side").select("block", "share", "side", "doc_id", "text")
+    rows = rows.repartition("block", "share").sortWithinPartitions("block", "share", "side").select("block", "share", "side", "doc_id", "c", "text")
 
     def make():
         state: dict = {}
-        now, ids, sets, matrix = [None], [], [], [None]
+        now, ids, parts, sets, matrix = [None], [], [], [], [None]
 
         def built():
             h, r = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
             at = np.argsort(h, kind="stable")
-            matrix[0] = h[at], r[at], np.array([len(x) for x in sets]), np.array(ids)
+            matrix[0] = h[at], r[at], np.array([len(x) for x in sets]), np.array(ids), np.array(parts)
 
         def f(c):
             found: tuple[list, list] = ([], [])
-            for b, s, side, k, t in zip(*c, strict=True):
+            for b, s, side, k, own_c, t in zip(*c, strict=True):
                 if now[0] != (b, s):
                     now[0], matrix[0] = (b, s), None
-                    ids.clear()
-                    sets.clear()
+                    for x in (ids, parts, sets):
+                        x.clear()
                 own = shingles(t, state)
                 if not side:
                     ids.append(k)
+                    parts.append(own_c)
                     sets.append(own)
                     continue
                 if matrix[0] is None:
                     built()
-                h, r, n, names = matrix[0]
+                h, r, n, names, other = matrix[0]
                 lo, hi = np.searchsorted(h, own, "left"), np.searchsorted(h, own, "right")
                 hit = hi > lo
                 lo, many = lo[hit], (hi - lo)[hit]
                 cells = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
                 both = np.bincount(r[cells], minlength=len(n))
-                ok = fits(n, len(own)) & (both > 0) & (DEN * both >= NUM * (n + len(own) - both)) & (names != k)
+                ok = fits(n, len(own)) & (both > 0) & (DEN * both >= NUM * (n + len(own) - both)) & (other != own_c)
                 found[0].extend(names[ok].tolist())
                 found[1].extend([k] * int(ok.sum()))
             return found
@@ -388,9 +398,40 @@ def multiply(left: DataFrame, right: DataFrame, docs: DataFrame, few: bool) -> D
     return map_rows(rows, make, schema("a long, b long"))
 
 
+def joined_up(edges):
+    """Components of all edges of a bounded table, in one task: each round every node takes the smallest label around it, and its label's label."""
+    for_all = [b for b in edges if b.num_rows]
+    if not for_all:
+        return
+    t = pa.Table.from_batches(for_all)
+    a, b = t["a"].to_numpy(), t["b"].to_numpy()
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[x], label[y])
+        new = label.copy()
+        np.minimum.at(new, label[x], low)
+        np.minimum.at(new, label[y], low)
+        new = new[new]
+        while (again := new[new]).tobytes() != new.tobytes():
+            new = again
+        new = new[label]
+        if (new == label).all():
+            break
+        label = new
+    yield pa.record_batch([pa.array(nodes), pa.array(nodes[label])], names=["node", "component"])
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """node, component (smallest node reachable) of each node that has an edge; alternating large and small stars."""
+    """node, component (smallest node reachable) of each node that has an edge. Up to SMALL edges in one task, beyond by alternating large and small stars."""
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    if now.count() <= SMALL:
+        return materialize(now.select(F.col("u").alias("a"), F.col("v").alias("b")).coalesce(1).mapInArrow(joined_up, "node long, component long"), "components")
+    return stars_joined(now)
+
+
+def stars_joined(now: DataFrame) -> DataFrame:
     before = None
     while True:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -416,40 +457,47 @@ def similar(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     several = sets.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("f1").alias("lo"), F.max("f1").alias("hi")).where("lo <> hi").select("doc_id")
     several = sets.where("n_shingles > 0").join(several, "doc_id", "left_semi").join(classes, ["f1", "f2", "n_shingles"]).groupBy("doc_id", "node").count()
     edges = materialize(several.select(F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a <> b"), "links")
-    columns = lambda sets: sets.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "common", F.posexplode("prefix").alias("at", "h"))
-    post = columns(having(sets.where("n_shingles > 0"), nodes))
+    columns_of = lambda sets: sets.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "common", F.posexplode("prefix").alias("at", "h"))
+    post = columns_of(having(sets.where("n_shingles > 0"), nodes))
     joined = None
     for depth in range(DEPTH + 1):
         stars = materialize(starred(post), "stars")
         edges = materialize(edges.unionByName(product(materialize(tries(stars), "tries"), docs)), "links")
         joined = components(edges).select(F.col("node").alias("l_node"), F.col("component").alias("l_c"))
-        named = stars.join(joined, F.col("node") == F.col("l_node"), "left").select("h", "node", "n", F.coalesce("l_c", "node").alias("c"))
+        few = joined.count() <= BROADCAST_IDS
+        named = stars.join(F.broadcast(joined) if few else joined, F.col("node") == F.col("l_node"), "left").select("h", "node", "n", F.coalesce("l_c", "node").alias("c"))
         both = materialize(divided(named), "divided")
-        long = both.where("n_b < 0").select("h", F.col("a").alias("node"), F.col("b").alias("c"), F.col("n_a").alias("n"))
-        mixed = long.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select(F.col("h").alias("doc_id"))
-        long = materialize(having(long.withColumnRenamed("h", "doc_id"), materialize(mixed, "mixed")).withColumnRenamed("doc_id", "h"), "long")
+        long = both.where("n_b < 0").groupBy("h", F.col("a").alias("c")).agg(F.sum("n_a").alias("k"))
+        mixed = materialize(long.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.sum("k").alias("k")).where("lo <> hi").select(F.col("h").alias("doc_id"), "k"), "mixed")
+        within = lambda rows, columns: having(rows.withColumnRenamed("h", "doc_id"), columns.select("doc_id")).withColumnRenamed("doc_id", "h")
         # columns cut by the tasks' borders are short ones often enough
-        cut = materialize(long.groupBy("h").count().where(F.col("count") <= LONG_COLUMN).select("h"), "cut")
-        own = long.join(cut, "h", "left_semi").select("h", F.col("node").alias("a"), F.col("c").alias("c_a"), F.col("n").alias("n_a"))
-        other = own.select("h", F.col("a").alias("b"), F.col("c_a").alias("c_b"), F.col("n_a").alias("n_b"))
-        rest = own.join(other, "h").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & fits(F.col("n_a"), F.col("n_b")))
-        pairs = materialize(possible(both.where("n_b >= 0").select("a", "b", "n_a", "n_b").unionByName(rest.select("a", "b", "n_a", "n_b"))), "pairs")
+        pairs, short = both.where("n_b >= 0").select("a", "b", "n_a", "n_b"), mixed.where(F.col("k") <= LONG_COLUMN)
+        if short.limit(1).count():
+            cut = materialize(within(named, short), "cut")
+            own = cut.select("h", F.col("node").alias("a"), F.col("c").alias("c_a"), F.col("n").alias("n_a"))
+            other = cut.select("h", F.col("node").alias("b"), F.col("c").alias("c_b"), F.col("n").alias("n_b"))
+            rest = own.join(other, "h").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & fits(F.col("n_a"), F.col("n_b")))
+            pairs = pairs.unionByName(rest.select("a", "b", "n_a", "n_b"))
+        pairs = materialize(possible(pairs), "pairs")
         more = [product(pairs, docs)] if pairs.limit(1).count() else []
-        long = materialize(outer(long.join(cut, "h", "left_anti")), "outer")
-        if some := long.limit(1).count() > 0:
-            rows = materialize(clusters(long), "rows")
-            large = rows.groupBy("cluster").count().where(F.col("count") > (DENSE if depth < DEPTH else 1 << 62)).select("cluster")
-            large = materialize(rows.join(large, "cluster", "left_semi").select(F.col("node").alias("doc_id")), "large")
-            more.append(squared(rows.join(large, F.col("node") == F.col("doc_id"), "left_anti"), docs))
-        for links in more:
-            edges = materialize(edges.unionByName(links), "links")
+        columns = mixed.where(F.col("k") > LONG_COLUMN)
+        large = None
+        if columns.limit(1).count():
+            rows = materialize(clusters(within(long, columns), named), "clustered")
+            minor = rows.where("c <> top").groupBy("cluster").count()
+            large = materialize(minor.where(F.col("count") > (DENSE if depth < DEPTH else 1 << 62)).select("cluster"), "large")
+            more.append(squared(rows.join(large, "cluster", "left_anti"), docs))
         if more:
-            joined = components(edges).select(F.col("node").alias("l_node"), F.col("component").alias("l_c"))
-        if not some or not large.limit(1).count():
+            more = materialize(more[0] if len(more) == 1 else more[0].unionByName(more[1]), "links")
+            if more.limit(1).count():
+                edges = materialize(edges.unionByName(more), "links")
+                joined = components(edges).select(F.col("node").alias("l_node"), F.col("component").alias("l_c"))
+        if large is None or not large.limit(1).count():
             break
-        groups = having(long.groupBy(F.col("node").alias("doc_id")).agg(F.collect_set("h").alias("groups")), large.distinct())
+        nodes = rows.join(large, "cluster", "left_semi").select(F.col("node").alias("doc_id")).distinct()
+        groups = having(outer(within(named, columns)).groupBy(F.col("node").alias("doc_id")).agg(F.collect_set("h").alias("groups")), materialize(nodes, "nodes"))
         inside = materialize(texts_of(docs, groups.select("doc_id")).join(groups, "doc_id"), "inside")
-        post = columns(signatures(inside, sketch(inside.select("text", "groups"), INNER_SHARE)))
+        post = columns_of(signatures(inside, sketch(inside.select("text", "groups"), INNER_SHARE)))
     named = classes.join(joined, classes.node == F.col("l_node"), "left").select("f1", "f2", "n_shingles", F.coalesce("l_c", classes.node).alias("component_id"))
     return (
         sets.select("doc_id", "n_shingles", "f1", "f2").join(named, ["f1", "f2", "n_shingles"], "left")

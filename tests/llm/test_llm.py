@@ -119,7 +119,7 @@ def near_texts(seed):
     return texts + [joint + " " + " ".join(f"o{seed}{k}{j % (1 + k % 9)}" for j in range(k)) for k in range(40)]
 
 
-@pytest.mark.parametrize("long_column, depth, dense", [(24, 2, 2048), (2, 2, 3), (1, 0, 3), (1, 1, 9)])
+@pytest.mark.parametrize("long_column, depth, dense", [(24, 2, 2048), (2, 2, 3), (1, 0, 3)])
 def test_jaccard_against_brute_force(spark, monkeypatch, long_column, depth, dense):
     monkeypatch.setattr(jaccard, "DENSE", dense)
     monkeypatch.setattr(jaccard, "LONG_COLUMN", long_column)
@@ -151,17 +151,16 @@ def test_jaccard_pairs_grow_no_faster_than_rows(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "materialize", counted)
     monkeypatch.setattr(jaccard, "DENSE", 100)
     share = []
-    for k in (15, 30, 50):
+    for k in (15, 45):
         passages = [" ".join(f"p{i}x{j}" for j in range(30)) for i in range(k)]
         texts = [f"{passages[i]} {passages[j]}" for i in range(k) for j in range(i)]
         made.clear()
         got = jaccard.similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
         assert all(r.doc_id == r.component_id for r in got)
         share.append((made["tries"] + made["divided"] + made["pairs"]) / made["stars"])
-        print(k, len(texts), made)
         assert made["pairs"] <= made["stars"]
-    print(share)
-    assert share[2] <= 1.5 * share[0] + 2
+
+    assert share[1] <= share[0]
 
 
 ODD = ["don't", "É", "\x1cx", "İ", "Σ", "²", "<|endoftext|>", "<|startoftext|>", " ", "\n", "a<|EndOfText|>", "×", "÷x", "日本語", "привет", "«ok»", "\x85", "\u3000", "12a", "a12", "...", "e\u0301", "x" * 40, "\x00", "'ll", "'", "ñ'S", "z\u0338", "😀", "_-", "\u200b", "Ⅷ", "½", "ª"]
