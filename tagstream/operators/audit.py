@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..plans.dialect import adapter, frame
 
-FOLDS, LEAST = 5, 0.0
+FOLDS, LEAST, SURE = 5, 0.0, 0.505
 
-PREDICTED = """SELECT f.crop_id, f.fold, f.digit, c.digit AS pred, round(1.0 / (1.0 + c.d), 6) AS confidence FROM f JOIN (
+PREDICTED = """SELECT f.crop_id, f.fold, f.digit, c.digit AS pred, 1.0 / (1.0 + c.d) AS confidence FROM f JOIN (
   SELECT crop_id, digit, d, row_number() OVER (PARTITION BY crop_id ORDER BY round(d, 9), digit) AS rn FROM (
     SELECT f.crop_id, k.digit, sqrt(sum((f.v - k.v) * (f.v - k.v))) AS d FROM x f JOIN k ON k.fold = f.fold AND k.i = f.i GROUP BY f.crop_id, k.digit) q) c ON c.crop_id = f.crop_id AND c.rn = 1"""
 MORE = {
@@ -33,7 +33,7 @@ def out_of_fold(features: DataFrame, folds: int = FOLDS) -> DataFrame:
     k = k.groupBy(F.col("to").alias("fold")).agg(F.array_sort(F.collect_list(F.struct("digit", F.col("c.v").alias("c")))).alias("centres"))
     dist = lambda c: F.sqrt(F.aggregate(F.zip_with("embedding", c, lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, v: s + v))
     near = F.array_min(F.transform("centres", lambda z: F.struct(F.round(dist(z["c"]), 9).alias("d"), z["digit"].alias("digit"))))
-    return f.join(F.broadcast(k), "fold").withColumn("near", near).select("crop_id", "fold", "digit", F.col("near.digit").alias("pred"), F.round(1 / (1 + F.col("near.d")), 6).alias("confidence"))
+    return f.join(F.broadcast(k), "fold").withColumn("near", near).select("crop_id", "fold", "digit", F.col("near.digit").alias("pred"), (1 / (1 + F.col("near.d"))).alias("confidence"))
 
 
 @frame("oof_accuracy", "SELECT fold, count(*) AS n, round(avg(CASE WHEN pred = digit THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM p GROUP BY ROLLUP (fold)", ("features",), MORE)
@@ -42,9 +42,19 @@ def oof_accuracy(spark, sf_dir):
     return p.rollup("fold").agg(F.count("*").alias("n"), F.round(F.avg((F.col("pred") == F.col("digit")).cast("double")), 6).alias("accuracy"))
 
 
+def differing(found: DataFrame, least: float = LEAST) -> DataFrame:
+    """Rows whose prediction differs with a confidence of at least `least`, before it is rounded."""
+    return found.where(F.col("pred") != F.col("digit")).where(F.col("confidence") >= least).select("crop_id", "digit", "pred", F.round("confidence", 4).alias("confidence"))
+
+
 @frame("disagreements", "SELECT crop_id, digit, pred, round(confidence, 4) AS confidence FROM p WHERE pred <> digit", ("features",), MORE)
 def disagreements(spark, sf_dir):
-    return out_of_fold(adapter(spark, sf_dir, "features")).where(f"pred <> digit AND confidence >= {LEAST}").select("crop_id", "digit", "pred", F.round("confidence", 4).alias("confidence"))
+    return differing(out_of_fold(adapter(spark, sf_dir, "features")))
+
+
+@frame("disagreements_sure", f"SELECT crop_id, digit, pred, round(confidence, 4) AS confidence FROM p WHERE pred <> digit AND confidence >= {SURE}", ("features",), MORE)
+def disagreements_sure(spark, sf_dir):
+    return differing(out_of_fold(adapter(spark, sf_dir, "features")), SURE)
 
 
 @frame("top25", "SELECT crop_id, digit, pred, round(confidence, 4) AS confidence, CAST(row_number() OVER (ORDER BY round(confidence, 4) DESC, crop_id) AS INT) AS place FROM p WHERE pred <> digit ORDER BY place LIMIT 25", ("features",), MORE)

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..plans.dialect import adapter, frame
+from ..plans.shared import cut
+from .identity import folded
 
 DISTANCE, GAP, BITS = 2, 3, 20
 
@@ -22,33 +24,35 @@ def segments(df: DataFrame, distance: int = DISTANCE, bits: int = BITS) -> DataF
 
 
 def hamming_pairs(crops: DataFrame, distance: int = DISTANCE, gap: int = GAP) -> DataFrame:
-    """a < b of the same video, at most gap frames and distance bits apart. Equi-join on video, hash part and frame band."""
+    """a < b of the same video, at most gap frames and distance bits apart. Equi-join on video, hash part and frame band; a pair comes from its first equal part alone."""
     s = segments(crops.select("crop_id", "video", "frame", "hash"), distance).withColumn("band", F.floor(F.col("frame") / (gap + 1)))
     a = s.select("video", "seg", "band", F.col("crop_id").alias("a"), F.col("frame").alias("fa"), F.col("hash").alias("ha"))
     b = s.select("video", "seg", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.col("crop_id").alias("b"), F.col("frame").alias("fb"), F.col("hash").alias("hb"))
     near = (F.col("a") < F.col("b")) & (F.abs(F.col("fa") - F.col("fb")) <= gap) & (g.hamming("ha", "hb") <= distance)
-    return a.join(b, ["video", "seg", "band"]).where(near).select("a", "b").distinct()
+    cuts = [BITS * k // (distance + 1) for k in range(distance + 2)]
+    same = lambda k: F.shiftright(F.col("ha").bitwiseXOR(F.col("hb")), cuts[k]).bitwiseAND(F.lit((1 << (cuts[k + 1] - cuts[k])) - 1)) == 0
+    first = F.lit(distance)
+    for k in range(distance - 1, -1, -1):
+        first = F.when(same(k), k).otherwise(first)
+    return a.join(b, ["video", "seg", "band"]).where(near & (F.col("seg.k") == first)).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, component: the smallest reachable node; minima travel until nothing changes, lineage is cut by checkpoints."""
-    spark = edges.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp())
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    now = both.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node"))
+    """node, component (the smallest reachable node) of each node with an edge: large and small stars in turn until nothing changes."""
+    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    before = None
     while True:
-        seen = both.join(now, both.b == now.node).groupBy("a").agg(F.min("component").alias("c"))
-        step = now.join(seen, now.node == seen.a).select("node", F.least("component", "c").alias("component"), (F.col("c") < F.col("component")).alias("moved")).checkpoint()
-        moved = step.where("moved").limit(1).count()
-        now = step.drop("moved")
-        # pointer jumping: a component takes its representative's component
-        up = now.select(F.col("node").alias("r"), F.col("component").alias("rc"))
-        now = now.join(up, now.component == up.r, "left").select("node", F.coalesce("rc", "component").alias("component")).checkpoint()
-        if not moved:
-            return now
+        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if state == before:
+            roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+        before = state
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = cut(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        now = cut(small.where("u <> v").distinct())
 
 
 PAIRS = """SELECT a.crop_id AS a, b.crop_id AS b FROM crops a JOIN crops b ON a.video = b.video AND a.crop_id < b.crop_id AND abs(a.frame - b.frame) <= 3 AND bit_count(xor(a.hash, b.hash)) <= 2"""
@@ -77,25 +81,73 @@ def dup_representatives(spark, sf_dir):
     return rows.withColumn("size", F.count("*").over(one)).withColumn("rn", F.row_number().over(one.orderBy(F.desc("score"), "crop_id"))).where("rn = 1").select("crop_id", "component", "size")
 
 
-def lead(pdf: pd.DataFrame, distance: int = 6, gap: int = 150) -> pd.DataFrame:
+GROUPED = f"(SELECT c.crop_id, c.video, c.frame, c.tag_idx, c.score, coalesce(k.component, c.crop_id) AS component FROM crops c LEFT JOIN ({COMPONENTS}) k ON k.node = c.crop_id)"
+BEST = f"(SELECT *, row_number() OVER (PARTITION BY component ORDER BY score DESC, crop_id) AS rn FROM {GROUPED} g)"
+PATH = "concat('data/crops/v', CAST(video AS VARCHAR), '_frame', lpad(CAST(frame AS VARCHAR), 6, '0'), '_', CAST(crop_id AS VARCHAR), '.jpg')"
+
+
+def ranked_members(crops: DataFrame) -> DataFrame:
+    """crops with component, path and their place in it; the best is 1."""
+    k = components(hamming_pairs(crops))
+    rows = crops.join(k, crops.crop_id == k.node, "left").withColumn("component", F.coalesce("component", "crop_id"))
+    path = F.concat(F.lit("data/crops/v"), F.col("video").cast("string"), F.lit("_frame"), F.lpad(F.col("frame").cast("string"), 6, "0"), F.lit("_"), F.col("crop_id").cast("string"), F.lit(".jpg"))
+    return rows.withColumn("path", path).withColumn("rn", F.row_number().over(Window.partitionBy("component").orderBy(F.desc("score"), "crop_id")))
+
+
+@frame("tombstones", f"SELECT crop_id, component, {PATH} AS path FROM {BEST} t WHERE rn > 1", ("crops",))
+def tombstones(spark, sf_dir):
+    """Files that go: all of a group but its best. Nothing is deleted here."""
+    return ranked_members(adapter(spark, sf_dir, "crops")).where("rn > 1").select("crop_id", "component", "path")
+
+
+@frame("copied_paths", f"SELECT crop_id, replace({PATH}, 'data/crops/', 'data/diverse/') AS path FROM {BEST} t WHERE rn = 1", ("crops",))
+def copied_paths(spark, sf_dir):
+    """Where the kept files go: the folder changes, the name stays."""
+    kept = ranked_members(adapter(spark, sf_dir, "crops")).where("rn = 1")
+    return kept.select("crop_id", F.concat(F.lit("data/diverse/"), F.substring_index("path", "/", -1)).alias("path"))
+
+
+@frame("dedup_summary", f"SELECT count(*) AS crops, count(DISTINCT component) AS clusters, count(*) - count(DISTINCT component) AS removed, round((count(*) - count(DISTINCT component)) / CAST(count(*) AS DOUBLE), 6) AS removed_share FROM {GROUPED} t", ("crops",))
+def dedup_summary(spark, sf_dir):
+    m = ranked_members(adapter(spark, sf_dir, "crops"))
+    removed = F.count_if(F.col("rn") > 1)
+    return m.agg(F.count("*").alias("crops"), F.count_if(F.col("rn") == 1).alias("clusters"), removed.alias("removed"), F.round(removed / F.count("*"), 6).alias("removed_share"))
+
+
+class Leaders:
+    """Live leaders of one video, in arrays that grow by doubling."""
+
+    def __init__(self, distance: int, gap: int):
+        self.distance, self.gap, self.n, self.size = distance, gap, 0, 0
+        self.hash, self.frame, self.id = np.empty(16, np.uint64), np.empty(16, np.int64), np.empty(16, np.int64)
+
+    def add(self, h: np.uint64, frame: int) -> int:
+        keep = frame - self.frame[: self.size] <= self.gap
+        if not keep.all():
+            k = int(keep.sum())
+            for x in (self.hash, self.frame, self.id):
+                x[:k] = x[: self.size][keep]
+            self.size = k
+        d = np.bitwise_count(self.hash[: self.size] ^ h)
+        k = int(d.argmin()) if self.size else -1
+        if k < 0 or d[k] > self.distance:
+            if self.size == len(self.hash):
+                self.hash, self.frame, self.id = (np.concatenate([x, np.empty_like(x)]) for x in (self.hash, self.frame, self.id))
+            k, self.id[self.size], self.size, self.n = self.size, self.n, self.size + 1, self.n + 1
+        self.hash[k], self.frame[k] = h, frame
+        return int(self.id[k])
+
+
+def lead(pdf: pd.DataFrame, distance: int = 6, gap: int = 150, state: dict | None = None) -> pd.DataFrame:
     """Leader clustering of one video in frame order: a crop joins the nearest live leader, whose hash and frame then are the crop's."""
     pdf = pdf.sort_values(["frame", "crop_id"], kind="stable")
-    hashes, frames, cluster = pdf["hash"].to_numpy(np.uint64), pdf["frame"].to_numpy(), np.empty(len(pdf), np.int64)
-    live_hash, live_frame, live_id, n = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), 0
-    for i in range(len(pdf)):
-        keep = frames[i] - live_frame <= gap
-        live_hash, live_frame, live_id = live_hash[keep], live_frame[keep], live_id[keep]
-        d = np.bitwise_count(live_hash ^ hashes[i])
-        k = int(d.argmin()) if len(d) else -1
-        if k >= 0 and d[k] <= distance:
-            live_hash[k], live_frame[k], cluster[i] = hashes[i], frames[i], live_id[k]
-        else:
-            live_hash, live_frame, live_id = np.append(live_hash, hashes[i]), np.append(live_frame, frames[i]), np.append(live_id, n)
-            cluster[i], n = n, n + 1
-    return pd.DataFrame({"video": pdf["video"], "crop_id": pdf["crop_id"], "cluster": cluster})
+    leaders = (state if state is not None else {}).setdefault("leaders", Leaders(distance, gap))
+    cluster = [leaders.add(h, int(f)) for h, f in zip(pdf["hash"].to_numpy(np.uint64), pdf["frame"].to_numpy(), strict=True)]
+    return pd.DataFrame({"video": pdf["video"], "crop_id": pdf["crop_id"], "cluster": np.array(cluster, np.int64)})
 
 
 @frame("leader_clusters")
 def leader_clusters(spark, sf_dir):
-    crops = adapter(spark, sf_dir, "crops").select("video", "crop_id", "frame", "hash")
-    return crops.groupBy("video").applyInPandas(lambda pdf: lead(pdf, 2, 30), "video long, crop_id long, cluster long")
+    """A video's crops stream through one task in frame order; it holds the live leaders."""
+    crops = adapter(spark, sf_dir, "crops").select("video", "crop_id", "frame", "hash", F.col("crop_id").alias("det_idx"))
+    return folded(crops, ["video"], lambda state, pdf: lead(pdf, 2, 30, state), "video long, crop_id long, cluster long")

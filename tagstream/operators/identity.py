@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.dialect import adapter, frame
@@ -32,7 +32,8 @@ def follow(state: dict, boxes: np.ndarray, reach: float = REACH, misses: int = M
                 del tags[t]
     for j in range(len(xy)):
         if ids[j] < 0:
-            ids[j] = state["next"] = state.get("next", 0) + 1
+            ids[j] = state.get("next", 0)
+            state["next"] = ids[j] + 1
             tags[ids[j]] = [*xy[j], 0]
     return ids
 
@@ -46,24 +47,76 @@ def frames(pdf: pd.DataFrame):
             yield int(at[a]), boxes[a:z]
 
 
-def track_video(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["frame", "det_idx"], kind="stable")
-    state: dict = {}
+def ended(batches):
+    """(batch, whether it is the end); the end has no rows of its own."""
+    for pdf in batches:
+        yield pdf, False
+    yield None, True
+
+
+def folded(df: DataFrame, keys: list[str], step, schema: str) -> DataFrame:
+    """step(state, rows of whole frames) -> rows, for each key in frame order. A task streams its sorted rows in batches: what it holds is a batch and the state."""
+
+    def run(batches):
+        kept, state, now = None, {}, None
+        for pdf, last in ended(batches):
+            pdf = pdf if kept is None else kept if pdf is None else pd.concat([kept, pdf], ignore_index=True)
+            if pdf is None or not len(pdf):
+                continue
+            names = pdf[[*keys, "frame"]].to_numpy()
+            other = np.flatnonzero((names != names[-1]).any(axis=1))
+            cut = len(pdf) if last else int(other[-1]) + 1 if len(other) else 0
+            kept = pdf.iloc[cut:] if cut < len(pdf) else None
+            edge = [0, *(np.flatnonzero((names[1:cut, :-1] != names[: max(0, cut - 1), :-1]).any(axis=1)) + 1).tolist(), cut]
+            for a, z in zip(edge, edge[1:]):  # noqa: B905
+                if z > a:
+                    if now != tuple(names[a, :-1]):
+                        now, state = tuple(names[a, :-1]), {}
+                    yield step(state, pdf.iloc[a:z])
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, "frame", "det_idx").mapInPandas(run, schema)
+
+
+def tracked(state: dict, pdf: pd.DataFrame) -> pd.DataFrame:
     ids = [i for _, b in frames(pdf) for i in follow(state, b)]
     return pd.DataFrame({"video": pdf["video"], "frame": pdf["frame"], "det_idx": pdf["det_idx"], "track_id": np.array(ids, np.int64)})
 
 
+def track_video(pdf: pd.DataFrame) -> pd.DataFrame:
+    return tracked({}, pdf.sort_values(["frame", "det_idx"], kind="stable"))
+
+
+def tags_of(spark, sf_dir) -> DataFrame:
+    return adapter(spark, sf_dir, "detections").where("cls = 1").select("video", "frame", "det_idx", "x1", "y1", "x2", "y2")
+
+
 @frame("greedy_ids")
 def greedy_ids(spark, sf_dir):
-    d = adapter(spark, sf_dir, "detections").where("cls = 1").select("video", "frame", "det_idx", "x1", "y1", "x2", "y2")
-    return d.groupBy("video").applyInPandas(track_video, "video long, frame long, det_idx long, track_id long")
+    return folded(tags_of(spark, sf_dir), ["video"], tracked, "video long, frame long, det_idx long, track_id long")
+
+
+def alive(state: dict, pdf: pd.DataFrame) -> pd.DataFrame:
+    """After each frame: the ids that the tracker still holds, seen in it or not."""
+    rows = []
+    for at, b in frames(pdf):
+        follow(state, b)
+        rows.append((int(pdf["video"].iloc[0]), at, len(state["tags"]), ",".join(map(str, sorted(state["tags"])))))
+    return pd.DataFrame(rows, columns=["video", "frame", "n", "ids"])
+
+
+@frame("alive_ids")
+def alive_ids(spark, sf_dir):
+    """A window stays open as long as its id is alive."""
+    return folded(tags_of(spark, sf_dir), ["video"], alive, "video long, frame long, n long, ids string")
 
 
 def move(pdf: pd.DataFrame, max_age: int = 150, least: float = 0.2, least_conf: float = 0.25) -> pd.DataFrame:
-    """Overlap tracks with constant velocity: pairs by overlap with the predicted box, highest first."""
-    pdf = pdf[pdf["conf"] >= least_conf].sort_values(["frame", "det_idx"], kind="stable")
-    tracks: dict[int, tuple] = {}
-    n, out = 0, []
+    return moved({}, pdf[pdf["conf"] >= least_conf].sort_values(["frame", "det_idx"], kind="stable"), max_age, least)
+
+
+def moved(state: dict, pdf: pd.DataFrame, max_age: int = 150, least: float = 0.2) -> pd.DataFrame:
+    """Overlap tracks with constant velocity: pairs by overlap with the predicted box, highest first. state: tracks and the last id."""
+    tracks, n, out = state.get("tracks", {}), state.get("n", 0), []
     for now, b in frames(pdf):
         tracks = {t: s for t, s in tracks.items() if now - s[1] <= max_age}
         names, ids = list(tracks), [-1] * len(b)
@@ -91,27 +144,30 @@ def move(pdf: pd.DataFrame, max_age: int = 150, least: float = 0.2, least_conf:
                 old, at, _ = tracks[ids[j]]
                 tracks[ids[j]] = (box, now, (box - old) / max(1, now - at))
         out += ids
+    state["tracks"], state["n"] = tracks, n
     return pd.DataFrame({"video": pdf["video"], "frame": pdf["frame"], "det_idx": pdf["det_idx"], "track_id": np.array(out, np.int64)})
 
 
-def animals(spark, sf_dir):
-    return adapter(spark, sf_dir, "detections").where("cls = 0").select("video", "frame", "det_idx", "x1", "y1", "x2", "y2", "conf")
+def animals(spark, sf_dir, least_conf: float = 0.25) -> DataFrame:
+    return adapter(spark, sf_dir, "detections").where((F.col("cls") == 0) & (F.col("conf") >= least_conf)).select("video", "frame", "det_idx", "x1", "y1", "x2", "y2")
 
 
 @frame("motion_tracks")
 def motion_tracks(spark, sf_dir):
-    return animals(spark, sf_dir).groupBy("video").applyInPandas(lambda pdf: move(pdf), "video long, frame long, det_idx long, track_id long")
+    return folded(animals(spark, sf_dir), ["video"], lambda state, pdf: moved(state, pdf), "video long, frame long, det_idx long, track_id long")
+
+
+def replayed(state: dict, pdf: pd.DataFrame) -> pd.DataFrame:
+    """Ids that are new in these frames; max_age and least are the configuration's."""
+    before = state.get("n", 0)
+    moved(state, pdf, int(pdf["max_age"].iloc[0]), float(pdf["least"].iloc[0]))
+    return pd.DataFrame({"config": [pdf["config"].iloc[0]], "ids": [state["n"] - before]})
 
 
 @frame("param_sweep")
 def param_sweep(spark, sf_dir):
     """Distinct ids of each configuration, replayed in parallel over the same input; best is the first of the fewest."""
-    configs = spark.createDataFrame([(k, *c) for k, c in enumerate(CONFIGS)], "config int, max_age int, least double")
-    rows = animals(spark, sf_dir).crossJoin(F.broadcast(configs))  # seven rows
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = move(pdf, int(pdf["max_age"].iloc[0]), float(pdf["least"].iloc[0]))
-        return pd.DataFrame({"config": [pdf["config"].iloc[0]], "ids": [got["track_id"].nunique()]})
-
-    sums = rows.groupBy("config", "video").applyInPandas(one, "config int, ids long").groupBy("config").agg(F.sum("ids").alias("ids"))
-    return sums.withColumn("best", F.row_number().over(Window.orderBy("ids", "config")) == 1)
+    configs = F.explode(F.array(*(F.struct(F.lit(k).alias("config"), F.lit(a).alias("max_age"), F.lit(b).alias("least")) for k, (a, b) in enumerate(CONFIGS))))
+    rows = animals(spark, sf_dir).select("*", configs.alias("c")).select("*", "c.*").drop("c")
+    sums = folded(rows, ["config", "video"], replayed, "config int, ids long").groupBy("config").agg(F.sum("ids").alias("ids"))
+    return sums.withColumn("best", F.row_number().over(Window.orderBy("ids", "config")) == 1)  # a row a configuration

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.dialect import adapter, frame, relational
+from ..plans.shared import numbered
 
 EXCLUDED, LEAST_SCORE, SEED, FOLDS, VAL = "0", 0.75, 42, 5, 0.15
 SCOPE = "('0', '1', '2', '3', '4', '5', '6', '7', '8')"
@@ -102,8 +103,7 @@ def label_todo(spark, sf_dir):
 def priority_queue(spark, sf_dir):
     p = adapter(spark, sf_dir, "auto_preds").where(F.col("pred_text").isin("0", "5", "7")).join(adapter(spark, sf_dir, "manual_log").select("crop_id").distinct(), "crop_id", "left_anti")
     c = adapter(spark, sf_dir, "crops").select("crop_id", "video", "frame")
-    place = F.row_number().over(Window.orderBy(F.desc("score"), "pos")).cast("long")
-    return p.join(c, "crop_id").withColumn("place", place).select("crop_id", "video", "frame", F.col("pred_text").alias("digit"), F.round("score", 4).alias("score"), "place")
+    return numbered(p.join(c, "crop_id"), "place", F.desc("score"), "pos").select("crop_id", "video", "frame", F.col("pred_text").alias("digit"), F.round("score", 4).alias("score"), "place")
 
 
 @frame("left_validity", "SELECT s.crop_id, s.digit, l.crop_id IS NOT NULL AS valid FROM synthetic s LEFT JOIN labels l ON l.crop_id = s.source_crop_id AND l.source = 'manual' UNION ALL SELECT crop_id, digit, source = 'manual' FROM labels", (*MA, "synthetic"), LABELS)
@@ -165,14 +165,48 @@ def split_with_synthetic(d):
     return "SELECT crop_id, digit, fold, false AS synthetic FROM folds UNION ALL SELECT s.crop_id, s.digit, f.fold, true FROM synthetic s JOIN folds f ON f.crop_id = s.source_crop_id"
 
 
-@relational("topup_plan", *MA, "synthetic", more={**LABELS, "counts": counts_sql})
-def topup_plan(d):
-    """Rows needed to raise each class to the largest one, dealt to its sources in turn; numbers go on after those that a source has."""
-    return f"""SELECT p.digit, s.crop_id AS source_crop_id, k.i AS turn, s.used + 1 + {d.int('floor(CAST(k.i AS DOUBLE) / s.sources)')} AS aug_index
-      FROM (SELECT c.digit, greatest(0, {d.int(d.even('(SELECT CAST(max(n) AS DOUBLE) FROM counts)'))} - c.n - coalesce(y.n, 0)) AS needed
-            FROM counts c LEFT JOIN (SELECT digit, count(*) AS n FROM synthetic GROUP BY digit) y ON y.digit = c.digit) p,
-      {d.explode(0, 'greatest(p.needed - 1, 0)')} AS k(i)
-      JOIN (SELECT l.digit, l.crop_id, coalesce(u.used, 0) AS used, row_number() OVER (PARTITION BY l.digit ORDER BY l.crop_id) - 1 AS at, count(*) OVER (PARTITION BY l.digit) AS sources
-            FROM labels l LEFT JOIN (SELECT source_crop_id, count(*) AS used FROM synthetic GROUP BY source_crop_id) u ON u.source_crop_id = l.crop_id) s
-        ON s.digit = p.digit AND s.at = k.i % s.sources
-      WHERE p.needed > 0"""
+def turns(real: DataFrame, previous: DataFrame, digits: list[str], target: int | None) -> DataFrame:
+    """digit, source_crop_id, turn, aug_index: the synthetic rows that bring each digit to target, dealt to its sources in turn.
+
+    The target is the rounded mean over the classes in scope unless given. Rows of earlier runs (previous: digit,
+    source_crop_id, index or null) count; numbers go on after the largest one that a source has, so gaps are harmless.
+    """
+    scope = real.where(f"digit IN {SCOPE}")
+    goal = F.lit(target).cast("long") if target else F.bround(F.count("*") / 9).cast("long")
+    goal = scope.agg(goal.alias("goal"))
+    have = real.where(F.col("digit").isin(digits)).groupBy("digit").agg(F.count("*").alias("n"))
+    made = previous.groupBy("digit").agg(F.count("*").alias("made"))
+    plan = have.join(made, "digit", "left").crossJoin(F.broadcast(goal)).withColumn("needed", F.col("goal") - F.col("n") - F.coalesce("made", F.lit(0))).where("needed > 0")  # a row a digit
+    rows = plan.select("digit", F.col("n").alias("sources"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("needed") - 1)).alias("turn"))
+    first = previous.groupBy("source_crop_id").agg((F.max("index") + 1).alias("next"))
+    place = F.row_number().over(Window.partitionBy("digit").orderBy("crop_id")) - 1
+    own = real.where(F.col("digit").isin(digits)).select("digit", F.col("crop_id").alias("source_crop_id"), place.cast("long").alias("at")).join(first, "source_crop_id", "left")
+    dealt = rows.withColumn("at", F.col("turn") % F.col("sources")).join(own, ["digit", "at"])
+    return dealt.select("digit", "source_crop_id", "turn", (F.coalesce("next", F.lit(0).cast("long")) + F.floor(F.col("turn") / F.col("sources"))).alias("aug_index"))
+
+
+def turns_sql(digits: str, target: str, which: str = "true") -> str:
+    return f"""SELECT p.digit, s.crop_id AS source_crop_id, k.i AS turn, CAST(s.nxt + k.i // p.n AS BIGINT) AS aug_index
+      FROM (SELECT l.digit, l.n, {target} - l.n - coalesce(y.n, 0) AS needed FROM (SELECT digit, count(*) AS n FROM labels WHERE digit IN ({digits}) GROUP BY digit) l
+            LEFT JOIN (SELECT digit, count(*) AS n FROM synthetic WHERE {which} GROUP BY digit) y ON y.digit = l.digit) p,
+      LATERAL (SELECT unnest(generate_series(0, CAST(greatest(p.needed, 0) AS BIGINT) - 1)) AS i) k
+      JOIN (SELECT l.digit, l.crop_id, coalesce(u.nxt, 0) AS nxt, row_number() OVER (PARTITION BY l.digit ORDER BY l.crop_id) - 1 AS at FROM labels l
+            LEFT JOIN (SELECT source_crop_id, max(CASE WHEN crop_id % 7 <> 0 THEN crop_id % 50 END) + 1 AS nxt FROM synthetic WHERE {which} GROUP BY source_crop_id) u ON u.source_crop_id = l.crop_id) s
+        ON s.digit = p.digit AND s.at = k.i % p.n"""
+
+
+def previous(spark, sf_dir) -> DataFrame:
+    """Earlier synthetic rows; every seventh one's name has no number."""
+    return adapter(spark, sf_dir, "synthetic").select("crop_id", "digit", "source_crop_id", F.when(F.col("crop_id") % 7 != 0, F.col("crop_id") % 50).alias("index"))
+
+
+@frame("topup_plan", turns_sql("'5', '7'", "3000"), (*MA, "synthetic"), LABELS)
+def topup_plan(spark, sf_dir):
+    """The two rare digits, to a given count."""
+    return turns(labels(spark, sf_dir), previous(spark, sf_dir), ["5", "7"], 3000)
+
+
+@frame("topup_mean", turns_sql(SCOPE[1:-1], f"(SELECT CAST(round_even(count(*) / 9.0, 0) AS BIGINT) FROM labels WHERE digit IN {SCOPE})", "crop_id % 100 = 0"), (*MA, "synthetic"), LABELS)
+def topup_mean(spark, sf_dir):
+    """All digits in scope, to their rounded mean; a small earlier run."""
+    return turns(labels(spark, sf_dir), previous(spark, sf_dir).where("crop_id % 100 = 0"), list("012345678"), None)

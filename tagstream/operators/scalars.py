@@ -71,7 +71,7 @@ def upscale_dims(d):
 
 @relational("key_format", "detections")
 def key_format(d):
-    return f"SELECT video, frame, det_idx, concat('v', CAST(video AS VARCHAR(20)), '_frame', {d.pad('frame', 6)}, '_tag', CAST(det_idx AS VARCHAR(20)), '_bead0.jpg') AS name, CAST(det_idx % 8 AS BIGINT) AS colour FROM detections"
+    return f"SELECT video, frame, det_idx, concat('v', CAST(video AS VARCHAR(20)), '_frame', {d.pad('frame', 6)}, '_tag', CAST(det_idx AS VARCHAR(20)), '_bead0.jpg') AS name, CAST(det_idx % 8 AS BIGINT) AS colour, CASE cls WHEN 0 THEN 'animal' WHEN 1 THEN 'tag' END AS class_name FROM detections"
 
 
 @relational("duration_hms", "images")
@@ -87,11 +87,11 @@ def aug_index(d):
     return f"SELECT source_crop_id, max(CASE WHEN {got} <> '' THEN CAST(concat('0', {got}) AS BIGINT) END) + 1 AS next_index FROM synthetic GROUP BY source_crop_id"
 
 
-@frame("hash_bits", """SELECT crop_id, list_sum(list_transform(generate_series(1, 62), lambda i: CASE WHEN embedding[i + 1] > embedding[i] THEN CAST(1 AS BIGINT) << (i - 1) ELSE 0 END))::BIGINT AS hash FROM features""", ("features",))
+@frame("hash_bits", """SELECT crop_id, list_sum(list_transform(generate_series(1, 63), lambda i: CASE WHEN embedding[i + 1] > embedding[i] THEN CAST(1 AS BIGINT) << (i - 1) ELSE 0 END))::BIGINT AS hash FROM features""", ("features",))
 def hash_bits(spark, sf_dir):
     """Comparisons of neighbours packed into bits, first one lowest."""
     bit = lambda i: F.when(F.element_at("embedding", i + 1) > F.element_at("embedding", i), F.call_function("shiftleft", F.lit(1).cast("long"), i - 1)).otherwise(F.lit(0).cast("long"))
-    return adapter(spark, sf_dir, "features").select("crop_id", F.aggregate(F.transform(F.sequence(F.lit(1), F.lit(62)), bit), F.lit(0).cast("long"), lambda a, v: a + v).alias("hash"))
+    return adapter(spark, sf_dir, "features").select("crop_id", F.aggregate(F.transform(F.sequence(F.lit(1), F.lit(63)), bit), F.lit(0).cast("long"), lambda a, v: a + v).alias("hash"))
 
 
 @frame("class_demux", "SELECT video, frame, det_idx, cls, conf FROM detections WHERE cls = 1 AND conf >= 0.4", ("detections",))
@@ -106,9 +106,9 @@ def stride_sample(spark, sf_dir):
 
 @relational("even_sample", "detections")
 def even_sample(d):
-    """40 ordinals a video, evenly spread and truncated."""
+    """40 ordinals a video, or all of fewer, evenly spread and truncated."""
     return f"""SELECT o.video, o.frame, o.det_idx, o.at FROM (SELECT video, frame, det_idx, CAST(row_number() OVER (PARTITION BY video ORDER BY frame, det_idx) - 1 AS BIGINT) AS at, count(*) OVER (PARTITION BY video) AS n FROM detections) o
-      JOIN (SELECT DISTINCT c.video, {d.int('floor(k.i * (least(c.n, c.n) - 1) / 39.0)')} AS at FROM (SELECT video, count(*) AS n FROM detections GROUP BY video) c, {d.explode(0, 39)} AS k(i)) s ON s.video = o.video AND s.at = o.at"""
+      JOIN (SELECT DISTINCT c.video, {d.int('floor(CAST(k.i * (c.n - 1) AS DOUBLE) / greatest(1, least(40, c.n) - 1))')} AS at FROM (SELECT video, count(*) AS n FROM detections GROUP BY video) c, {d.explode(0, 39)} AS k(i) WHERE k.i < c.n) s ON s.video = o.video AND s.at = o.at"""
 
 
 @relational("soft_cap", "detections")

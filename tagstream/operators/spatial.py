@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..plans.dialect import adapter, frame, relational
+from ..plans.shared import numbered
 
 BOX = ("x1", "y1", "x2", "y2")
 
@@ -63,11 +64,28 @@ def zero_detections(spark, sf_dir):
     return adapter(spark, sf_dir, "images").join(boxes, "image_id", "left").agg(F.count("*").alias("images"), F.count_if(F.col("has").isNull()).alias("without_box"), F.count_if(F.col("remote_id").isNull()).alias("without_remote"))
 
 
-@relational("coco_rollup", "images", "detections")
-def coco_rollup(d):
-    boxes = f"(SELECT l_orderkey AS image_id, CASE WHEN l_linenumber % 2 = 0 THEN 2 ELSE 1 END AS category_id, 20 + l_quantity AS w, 20 + l_partkey % 40 AS h FROM {d.tables['lineitem']})"
-    return f"""SELECT i.image_id, CAST(dense_rank() OVER (ORDER BY i.image_id) AS BIGINT) AS coco_id, count(b.category_id) AS boxes, coalesce(CAST(sum(b.category_id) AS BIGINT), 0) AS categories, round(coalesce(sum(b.w * b.h), 0), 3) AS area
-      FROM images i LEFT JOIN {boxes} b ON b.image_id = i.image_id GROUP BY i.image_id"""
+BOXES = "(SELECT l_orderkey AS image_id, CASE WHEN l_linenumber % 2 = 0 THEN 2 ELSE 1 END AS category_id, 20 + l_quantity AS w, 20 + l_partkey % 40 AS h, l_linenumber, l_partkey, l_suppkey FROM {lineitem})"
+
+
+@frame("coco_rollup", f"""SELECT i.image_id, CAST(dense_rank() OVER (ORDER BY i.image_id) AS BIGINT) AS coco_id, count(b.category_id) AS boxes, coalesce(CAST(sum(b.category_id) AS BIGINT), 0) AS categories, round(coalesce(sum(b.w * b.h), 0), 3) AS area
+      FROM images i LEFT JOIN {BOXES.format(lineitem='lineitem')} b ON b.image_id = i.image_id GROUP BY i.image_id""", ("images",))
+def coco_rollup(spark, sf_dir):
+    """Images, also those without boxes, numbered in the order of their ids."""
+    boxes = spark.sql("SELECT * FROM " + BOXES.format(lineitem=f"parquet.`{sf_dir}/lineitem.parquet`"))
+    sums = boxes.groupBy("image_id").agg(F.count("*").alias("boxes"), F.sum("category_id").alias("categories"), F.round(F.sum(F.col("w") * F.col("h")), 3).alias("area"))
+    rows = adapter(spark, sf_dir, "images").select("image_id").distinct().join(sums, "image_id", "left")
+    zero = lambda c, kind: F.coalesce(c, F.lit(0)).cast(kind).alias(c)
+    return numbered(rows, "coco_id", "image_id").select("image_id", "coco_id", zero("boxes", "long"), zero("categories", "long"), zero("area", "double"))
+
+
+@frame("annotation_lists", f"""SELECT i.image_id, coalesce(string_agg(CAST(b.category_id AS VARCHAR) || ':' || CAST(CAST(b.h AS BIGINT) AS VARCHAR), ',' ORDER BY b.l_linenumber, b.l_partkey, b.l_suppkey, b.w), '') AS annotations
+      FROM images i LEFT JOIN {BOXES.format(lineitem='lineitem')} b ON b.image_id = i.image_id GROUP BY i.image_id""", ("images",))
+def annotation_lists(spark, sf_dir):
+    """An image's annotations as an ordered list; images without any have an empty one."""
+    boxes = spark.sql("SELECT * FROM " + BOXES.format(lineitem=f"parquet.`{sf_dir}/lineitem.parquet`"))
+    one = F.concat_ws(":", "category_id", F.col("h").cast("long")).alias("text")
+    lists = boxes.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "w", one))).alias("all"))
+    return adapter(spark, sf_dir, "images").select("image_id").join(lists, "image_id", "left").select("image_id", F.coalesce(F.array_join(F.col("all.text"), ","), F.lit("")).alias("annotations"))
 
 
 @relational("carry_detections", "detections")

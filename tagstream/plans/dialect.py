@@ -17,6 +17,8 @@ TABLES = ("lineitem", "orders", "events", "embeddings")
 
 
 class Spark:
+    once = ""
+
     def __init__(self, sf_dir: str):
         self.tables = {t: f"parquet.`{sf_dir}/{t}.parquet`" for t in TABLES}
 
@@ -44,11 +46,20 @@ class Spark:
     def last_value(self, x):
         return f"last_value({x}) IGNORE NULLS"
 
+    def hexed(self, x):
+        """A hexadecimal text of up to 8 digits as a number."""
+        return f"CAST(conv({x}, 16, 10) AS BIGINT)"
+
+    def replaced(self, x, pattern, by):
+        return f"regexp_replace({x}, r'{pattern}', '{by}')"
+
     def explode(self, a, b):
         return f"LATERAL explode(sequence(CAST({a} AS BIGINT), CAST({b} AS BIGINT)))"
 
 
 class Duck(Spark):
+    once = "MATERIALIZED "
+
     def __init__(self):
         self.tables = {t: t for t in TABLES}
 
@@ -73,13 +84,19 @@ class Duck(Spark):
     def last_value(self, x):
         return f"last_value({x} IGNORE NULLS)"
 
+    def hexed(self, x):
+        return f"CAST(concat('0x', {x}) AS BIGINT)"
+
+    def replaced(self, x, pattern, by):
+        return f"regexp_replace({x}, '{pattern}', '{by}', 'g')"
+
     def explode(self, a, b):
         return f"LATERAL unnest(generate_series(CAST({a} AS BIGINT), CAST({b} AS BIGINT)))"
 
 
 def views(d: Spark, names: tuple[str, ...], more: dict | None = None) -> str:
     parts = [f"{n} AS ({ADAPTERS[n].format(**d.tables)})" for n in names]
-    parts += [f"{n} AS ({text(d)})" for n, text in (more or {}).items()]
+    parts += [f"{n} AS {d.once}({text(d)})" for n, text in (more or {}).items()]
     return ",\n".join(parts)
 
 

@@ -97,18 +97,46 @@ def append_log(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def write_by(df: DataFrame, path: str, *columns: str) -> None:
-    """One folder a value: rows are dealt by value first, so that each folder has few files."""
-    df.repartition(*map(F.col, columns)).write.mode("overwrite").partitionBy(*columns).parquet(path)
+def write_by(df: DataFrame, path: str, *columns: str, parts: int = 8) -> None:
+    """One folder a value. A value's rows are dealt to `parts` tasks, so that a frequent one is not written by one alone."""
+    part = F.pmod(F.xxhash64(*df.columns), F.lit(parts))
+    df.repartition(*map(F.col, columns), part).write.mode("overwrite").partitionBy(*columns).parquet(path)
 
 
 def rewrite(spark: SparkSession, path: str, change) -> None:
-    """Replace a table by change(table): written beside it, then swapped."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    path_of = jvm.org.apache.hadoop.fs.Path
-    fs = path_of(path).getFileSystem(conf)
+    """Replace a table by change(table): written beside it, then swapped. recover() finishes a swap that was cut off."""
+    recover(spark, path)
+    fs, path_of = file_system(spark, path)
     change(spark.read.parquet(path)).write.mode("overwrite").parquet(f"{path}.new")
     fs.rename(path_of(path), path_of(f"{path}.old"))
-    fs.rename(path_of(f"{path}.new"), path_of(path))
-    fs.delete(path_of(f"{path}.old"), True)
+    recover(spark, path)
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """If the table is gone from its path, the new one takes its place (or the old one, where none was written whole); then the old one goes."""
+    fs, path_of = file_system(spark, path)
+    if not fs.exists(path_of(path)):
+        whole = fs.exists(path_of(f"{path}.new/_SUCCESS"))
+        if whole or fs.exists(path_of(f"{path}.old")):
+            fs.rename(path_of(f"{path}.new" if whole else f"{path}.old"), path_of(path))
+    if fs.exists(path_of(path)) and fs.exists(path_of(f"{path}.old")):
+        fs.delete(path_of(f"{path}.old"), True)
     spark.catalog.refreshByPath(path)
+
+
+def file_system(spark: SparkSession, path: str):
+    path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return path_of(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path_of
+
+
+def from_existing(spark: SparkSession, path: str, least: float, excluded: tuple[str, ...] = ("0",)) -> DataFrame:
+    """Accepted rows of a written prediction table (pred_text, score), filtered anew without running the model."""
+    return spark.read.parquet(path).where(F.col("pred_text").rlike("^[0-9]$") & ~F.col("pred_text").isin(*excluded) & (F.col("score") >= least))
+
+
+def scene_check(spark: SparkSession, source: str, weights: tuple[str, ...] = (), shown: bool = True, saved: str | None = None) -> list[str]:
+    """What keeps a run from starting; empty if nothing does."""
+    bad = [f"not found: {p}" for p in (source, *weights) if not exists(spark, p)]
+    if not shown and saved is None:
+        bad.append("nothing to do: neither shown nor saved")
+    return bad

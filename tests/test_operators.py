@@ -11,7 +11,7 @@ from tagstream.sources import io
 from tagstream.sources.adapters import ADAPTERS
 
 SF = "/root/testdata/sf0.001"
-ORACLED = ["digit_balance", "label_merge", "label_conflicts", "left_validity", "priority_queue", "crop_padded", "tag_to_animal", "smallest_container", "position_rank", "heading_held", "code_held", "identity_events", "hamming_pairs", "dup_components", "dup_representatives", "kfold", "topup_plan", "disagreements", "fps_ema", "hash_bits"]
+ORACLED = ["digit_balance", "label_merge", "label_conflicts", "left_validity", "priority_queue", "crop_padded", "tag_to_animal", "smallest_container", "position_rank", "heading_held", "code_held", "identity_events", "hamming_pairs", "dup_components", "dup_representatives", "kfold", "topup_plan", "disagreements", "fps_ema", "hash_bits", "topup_mean", "disagreements_sure", "possible_swaps", "coco_rollup", "annotation_lists", "even_sample", "tombstones", "copied_paths", "dedup_summary", "frame_seek", "rate_sample", "limited_sample", "sequential_scan", "probe_record", "size_totals", "path_parts", "label_texts", "bootstrap_accept", "grid_position", "zip_join", "remote_listing", "augment_draws", "ocr_rows", "epoch_metrics", "label_report", "digit_order"]
 
 
 def rows(cols, values):
@@ -42,11 +42,11 @@ def test_undecodable_crops_share_hash_zero():
 def test_follow_frees_ids_after_misses():
     state: dict = {}
     box = np.array([[0.0, 0, 10, 10]])
-    assert follow(state, box) == [1]
+    assert follow(state, box) == [0]
     for _ in range(16):
         follow(state, np.empty((0, 4)))
-    assert follow(state, box) == [2]
-    assert follow(state, box + 500) == [3]
+    assert follow(state, box) == [1]
+    assert follow(state, box + 500) == [2]
 
 
 def test_suppress_keeps_first_of_equals():
@@ -100,3 +100,229 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination(120)
     batch = d.select("video", "frame", "det_idx", "x1", "y1", "x2", "y2").groupBy("video").applyInPandas(track_video, "video long, frame long, det_idx long, track_id long")
     assert sorted(map(tuple, spark.table("tracks").collect())) == sorted(map(tuple, batch.collect()))
+
+
+def plain_tracker(rows):
+    """The nearest-centre tracker in plain Python. rows: (frame, boxes); gives the ids of each frame's boxes, and the ids alive after it."""
+    tags, fresh, out = {}, 0, []
+    for _, boxes in rows:
+        centres = [((a + c) / 2, (b + d) / 2) for a, b, c, d in boxes]
+        pairs = [(((x - u) ** 2 + (y - v) ** 2) ** 0.5, t, j) for t, (u, v, _m) in tags.items() for j, (x, y) in enumerate(centres)]
+        got, taken = {}, set()
+        for dist, t, j in sorted((p for p in pairs if p[0] <= 400), key=lambda p: p[0]):
+            if t not in taken and j not in got:
+                got[j], tags[t] = t, (*centres[j], 0)
+                taken.add(t)
+        for t in list(tags):
+            if t not in taken:
+                x, y, m = tags[t]
+                tags[t] = (x, y, m + 1)
+                if m + 1 > 15:
+                    del tags[t]
+        for j, c in enumerate(centres):
+            if j not in got:
+                got[j], tags[fresh] = fresh, (*c, 0)
+                fresh += 1
+        out.append(([got[j] for j in range(len(centres))], sorted(tags)))
+    return out
+
+
+def test_greedy_ids_and_alive_against_plain_tracker(spark):
+    d = spark.sql(ADAPTERS["detections"].format(lineitem=f"parquet.`{SF}/lineitem.parquet`")).where("cls = 1").toPandas().sort_values(["video", "frame", "det_idx"])
+    ids = {(r.video, r.frame, r.det_idx): r.track_id for r in catalog.QUERIES["greedy_ids"](spark, SF).collect()}
+    kept = {(r.video, r.frame): r.ids for r in catalog.QUERIES["alive_ids"](spark, SF).collect()}
+    assert len(ids) == len(d)
+    for video, part in d.groupby("video"):
+        groups = list(part.groupby("frame"))
+        for (at, rows), (own, alive) in zip(groups, plain_tracker([(f, g[["x1", "y1", "x2", "y2"]].to_numpy().tolist()) for f, g in groups]), strict=True):
+            assert [ids[(video, at, k)] for k in rows["det_idx"]] == own
+            assert kept[(video, at)] == ",".join(map(str, alive))
+
+
+def plain_motion(rows, max_age, least):
+    """Overlap tracks with constant velocity, in plain Python."""
+    tracks, n, out = {}, 0, []
+    over = lambda a, b: max(0, min(a[2], b[2]) - max(a[0], b[0])) * max(0, min(a[3], b[3]) - max(a[1], b[1]))
+    size = lambda a: (a[2] - a[0]) * (a[3] - a[1])
+    for at, boxes in rows:
+        tracks = {t: v for t, v in tracks.items() if at - v[1] <= max_age}
+        pairs = []
+        for i, (t, (box, seen, speed)) in enumerate(tracks.items()):
+            p = [x + s * (at - seen) for x, s in zip(box, speed, strict=True)]
+            for j, b in enumerate(boxes):
+                both = over(p, b)
+                pairs.append((-(both / max(size(p) + size(b) - both, 1e-9)), i, j, t))
+        got, used = {}, set()
+        for iou, _i, j, t in sorted(pairs):
+            if -iou >= least and t not in used and j not in got:
+                got[j] = t
+                used.add(t)
+        for j, b in enumerate(boxes):
+            if j in got:
+                box, seen, _ = tracks[got[j]]
+                tracks[got[j]] = (b, at, [(x - y) / max(1, at - seen) for x, y in zip(b, box, strict=True)])
+            else:
+                n += 1
+                got[j], tracks[n] = n, (b, at, [0.0] * 4)
+        out.append([got[j] for j in range(len(boxes))])
+    return out, n
+
+
+def test_motion_tracks_and_sweep_against_plain_tracker(spark):
+    from tagstream.operators.identity import CONFIGS
+
+    d = spark.sql(ADAPTERS["detections"].format(lineitem=f"parquet.`{SF}/lineitem.parquet`")).where("cls = 0 AND conf >= 0.25").toPandas().sort_values(["video", "frame", "det_idx"])
+    got = {(r.video, r.frame, r.det_idx): r.track_id for r in catalog.QUERIES["motion_tracks"](spark, SF).collect()}
+    sums = dict.fromkeys(range(len(CONFIGS)), 0)
+    for video, part in d.groupby("video"):
+        groups = [(f, g[["x1", "y1", "x2", "y2"]].to_numpy().tolist(), g["det_idx"].tolist()) for f, g in part.groupby("frame")]
+        for (at, _, names), own in zip(groups, plain_motion([g[:2] for g in groups], 150, 0.2)[0], strict=True):
+            assert [got[(video, at, k)] for k in names] == own
+        for k, c in enumerate(CONFIGS):
+            sums[k] += plain_motion([g[:2] for g in groups], *c)[1]
+    swept = {r.config: (r.ids, r.best) for r in catalog.QUERIES["param_sweep"](spark, SF).collect()}
+    assert {k: v[0] for k, v in swept.items()} == sums
+    assert [k for k, v in swept.items() if v[1]] == [min(sums, key=lambda k: (sums[k], k))]
+
+
+def test_folds_stream_over_small_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 37)
+    try:
+        small = {name: sorted(map(tuple, catalog.QUERIES[name](spark, SF).collect())) for name in ("greedy_ids", "leader_clusters")}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert small == {name: sorted(map(tuple, catalog.QUERIES[name](spark, SF).collect())) for name in small}
+
+
+def test_leader_clusters_and_nms_against_plain_loops(spark):
+    crops = spark.sql(ADAPTERS["crops"].format(lineitem=f"parquet.`{SF}/lineitem.parquet`")).toPandas().sort_values(["video", "frame", "crop_id"])
+    got = {r.crop_id: (r.video, r.cluster) for r in catalog.QUERIES["leader_clusters"](spark, SF).collect()}
+    for video, part in crops.groupby("video"):
+        leaders, n = [], 0
+        for c, f, h in zip(part["crop_id"], part["frame"], part["hash"], strict=True):
+            leaders = [x for x in leaders if f - x[1] <= 30]
+            near = min(leaders, key=lambda x: bin(x[0] ^ h).count("1"), default=None)
+            if near is None or bin(near[0] ^ h).count("1") > 2:
+                near = [h, f, n]
+                leaders.append(near)
+                n += 1
+            near[0], near[1] = h, f
+            assert got[c] == (video, near[2])
+    d = spark.sql(ADAPTERS["detections"].format(lineitem=f"parquet.`{SF}/lineitem.parquet`")).where("frame < 60").toPandas()
+    kept = {(r.video, r.frame, r.det_idx) for r in catalog.QUERIES["nms"](spark, SF).where("frame < 60").collect()}
+    brute = set()
+    for (video, at, _), g in d.groupby(["video", "frame", "cls"]):
+        chosen = []
+        for r in sorted(g.itertuples(), key=lambda r: (-r.conf, r.det_idx)):
+            fits = True
+            for o in chosen:
+                both = max(0, min(r.x2, o.x2) - max(r.x1, o.x1)) * max(0, min(r.y2, o.y2) - max(r.y1, o.y1))
+                fits &= both <= 0.4 * ((r.x2 - r.x1) * (r.y2 - r.y1) + (o.x2 - o.x1) * (o.y2 - o.y1) - both)
+            if fits:
+                chosen.append(r)
+        brute |= {(video, at, r.det_idx) for r in chosen}
+    assert kept == brute
+
+
+def test_reconciler_equals_the_window_queries_and_its_stream(spark, tmp_path):
+    from tagstream.streaming.reconciler import reconcile, reconcile_stream
+
+    reads = spark.sql(ADAPTERS["tag_reads"].format(events=f"parquet.`{SF}/events.parquet`")).select("frame", "track_id", "code").orderBy("frame")
+    events = reconcile({}, [(r.frame, r.track_id, r.code) for r in reads.collect()])
+    named = {(f, t, old, code) for kind, f, code, t, old, _ in events if kind == "identity_reassigned"}
+    assert named == {(r.frame, r.track_id, r.old_code, r.new_code) for r in catalog.QUERIES["identity_events"](spark, SF).collect()}
+    swaps = {(f, code, t, o) for kind, f, code, t, _, all_ in events if kind == "possible_swap" for o in all_[1:]}
+    assert swaps == {(r.frame, r.code, r.track_id, r.other) for r in catalog.QUERIES["possible_swaps"](spark, SF).collect()} and swaps
+    n = reads.count()
+    for k in range(3):
+        reads.where(f"frame >= {n * k // 3} AND frame < {n * (k + 1) // 3}").selectExpr("0L AS video", "*").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    from tagstream.streaming.progress import Progress
+
+    seen = Progress(every=100)
+    spark.streams.addListener(seen)
+    source = spark.readStream.schema("video long, frame long, track_id long, code string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = reconcile_stream(source).writeStream.format("memory").queryName("events_out").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = sorted((r.type, r.frame, r.code, r.track_id, r.old_code, r.tracks) for r in spark.table("events_out").collect())
+    assert [x[:4] for x in got] == sorted(x[:4] for x in events)
+    import time
+
+    for _ in range(50):
+        if seen.rows >= n:
+            break
+        time.sleep(0.2)
+    spark.streams.removeListener(seen)
+    assert seen.rows == n and seen.lines
+
+
+def test_texts_of_durations_codes_and_paths(spark):
+    from pyspark.sql import functions as F
+
+    from tagstream.operators import media
+
+    one = lambda x: spark.range(1).select(x.alias("x")).first().x
+    assert [one(media.duration_text(F.lit(s))) for s in (0.0, 59.999, 3661.5, 36000.25)] == ["0:00:00.00", "0:00:60.00", "1:01:01.50", "10:00:00.25"]
+    assert one(media.fourcc(F.lit(int.from_bytes(b"hvc1", "little")))) == "hvc1"
+    assert one(media.relative_to(F.lit("C:\\work\\project\\a\\b.JPG"), media.ROOT)) == "a\\b.JPG"
+    assert [one(media.suffix(F.lit(x))) for x in ("a.JPG", ".hidden", "none", "a.b.PnG")] == [".jpg", "", "", ".png"]
+    pages = spark.createDataFrame([(1, [("a", 1), ("b", 2), ("a", 3)]), (2, [("b", 9)]), (3, [])], "page long, items array<struct<name:string,id:long>>")
+    assert {r.name: r.id for r in media.flattened(pages).collect()} == {"a": 3, "b": 9}
+
+
+def test_table_function_gives_none_to_many_rows(spark):
+    from tagstream.functions.udtf import RecognizedTexts
+
+    spark.udtf.register("recognized_texts", RecognizedTexts)
+    rows = spark.sql("""SELECT n, t.* FROM VALUES (1, '{"rec_texts": ["a", "b"], "rec_scores": [0.5, 1]}'), (2, NULL), (3, '{}') v(n, r), LATERAL recognized_texts(r) t""").collect()
+    assert sorted(map(tuple, rows)) == [(1, 0, "a", 0.5), (1, 1, "b", 1.0)]
+
+
+def test_tables_are_replaced_whole_or_not_at_all(spark, tmp_path):
+    p = str(tmp_path / "t")
+    spark.range(5).write.parquet(p)
+    fs, path_of = io.file_system(spark, p)
+    spark.range(3).write.parquet(p + ".new")
+    fs.rename(path_of(p), path_of(p + ".old"))  # cut off between the two renames
+    io.recover(spark, p)
+    assert spark.read.parquet(p).count() == 3 and not fs.exists(path_of(p + ".old"))
+    fs.rename(path_of(p), path_of(p + ".old"))  # nothing new was written
+    io.recover(spark, p)
+    assert spark.read.parquet(p).count() == 3
+    io.rewrite(spark, p, lambda df: df.where("id < 1"))
+    assert spark.read.parquet(p).count() == 1
+    io.append_log(spark.range(2), p)
+    assert spark.read.parquet(p).count() == 3
+    io.write_by(spark.range(10).selectExpr("id", "id % 2 AS digit"), str(tmp_path / "by"), "digit")
+    assert spark.read.parquet(str(tmp_path / "by")).where("digit = 1").count() == 5
+
+
+def test_checks_and_existing_predictions(spark, tmp_path):
+    p = str(tmp_path / "preds")
+    spark.createDataFrame([("5", 0.9), ("0", 0.9), ("12", 0.9), ("7", 0.5), ("7", 0.75)], "pred_text string, score double").write.parquet(p)
+    assert sorted((r.pred_text, r.score) for r in io.from_existing(spark, p, 0.75).collect()) == [("5", 0.9), ("7", 0.75)]
+    assert io.scene_check(spark, p, shown=False, saved="x") == []
+    assert len(io.scene_check(spark, p + "x", (p, p + "y"), shown=False)) == 3
+    (tmp_path / "a.csv").write_text("crop_path,digit\nx,1\ny,2\n")
+    (tmp_path / "b.csv").write_text("crop_path,digit\nx,3\n")
+    keys = io.labelled_keys(spark, str(tmp_path / "a.csv"), str(tmp_path / "b.csv"), str(tmp_path / "none.csv"))
+    assert sorted(r.crop_path for r in keys.collect()) == ["x", "y"]
+
+
+def test_numbered_equals_row_number(spark):
+    from pyspark.sql import functions as F
+
+    from tagstream.plans.shared import numbered
+
+    df = spark.range(1000).select(F.xxhash64("id").alias("h"), "id").repartition(7)
+    got = [(r.h, r.n) for r in numbered(df, "n", F.desc("h")).orderBy("n").collect()]
+    assert got == [(h, k + 1) for k, h in enumerate(sorted((r.h for r in df.collect()), reverse=True))]
+
+
+def test_top_up_goes_on_after_gaps(spark):
+    from tagstream.operators.labels import turns
+
+    real = spark.createDataFrame([(1, "5"), (2, "5"), (3, "7"), *((k, "1") for k in range(10, 30))], "crop_id long, digit string")
+    before = spark.createDataFrame([("5", 1, 4), ("5", 1, 0), ("7", 3, None)], "digit string, source_crop_id long, index long")
+    got = sorted(map(tuple, turns(real, before, ["5", "7"], 8).select("digit", "source_crop_id", "aug_index").collect()))
+    assert got == [("5", 1, 5), ("5", 1, 6), ("5", 2, 0), ("5", 2, 1), *(("7", 3, k) for k in range(6))]
+    assert sorted((r.digit, r.source_crop_id) for r in turns(real, before, ["7"], None).collect()) == [("7", 3)]  # the mean of 23 rows over 9 classes is 3
