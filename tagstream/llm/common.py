@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 import zlib
 
@@ -13,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..plans.shared import shared_dir
+
 #: Rows and bytes of text that a Python worker holds as objects at once.
 SLICE_ROWS, SLICE_BYTES = 512, 4 << 20
 
@@ -24,17 +25,6 @@ _ROWS, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execu
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is configured (tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        sc = spark.sparkContext._jsc.sc()
-        if sc.getCheckpointDir().isEmpty():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tagstream-"))
-        found = sc.getCheckpointDir().get()
-    return found.rstrip("/")
-
-
 def bounded(spark: SparkSession) -> None:
     """Set the session's batches to BATCH_ROWS rows and BATCH_BYTES at most, so that what is on its way to Python workers stays small."""
     if int(spark.conf.get(_ROWS)) > BATCH_ROWS:

@@ -2,6 +2,7 @@ import hashlib
 import re
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -30,7 +31,7 @@ def test_every_operator_takes_odd_tables(spark, docs):
     assert secrets.find_secrets(docs).count() == n
     assert jaccard.similar(docs).count() == n
     assert pii.find_personal(docs).count() == n
-    assert quality.judge(quality.measure(docs, quality.fit(quality.count_codes(docs)))).count() == n
+    assert quality.judge(quality.measure(docs, quality.count_codes(docs))).count() == n
     assert toxicity.score_toxicity(docs, toxicity.fit([])).count() == n
     assert templates.dedup_lines(docs).count() == n
     assert mixing.mixing_stage(spark, docs, SF).columns == docs.columns
@@ -299,6 +300,43 @@ def test_quality_counts_and_model():
         assert np.exp(quality.log_probs(levels, (context << 6) + np.arange(64))).sum() == pytest.approx(1, abs=1e-5)
 
 
+def plain_counts(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    often = {w for w in set(windows) if windows.count(w) > 1} if len(windows) < 3000 else {w for w, k in Counter(windows).items() if k > 1}
+    repeat = {i + k for i, w in enumerate(windows) if w in often for k in range(3)}
+    n = len(words)
+    return n, sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(repeat), n < 50 or 100 * len(repeat) > 50 * n
+
+
+def test_quality_base_columns_and_kept_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    text = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    good = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = quality.op9_quality(spark, sf).collect()
+    assert len(rows) == len(text)
+    for r in rows:
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == plain_counts(text[r.doc_id])
+        inside = r.log_ppl is None or r.lower is None or r.lower <= r.log_ppl <= r.upper
+        assert r.kept == (not r.base_failed and inside)
+    passing = [r for r in rows if not r.base_failed and r.doc_id in good]
+    kept = [r.kept for r in passing if good[r.doc_id] == 1]
+    gone = [not r.kept for r in passing if good[r.doc_id] == 0]
+    assert np.mean(kept) >= 0.97 and np.mean(gone) >= 0.5
+
+
+def test_quality_batches_of_languages_give_the_same(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, " ".join("".join(rng.choice(list(a), 5)) for _ in range(60)), lang) for k in range(60) for lang, a in (("en", "abcdef"), ("ru", "абвгдеж"), (None, "αβγδεζ"), ("xx", "ghijk"))]
+    df = spark.createDataFrame([(4 * k + i, t, lang) for i, (k, t, lang) in enumerate(rows)] + [(-1, "", "zz"), (-2, None, "yy")], "doc_id long, text string, lang string")
+    counts = quality.materialize(quality.count_codes(df), "ngrams")
+    order = lambda m: sorted(((r.doc_id, r.lang, None if r.log_ppl is None else round(r.log_ppl, 9)) for r in m.collect()), key=str)
+    whole = order(quality.measure(df, counts))
+    assert whole == order(quality.measure(df, counts, most=100)) and sum(x[2] is not None for x in whole) == len(rows)
+    assert len({quality.char_class(c, True) for c in "абвгдежзийклмнопрстуфхцчшщъыьэюя"}) == 32 and len({quality.char_class(c, True) for c in "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ"}) == 56
+
+
 def test_toxicity_learns_a_word():
     rows = [(f"{LONG} {'idiot' if k % 4 == 0 else 'fine'} {k}", int(k % 4 == 0)) for k in range(200)]
     score = toxicity.scorer(toxicity.fit(rows))
