@@ -11,7 +11,7 @@ literal in the plan. Base spans always stay; other candidates are added when the
 gives 0.5 or more.
 
 Cases: null and empty texts have no spans; very long texts are scanned whole with patterns that
-neither recurse nor backtrack without bound; repeated rows get equal results; without
+neither recurse nor backtrack without bound, and offsets are added up in blocks of matches; repeated rows get equal results; without
 candidates the reliabilities are the priors; an empty table gives no rows.
 """
 
@@ -27,7 +27,7 @@ from .common import documents, materialize
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "email_like", "card_like", "phone_like", "ssn_like")
 VOTES = ("v_regex", "v_gazetteer", "v_context", "v_edges")
-BEFORE, ROUNDS, PRIOR = 48, 50, 0.5
+BEFORE, BLOCK, ROUNDS, PRIOR = 48, 128, 50, 0.5
 
 # Java patterns. \G and the look-behinds start a match only where the plain pattern's leftmost one can start.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -54,7 +54,6 @@ def matches(text: Column, pattern: str) -> Column:
     gaps = F.transform(F.split(text, pattern, -1), lambda g: F.struct(F.length(g).alias("n"), F.substring(g, -BEFORE, BEFORE).alias("tail"), F.substring(g, 1, 1).alias("head")))
     n = F.size(found)
     rows = F.arrays_zip(F.slice(gaps, F.lit(1), n).alias("gap"), found.alias("value"), F.slice(gaps, F.lit(2), n).alias("next"))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("last"), F.array().cast(f"array<{kind}>").alias("out"))
 
     def step(acc, r):
         gap, value = r["gap"], r["value"]
@@ -63,7 +62,23 @@ def matches(text: Column, pattern: str) -> Column:
         one = F.struct(begin.alias("start"), (begin + F.length(value)).alias("end"), value.alias("value"), gap["tail"].alias("before"), left.alias("left"), r["next"]["head"].alias("right"))
         return F.struct((begin + F.length(value)).alias("at"), F.substring(value, -1, 1).alias("last"), F.concat(acc.out, F.array(one)).alias("out"))
 
-    return F.aggregate(rows, start, step, lambda acc: acc.out)
+    def block(acc, part):
+        """An array that grows is copied each time, so that only those of a block of rows grow."""
+        inner = F.aggregate(part, F.struct(acc["at"].alias("at"), acc["last"].alias("last"), F.array().cast(f"array<{kind}>").alias("out")), step)
+        return bound(inner, lambda i: F.struct(i["at"].alias("at"), i["last"].alias("last"), F.concat(acc["out"], F.array(i["out"])).alias("out")))
+
+    def whole(r):
+        cuts = F.sequence(F.lit(0), F.floor((F.size(r) - 1) / BLOCK).cast("int"))
+        blocks = F.when(F.size(r) > 0, F.transform(cuts, lambda k: F.slice(r, k * BLOCK + 1, F.lit(BLOCK))))
+        start = F.struct(F.lit(0).alias("at"), F.lit("").alias("last"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+        return F.coalesce(F.aggregate(blocks, start, block, lambda acc: F.flatten(acc.out)), F.array().cast(f"array<{kind}>"))
+
+    return bound(rows, whole)
+
+
+def bound(value: Column, f) -> Column:
+    """f(value), with value made once however often f names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
 
 def digits(value: Column) -> Column:

@@ -30,7 +30,8 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _WEAK = re.compile(r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{38,}={0,2}(?![A-Za-z0-9+/=])")
 _IDENT = re.compile(r"(?ai:user(?:name)?|login|client_?id|account)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9_.@-]{3,})")
-_URL = re.compile(r"[a-z][a-z0-9+.-]*://[A-Za-z0-9.-]+(?::[0-9]+)?")
+_HOST = re.compile(r"://[A-Za-z0-9.-]+(?::[0-9]+)?")
+_SCHEME = frozenset("abcdefghijklmnopqrstuvwxyz0123456789+.-")
 _SCOPE = re.compile(r"\n[ \t]*\n")
 _KEYS = ("pass", "secret", "token", "api")
 _NAMES = ("user", "login", "client", "account")
@@ -65,39 +66,56 @@ def weak_spans(text: str, raw: bytes, low: bytes) -> list[tuple[str, int, int]]:
     if any(k.encode() in low for k in _NAMES):
         out += [("ident", m.start(), m.end()) for m in _IDENT.finditer(text)]
     if b"://" in raw:
-        out += [("url", m.start(), m.end()) for m in _URL.finditer(text)]
+        out += urls(text)
     return out
 
 
 def linked(text: str, strong: list, weak: list, reach: int) -> list[tuple[str, int, int]]:
-    """Those of weak whose complements lie within reach in the same scope."""
+    """Those of weak whose complements lie within reach in the same scope: the nearest part that ends before a span, and the nearest that starts after it, decide."""
     if not weak:
         return []
     breaks = [m.start() for m in _SCOPE.finditer(text)]
-    parts = sorted([*strong, *weak], key=lambda s: s[1])
-    ids = [s for s in parts if s[0] in ("access", "ident")]
-    keys = [s for s in parts if s[0] in ("assign", "hex", "weak")]
-    ends = [s for s in parts if s[0] == "url"]
-    starts = {k: [s[1] for s in v] for k, v in (("ids", ids), ("keys", keys), ("ends", ends))}
-    longest = {k: max((s[2] - s[1] for s in v), default=0) for k, v in (("ids", ids), ("keys", keys), ("ends", ends))}
-
-    def near(span, name, side):
-        lo = bisect_left(starts[name], span[1] - reach - longest[name])
-        hi = bisect_right(starts[name], span[2] + reach)
-        scope = bisect_right(breaks, span[1])
-        return any(
-            o is not span and o[2] >= span[1] - reach and bisect_right(breaks, o[1]) == scope and not (o[1] < span[2] and span[1] < o[2])
-            for o in side[lo:hi]
-        )
+    sides = {"access": "ids", "ident": "ids", "assign": "keys", "hex": "keys", "weak": "keys", "url": "ends"}
+    starts, ends = {}, {}
+    for s in (*strong, *weak):  # no part holds a line end, so all of it is in one scope
+        at = (sides[s[0]], bisect_right(breaks, s[1]))
+        starts.setdefault(at, []).append(s[1])
+        ends.setdefault(at, []).append(s[2])
+    for v in (*starts.values(), *ends.values()):
+        v.sort()
+
+    def near(span, name):
+        at = (name, bisect_right(breaks, span[1]))
+        if at not in starts:
+            return False
+        before, after = bisect_right(ends[at], span[1]) - 1, bisect_left(starts[at], span[2])
+        return before >= 0 and ends[at][before] >= span[1] - reach or after < len(starts[at]) and starts[at][after] <= span[2] + reach
 
     kept = []
     for s in weak:
-        by_id, by_key, by_end = near(s, "ids", ids), near(s, "keys", keys), near(s, "ends", ends)
+        by_id, by_key, by_end = near(s, "ids"), near(s, "keys"), near(s, "ends")
         if s[0] == "weak" and (by_id or by_end) or s[0] == "ident" and by_key or s[0] == "url" and by_id and by_key:
             kept.append(s)
     return kept
 
 
+def urls(text: str) -> list[tuple[str, int, int]]:
+    """scheme://host: found by its marks, as a pattern would look at a long run of letters again from each of them."""
+    out, free, at = [], 0, text.find("://")
+    while at >= 0:
+        start = at
+        while start > free and text[start - 1] in _SCHEME:
+            start -= 1
+        while start < at and not "a" <= text[start] <= "z":
+            start += 1
+        m = _HOST.match(text, at) if start < at else None
+        if m:
+            out.append(("url", start, m.end()))
+            free = m.end()
+        at = text.find("://", max(at + 1, free))
+    return out
+
+
 def scan(text: str, reach: int = REACH) -> list[tuple[str, int, int]]:
     """(kind, start, end) by start, then kind as listed."""
     raw = text.encode("utf-8", "surrogatepass")

@@ -1,12 +1,12 @@
 """Toxicity: character n-gram linear classifier whose features are scaled by naive Bayes log-count ratios.
 
-fit(): a bounded, documented sample of labelled documents (MAX_PER_CLASS of each class, lowest
-hashes of doc_id first) goes to the driver. Features are the character n-grams of a text's
+fit(): a bounded, documented sample of labelled documents (MAX_PER_CLASS of each class and MAX_BYTES of
+text, lowest hashes of doc_id first) goes to the driver. Features are the character n-grams of a text's
 lower-cased words, with word edges; each is scaled by its log-count ratio
 log((p/|p|) / (q/|q|)), smoothed in proportion to the classes, and weighted by logistic regression. Only
 n-grams whose ratio is LEAST_Z standard errors from 0 count: a long text has thousands of n-grams whose ratios
-are chance, and their sum would hide a few telling ones. The model holds MAX_FEATURES
-n-grams at most, so what is broadcast is bounded whatever the input.
+are chance, and their sum would hide a few telling ones. The model holds n-grams of the sample alone, so what
+is broadcast is bounded whatever the input.
 score(): a narrow map over whole texts.
 
 Cases: null and empty texts get the score of the intercept; null labels and labels of unknown
@@ -21,12 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, documents, forget, map_rows, schema
+from .common import bounded, documents, forget, map_rows, materialize, schema
 
-MAX_PER_CLASS, MAX_FEATURES, MIN_DOCS = 1500, 1 << 17, 2
+MAX_PER_CLASS, MAX_BYTES, MIN_DOCS = 1500, 16 << 20, 2
 N_MIN, N_MAX, LEAST_RATIO, LEAST_Z, SMOOTH, STEPS, L2 = 3, 8, 0.7, 3.5, 6.0, 150, 0.01
 THRESHOLD = 0.7
 _EDGES = " \t\n\r\x0b\x0c.,;:!?\"'()[]{}<>*#$%&|-_/\\=+~`^@"
@@ -63,16 +63,21 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS) -> DataFrame:
-    """text, toxic of at most max_per_class documents a class; only the chosen ids are broadcast."""
+def training_sample(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """text, toxic of at most max_per_class documents and max_bytes of whole texts a class; only the chosen ids are broadcast."""
     usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select(F.col("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     rank = F.xxhash64(F.lit("toxicity"), F.col("doc_id"))
     chosen = None
     for c in (0, 1):
         part = usable.where(F.col("toxic") == c).orderBy(rank, "doc_id").limit(max_per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
-    ids = chosen.withColumnRenamed("doc_id", "_id")
-    return docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("text", "toxic")
+    ids = chosen.groupBy(F.col("doc_id").alias("_id"), "toxic").agg(F.count("*").alias("times"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id"))
+    sizes = materialize(rows.groupBy("doc_id", "toxic").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) * F.col("times")).alias("size"), F.first("times").alias("times")), "sample")
+    upto = F.sum("size").over(Window.partitionBy("toxic").orderBy(rank, "doc_id"))  # max_per_class rows each
+    ids = sizes.withColumn("upto", upto).where(F.col("upto") <= max_bytes).select(F.col("doc_id").alias("_id"), "toxic", "times")
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id"))
+    return rows.select("text", "toxic", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("text", "toxic")
 
 
 def fit(rows: list[tuple[str | None, int]]) -> dict:
@@ -98,14 +103,9 @@ def fit(rows: list[tuple[str | None, int]]) -> dict:
         use = (df >= MIN_DOCS) & (np.abs(ratio) >= np.maximum(LEAST_RATIO, LEAST_Z * np.sqrt(1 / (p + s1) + 1 / (q + s0))))
         place = np.cumsum(use) - 1 + total
         on = use[flat]
-        found.append((keys[use], ratio[use], (np.abs(ratio) * np.sqrt(df))[use], place[flat[on]], row[on]))
+        found.append((keys[use], ratio[use], place[flat[on]], row[on]))
         total += int(use.sum())
-    keys, r, strength, col, row = (np.concatenate(x) for x in zip(*found, strict=True))
-    if total > MAX_FEATURES:
-        use = np.zeros(total, bool)
-        use[np.argsort(-strength, kind="stable")[:MAX_FEATURES]] = True
-        on, place = use[col], np.cumsum(use) - 1
-        keys, r, col, row = keys[use], r[use], place[col[on]], row[on]
+    keys, r, col, row = (np.concatenate(x) for x in zip(*found, strict=True))
     w, b = np.zeros(len(keys)), 0.0
     weight = 1 / len(y)
     grad2, bias2 = np.full(len(keys), 1e-8), 1e-8
