@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +33,30 @@ def bounded(spark: SparkSession) -> None:
         spark.conf.set(_BYTES, BATCH_BYTES)
 
 
+_scratch: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables that are materialized inside go to a folder of their own, which is deleted at the end."""
+    path = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+    _scratch.append(path)
+    try:
+        yield
+    finally:
+        _scratch.pop()
+        remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write df to the shared folder (the innermost scratch) and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_scratch[-1] if _scratch else shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -53,6 +74,15 @@ def whole(df: DataFrame):
     return F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in df.columns))
 
 
+def staged(spark: SparkSession, stage, docs: DataFrame, sf_dir: str, name: str) -> tuple[DataFrame, str]:
+    """A stage's rows, written, and their folder; what it wrote on the way is deleted."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    with scratch(spark):
+        out = stage(spark, docs, sf_dir)
+        out.write.parquet(path)
+    return spark.read.schema(out.schema).parquet(path), path
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -438,8 +438,8 @@ def test_templates_stage_keeps_what_is_a_documents_own(spark):
 
 
 def runs(text):
-    _, _, _, a, b, _ = templates.keys(text, {})
-    return {i for x, y in zip(a.tolist(), b.tolist(), strict=True) if y > x for i in range(x, y + 1)}
+    k = templates.Keys(["other", text, "words"], {})
+    return {i - 1 for x, y in zip(k.first.tolist(), k.last.tolist(), strict=True) if y > x for i in range(x, y + 1)}
 
 
 def test_templates_join_consecutive_lines(spark):
@@ -562,6 +562,37 @@ def test_pipeline_stages_on_small_tables(spark):
         ids = now
 
 
+def test_pipeline_run_equals_its_stages_and_cleans_up(spark, tmp_path):
+    import glob
+
+    import corpus_pipeline
+    from tagstream.llm.common import documents, materialize
+    from tagstream.plans.shared import shared_dir
+
+    docs = documents(spark, SF)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = materialize(stage(spark, docs, SF), name)
+    whole = sorted((r.doc_id, r.text) for r in docs.collect())
+    before = set(glob.glob(shared_dir(spark) + "/*"))
+    rows = corpus_pipeline.run(spark, SF).collect()
+    left = set(glob.glob(shared_dir(spark) + "/*")) - before
+    assert [x.rsplit("/", 1)[1].split("-")[0] for x in left] == ["mixing"]
+    counts = Counter(k for k, _ in whole)
+    assert Counter(r.doc_id for r in rows if not r.start) == counts
+
+
+def test_near_copies_leave_their_own_lines_after_line_dedup(spark):
+    """What stays of a copy with changed lines is these lines alone: they are no near copy of anything, and stay."""
+    rng = np.random.default_rng(8)
+    line = lambda: " ".join("".join(rng.choice(list("abcdefgh"), 6)) for _ in range(12))
+    base = [line() for _ in range(10)]
+    copies = [[line() if k == j else x for k, x in enumerate(base)] for j in range(4)]
+    df = spark.createDataFrame(list(enumerate("\n".join(x) for x in [base, *copies])), "doc_id long, text string")
+    got = {r.doc_id: r.text.split("\n") for r in templates.templates_stage(spark, df, SF).collect()}
+    assert got == {0: base, **{k + 1: [copies[k][k]] for k in range(4)}}
+    assert jaccard.jaccard_stage(spark, df, SF).count() == 1 and jaccard.jaccard_stage(spark, templates.templates_stage(spark, df, SF), SF).count() == 5
+
+
 def test_op7_digest(spark):
     r = ogg.op7_ogg(spark, SF).orderBy("doc_id").first()
     t = spark.read.parquet(f"{SF}/documents.parquet").where(f"doc_id = {r.doc_id}").first().text.encode()
