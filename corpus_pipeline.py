@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagstream.llm.common import documents, materialize
+from tagstream.llm.common import documents, remove, staged
 from tagstream.llm.jaccard import jaccard_stage
 from tagstream.llm.mixing import mixing_stage
 from tagstream.llm.packing import packing_stage
@@ -24,7 +24,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    """The last stage's rows. A stage's output is deleted once the next one's is written, but for the last stage's input."""
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        docs, path = staged(spark, stage, docs, sf_dir, name)
+        if before:
+            remove(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
