@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import bounded, documents, forget, map_rows, materialize, schema
 
 MAX_PER_CLASS, MAX_BYTES, MIN_DOCS = 1500, 16 << 20, 2
-N_MIN, N_MAX, LEAST_RATIO, LEAST_Z, SMOOTH, STEPS, L2 = 3, 8, 0.7, 3.5, 6.0, 150, 0.01
+N_MIN, N_MAX, LEAST_RATIO, LEAST_Z, SMOOTH, STEPS, L2 = 3, 8, 0.7, 2.5, 6.0, 150, 0.01
 THRESHOLD = 0.7
 _EDGES = " \t\n\r\x0b\x0c.,;:!?\"'()[]{}<>*#$%&|-_/\\=+~`^@"
 _BREAK = 10
