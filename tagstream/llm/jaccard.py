@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..plans.graph import components
 from .common import bounded, count_sketch, documents, forget, fresh, map_rows, materialize, mix, schema, word_hashes
 
 WORDS, NUM, DEN = 5, 3, 4
@@ -48,8 +49,6 @@ LONG_COLUMN, DENSE, DEPTH, NEIGHBOURS = 24, 2048, 2, 16
 #: Rows a of a block and their n-grams, rows b of a task's share of it, and the set size from which a row is a block of its own.
 BLOCK_ROWS, BLOCK_GRAMS, TASK_ROWS, LONG_ROW = 128, 2_000_000, 8192, 50_000
 BROADCAST_IDS = 2_000_000
-#: Edges that one task joins up: 16 bytes each, and as much again for their nodes.
-SMALL = 1_000_000
 _U = np.uint64
 
 
@@ -340,7 +339,7 @@ def squared(rows: DataFrame, docs: DataFrame) -> DataFrame:
 def clusters(long: DataFrame, named: DataFrame) -> DataFrame:
     """From the components (h, c) of long columns and the rows (node, n, c): cluster, node, c, n, top (its largest component)."""
     first = long.groupBy("h").agg(F.min("c").alias("b"))
-    found = components(long.join(first, "h").select(F.col("c").alias("a"), "b").where("a <> b").distinct()).select(F.col("node").alias("c"), F.col("component").alias("cluster"))
+    found = components(long.join(first, "h").select(F.col("c").alias("a"), "b").where("a <> b").distinct(), materialize).select(F.col("node").alias("c"), F.col("component").alias("cluster"))
     few = found.count() <= BROADCAST_IDS
     rows = materialize(named.join(F.broadcast(found) if few else found, "c").groupBy("cluster", "node", "c").agg(F.max("n").alias("n")), "rows")
     top = rows.groupBy("cluster", "c").agg(F.count("*").alias("k")).groupBy("cluster").agg(F.max_by("c", F.struct("k", "c")).alias("top"))
@@ -398,54 +397,6 @@ def multiply(left: DataFrame, right: DataFrame, docs: DataFrame, few: bool) -> D
     return map_rows(rows, make, schema("a long, b long"))
 
 
-def joined_up(edges):
-    """Components of all edges of a bounded table, in one task: each round every node takes the smallest label around it, and its label's label."""
-    for_all = [b for b in edges if b.num_rows]
-    if not for_all:
-        return
-    t = pa.Table.from_batches(for_all)
-    a, b = t["a"].to_numpy(), t["b"].to_numpy()
-    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = at[: len(a)], at[len(a) :]
-    label = np.arange(len(nodes))
-    while True:
-        low = np.minimum(label[x], label[y])
-        new = label.copy()
-        np.minimum.at(new, label[x], low)
-        np.minimum.at(new, label[y], low)
-        new = new[new]
-        while (again := new[new]).tobytes() != new.tobytes():
-            new = again
-        new = new[label]
-        if (new == label).all():
-            break
-        label = new
-    yield pa.record_batch([pa.array(nodes), pa.array(nodes[label])], names=["node", "component"])
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """node, component (smallest node reachable) of each node that has an edge. Up to SMALL edges in one task, beyond by alternating large and small stars."""
-    now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    if now.count() <= SMALL:
-        return materialize(now.select(F.col("u").alias("a"), F.col("v").alias("b")).coalesce(1).mapInArrow(joined_up, "node long, component long"), "components")
-    return stars_joined(now)
-
-
-def stars_joined(now: DataFrame) -> DataFrame:
-    before = None
-    while True:
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            return materialize(now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct(), "components")
-        before = state
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = materialize(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        now = materialize(small.where("u <> v").distinct(), "small")
-
-
 def similar(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -463,7 +414,7 @@ def similar(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     for depth in range(DEPTH + 1):
         stars = materialize(starred(post), "stars")
         edges = materialize(edges.unionByName(product(materialize(tries(stars), "tries"), docs)), "links")
-        joined = components(edges).select(F.col("node").alias("l_node"), F.col("component").alias("l_c"))
+        joined = components(edges, materialize).select(F.col("node").alias("l_node"), F.col("component").alias("l_c"))
         few = joined.count() <= BROADCAST_IDS
         named = stars.join(F.broadcast(joined) if few else joined, F.col("node") == F.col("l_node"), "left").select("h", "node", "n", F.coalesce("l_c", "node").alias("c"))
         both = materialize(divided(named), "divided")
@@ -491,7 +442,7 @@ def similar(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
             more = materialize(more[0] if len(more) == 1 else more[0].unionByName(more[1]), "links")
             if more.limit(1).count():
                 edges = materialize(edges.unionByName(more), "links")
-                joined = components(edges).select(F.col("node").alias("l_node"), F.col("component").alias("l_c"))
+                joined = components(edges, materialize).select(F.col("node").alias("l_node"), F.col("component").alias("l_c"))
         if large is None or not large.limit(1).count():
             break
         nodes = rows.join(large, "cluster", "left_semi").select(F.col("node").alias("doc_id")).distinct()

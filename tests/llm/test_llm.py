@@ -549,19 +549,6 @@ def test_html_takes_time_in_proportion(page):
     assert time.process_time() - start < 6
 
 
-def test_pipeline_stages_on_small_tables(spark):
-    import corpus_pipeline
-    from tagstream.llm.common import documents, materialize
-
-    docs = documents(spark, SF)
-    columns, ids = docs.columns, {r.doc_id for r in docs.select("doc_id").collect()}
-    for name, stage in corpus_pipeline.STAGES:
-        docs = materialize(stage(spark, docs, SF), name)
-        now = {r.doc_id for r in docs.select("doc_id").distinct().collect()}
-        assert now <= ids and now and (name == "packing" or docs.columns == columns)
-        ids = now
-
-
 def test_pipeline_run_equals_its_stages_and_cleans_up(spark, tmp_path):
     import glob
 
@@ -570,8 +557,12 @@ def test_pipeline_run_equals_its_stages_and_cleans_up(spark, tmp_path):
     from tagstream.plans.shared import shared_dir
 
     docs = documents(spark, SF)
+    columns, ids = docs.columns, {r.doc_id for r in docs.select("doc_id").collect()}
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = materialize(stage(spark, docs, SF), name)
+        now = {r.doc_id for r in docs.select("doc_id").distinct().collect()}
+        assert now <= ids and now and docs.columns == columns
+        ids = now
     whole = sorted((r.doc_id, r.text) for r in docs.collect())
     before = set(glob.glob(shared_dir(spark) + "/*"))
     rows = corpus_pipeline.run(spark, SF).collect()
