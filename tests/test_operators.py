@@ -4,9 +4,10 @@ import pandas as pd
 import pytest
 
 from tagstream import catalog
-from tagstream.operators.dedup import components, lead
+from tagstream.operators.dedup import lead
 from tagstream.operators.identity import follow, track_video
 from tagstream.operators.spatial import suppress
+from tagstream.plans.graph import components
 from tagstream.sources import io
 from tagstream.sources.adapters import ADAPTERS
 
@@ -60,6 +61,18 @@ def test_components_of_a_chain(spark):
     assert got == {**{i: 0 for i in range(21)}, 50: 50, 51: 50}
 
 
+@pytest.mark.parametrize("small", [0, 1000])
+def test_components_of_random_edges(spark, small):
+    rng = np.random.default_rng(1)
+    edges = [tuple(map(int, x)) for x in rng.integers(0, 120, (80, 2))] + [(k, k + 1) for k in range(500, 540)] + [(900, k) for k in range(901, 940)]
+    label = {x: x for e in edges for x in e}
+    for _ in range(200):
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), small=small).collect()}
+    assert got == {k: v for k, v in label.items() if any(k in e and e[0] != e[1] for e in edges)}
+
+
 def test_csv_round_trip_keeps_backslashes(spark, tmp_path):
     df = spark.createDataFrame([("a\\b\\c.jpg", "3", 0.9), ("d.jpg", "", 0.1)], "crop_path string, digit string, score double")
     io.write_csv(df, str(tmp_path / "t"), df.columns)
@@ -308,6 +321,24 @@ def test_checks_and_existing_predictions(spark, tmp_path):
     assert sorted(r.crop_path for r in keys.collect()) == ["x", "y"]
 
 
+def test_images_are_listed_decoded_and_hashed(spark, tmp_path):
+    from tagstream.functions.images import dhash_of, hashed, shrunk
+
+    jvm = spark.sparkContext._jvm
+    image = jvm.java.awt.image.BufferedImage(27, 16, 1)
+    for x in range(27):
+        for y in range(16):
+            image.setRGB(x, y, (9 * x) * 65793 if y < 8 else (250 - 9 * x) * 65793)
+    jvm.javax.imageio.ImageIO.write(image, "png", jvm.java.io.File(str(tmp_path / "b.png")))
+    (tmp_path / "a.png").write_bytes(b"no image")
+    (tmp_path / "c.txt").write_text("x")
+    assert [r.path.rsplit("/", 1)[1] for r in io.list_files(spark, str(tmp_path), "*.png").collect()] == ["a.png", "b.png"]
+    rows = hashed(io.read_images(spark, str(tmp_path), "*.png")).collect()
+    assert [r.hash for r in rows] == [(1 << 32) - 1]  # four rows that get lighter, four that get darker
+    assert dhash_of(b"", 0, 0, 3) == dhash_of(b"abc", 5, 5, 3) == 0
+    assert shrunk(np.arange(12.0).reshape(3, 4), 1, 2).tolist() == [[4.5, 6.5]]
+
+
 def test_numbered_equals_row_number(spark):
     from pyspark.sql import functions as F
 
