@@ -101,7 +101,7 @@ def sketch(df: DataFrame, share: int) -> np.ndarray:
 def signatures(df: DataFrame, counts: np.ndarray) -> DataFrame:
     """From doc_id, text, groups (null, or the columns it is looked at in): a row for each of them with the set's size,
     its fingerprint f1, f2, common (how common its n-grams are) and the prefix in this column's order."""
-    level = np.minimum(np.log2(counts.astype(np.float64) + 1) * 8, 255).astype(np.uint8)
+    level = np.concatenate([np.minimum(np.log2(c.astype(np.float64) + 1) * 8, 255).astype(np.uint8) for c in np.array_split(counts, max(1, len(counts) >> 16))])
     shared, bits = df.sparkSession.sparkContext.broadcast(level), int(math.log2(len(level)))
     as_long = lambda x: np.uint64(x).astype(np.int64).item()
 

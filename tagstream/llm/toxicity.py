@@ -32,8 +32,8 @@ THRESHOLD = 0.7
 _EDGES = " \t\n\r\x0b\x0c.,;:!?\"'()[]{}<>*#$%&|-_/\\=+~`^@"
 _BREAK = 10
 _SIEVE_BITS = 20
-#: fit() looks at the n-grams in so many ranges of their hashes, one after another, to bound the driver's memory.
-_RANGE_BITS = 4
+#: fit() makes the n-grams in so many parts of their hashes, and looks at each in ranges, one after another, to bound the driver's memory.
+_PART_BITS, _RANGE_BITS = 2, 4
 
 
 def edges() -> np.ndarray:
@@ -88,29 +88,33 @@ def fit(rows: list[tuple[str | None, int]]) -> dict:
     if not n0 or not n1:
         return {"keys": np.empty(0, np.uint64), "weights": np.empty(0), "bias": base}
     table = edges()
-    docs = [np.unique(grams(text, table)) for text, _ in rows]
     y = np.array([y for _, y in rows], float)
     s1, s0 = SMOOTH * n1 / (n0 + n1), SMOOTH * n0 / (n0 + n1)
     found, total = [], 0
-    for k in range(1 << _RANGE_BITS):
-        own = [d[d >> np.uint64(64 - _RANGE_BITS) == k] for d in docs]
-        keys, flat = np.unique(np.concatenate(own), return_inverse=True)
-        row = np.repeat(np.arange(len(docs)), [len(d) for d in own])
-        p = np.bincount(flat, weights=y[row], minlength=len(keys))
-        df = np.bincount(flat, minlength=len(keys))
-        q = df - p
-        ratio = np.log((p + s1) / (n1 + s1)) - np.log((q + s0) / (n0 + s0))
-        use = (df >= MIN_DOCS) & (np.abs(ratio) >= np.maximum(LEAST_RATIO, LEAST_Z * np.sqrt(1 / (p + s1) + 1 / (q + s0))))
-        place = np.cumsum(use) - 1 + total
-        on = use[flat]
-        found.append((keys[use], ratio[use], place[flat[on]], row[on]))
-        total += int(use.sum())
+    for part in range(1 << _PART_BITS):
+        docs = []
+        for text, _ in rows:
+            h = grams(text, table)
+            docs.append(np.unique(h[h >> np.uint64(64 - _PART_BITS) == part]))
+        for k in range(part << _RANGE_BITS - _PART_BITS, part + 1 << _RANGE_BITS - _PART_BITS):
+            own = [d[d >> np.uint64(64 - _RANGE_BITS) == k] for d in docs]
+            keys, flat = np.unique(np.concatenate(own), return_inverse=True)
+            row = np.repeat(np.arange(len(docs)), [len(d) for d in own])
+            p = np.bincount(flat, weights=y[row], minlength=len(keys))
+            df = np.bincount(flat, minlength=len(keys))
+            q = df - p
+            ratio = np.log((p + s1) / (n1 + s1)) - np.log((q + s0) / (n0 + s0))
+            use = (df >= MIN_DOCS) & (np.abs(ratio) >= np.maximum(LEAST_RATIO, LEAST_Z * np.sqrt(1 / (p + s1) + 1 / (q + s0))))
+            place = np.cumsum(use) - 1 + total
+            on = use[flat]
+            found.append((keys[use], ratio[use], place[flat[on]], row[on]))
+            total += int(use.sum())
     keys, r, col, row = (np.concatenate(x) for x in zip(*found, strict=True))
     w, b = np.zeros(len(keys)), 0.0
     weight = 1 / len(y)
     grad2, bias2 = np.full(len(keys), 1e-8), 1e-8
     for _ in range(STEPS):
-        z = np.bincount(row, weights=(w * r)[col], minlength=len(docs)) + b
+        z = np.bincount(row, weights=(w * r)[col], minlength=len(rows)) + b
         err = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
         g = np.bincount(col, weights=err[row], minlength=len(keys)) * r + L2 * w / len(y)
         grad2 += g * g
