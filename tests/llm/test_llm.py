@@ -584,8 +584,29 @@ def test_near_copies_leave_their_own_lines_after_line_dedup(spark):
     assert jaccard.jaccard_stage(spark, df, SF).count() == 1 and jaccard.jaccard_stage(spark, templates.templates_stage(spark, df, SF), SF).count() == 5
 
 
-def test_op7_digest(spark):
-    r = ogg.op7_ogg(spark, SF).orderBy("doc_id").first()
-    t = spark.read.parquet(f"{SF}/documents.parquet").where(f"doc_id = {r.doc_id}").first().text.encode()
-    p = t + b"\xff" * (max(1, -(-len(t) // 576)) * 576 - len(t))
-    assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(t), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]))
+def test_op7_payload_of_every_document(spark):
+    text = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = ogg.op7_ogg(spark, SF).collect()
+    assert len(rows) == len(text)
+    for r in rows:
+        p = text[r.doc_id] + b"\xff" * (max(1, -(-len(text[r.doc_id]) // 576)) * 576 - len(text[r.doc_id]))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(text[r.doc_id]), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]))
+        assert (r.media_bytes, r.media_sha256) == (len(m := ogg.encode(text[r.doc_id])), hashlib.sha256(m).hexdigest())
+
+
+def test_op3_and_op8_base_columns_of_every_document(spark):
+    sf = "/root/testdata/sf0.01"
+    text = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    found = 0
+    for r in secrets.op3_secrets(spark, sf).collect():
+        plain = plain_secrets(text[r.doc_id])
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == x for _, k, _ in plain) for x in range(3)) and r.base_sha256 == secrets.base_digest(text[r.doc_id])
+        assert {f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in plain} <= set(r.spans.split(","))
+        found += len(plain)
+    for r in pii.op8_pii(spark, sf).collect():
+        plain = sorted(plain_pii(text[r.doc_id]))
+        joined = ",".join(f"{pii.BASE[k]}:{a}:{b}" for k, a, b in plain)
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == x for k, _, _ in plain) for x in range(4))
+        assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest() and (not plain or set(joined.split(",")) <= set(r.spans.split(",")))
+        found += len(plain)
+    assert found > 100
