@@ -53,10 +53,15 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def folder(spark: SparkSession) -> str:
+    """The innermost scratch, or the shared folder."""
+    return _scratch[-1] if _scratch else shared_dir(spark)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder (the innermost scratch) and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{_scratch[-1] if _scratch else shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -164,6 +169,25 @@ def forget(kind: str) -> None:
         pa.default_memory_pool().release_unused()
 
 
+#: Keys that joined_first broadcasts: those with more than one of FREQUENT rows. There are fewer of them, whatever the table.
+FREQUENT = 200_000
+
+
+def joined_first(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """rows left-joined with found (key once; a column `rows` with its rows, which is dropped), whatever a key's share of the rows:
+    keys with most rows are broadcast, the others joined, so that no task gets more than a share of 1 / FREQUENT in one key."""
+    total = found.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.count("*")).first()
+    if total[1] <= FREQUENT:
+        return rows.join(F.broadcast(found.drop("rows")), key, "left")
+    hot = F.col("rows") * FREQUENT > total[0]
+    often = found.where(hot).select(key, F.lit(True).alias("often_"), *(F.col(c).alias(f"{c}_") for c in found.columns if c not in (key, "rows")))
+    marked = rows.join(F.broadcast(often), key, "left")
+    names = [c for c in found.columns if c not in (key, "rows")]
+    first = marked.where("often_").select(*rows.columns, *(F.col(f"{c}_").alias(c) for c in names))
+    rest = marked.where("often_ is null").select(*rows.columns).join(found.where(~hot).drop("rows"), key, "left")
+    return first.unionByName(rest.select(*rows.columns, *names))
+
+
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 SKETCH_BLOCK, FAN_IN = 1 << 12, 32
