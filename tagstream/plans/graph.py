@@ -15,13 +15,8 @@ from .shared import cut
 SMALL = 1_000_000
 
 
-def joined_up(edges):
-    """Components of all edges of a bounded table, in one task: each round every node takes the smallest label around it, and its label's label."""
-    for_all = [b for b in edges if b.num_rows]
-    if not for_all:
-        return
-    t = pa.Table.from_batches(for_all)
-    a, b = t["a"].to_numpy(), t["b"].to_numpy()
+def reduced(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of edges (a, b) and the smallest node that each reaches: each round every node takes the smallest label around it, and its label's label."""
     nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
     x, y = at[: len(a)], at[len(a) :]
     label = np.arange(len(nodes))
@@ -35,9 +30,18 @@ def joined_up(edges):
             new = again
         new = new[label]
         if (new == label).all():
-            break
+            return nodes, nodes[label]
         label = new
-    yield pa.record_batch([pa.array(nodes), pa.array(nodes[label])], names=["node", "component"])
+
+
+def joined_up(edges):
+    """Components of all edges of a bounded table, in one task."""
+    for_all = [b for b in edges if b.num_rows]
+    if not for_all:
+        return
+    t = pa.Table.from_batches(for_all)
+    nodes, labels = reduced(t["a"].to_numpy(), t["b"].to_numpy())
+    yield pa.record_batch([pa.array(nodes), pa.array(labels)], names=["node", "component"])
 
 
 def components(edges: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: cut(df), small: int = SMALL) -> DataFrame:
