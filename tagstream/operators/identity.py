@@ -1,4 +1,4 @@
-"""Order-dependent identity folds, one group a video: nearest-centroid ids and motion tracks."""
+"""Order-dependent identity folds, one group a video: nearest-centroid ids and associated tracks."""
 
 from __future__ import annotations
 
@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.dialect import adapter, frame
+from .association import Association
 
 REACH, MISSES = 400.0, 15
+MAX_AGE, LEAST_OVERLAP = 150, 0.2
 CONFIGS = [(30, 0.3), (60, 0.3), (90, 0.3), (125, 0.2), (150, 0.3), (200, 0.2), (200, 0.1)]
 
 
@@ -110,64 +112,39 @@ def alive_ids(spark, sf_dir):
     return folded(tags_of(spark, sf_dir), ["video"], alive, "video long, frame long, n long, ids string")
 
 
-def move(pdf: pd.DataFrame, max_age: int = 150, least: float = 0.2, least_conf: float = 0.25) -> pd.DataFrame:
-    return moved({}, pdf[pdf["conf"] >= least_conf].sort_values(["frame", "det_idx"], kind="stable"), max_age, least)
-
-
-def moved(state: dict, pdf: pd.DataFrame, max_age: int = 150, least: float = 0.2) -> pd.DataFrame:
-    """Overlap tracks with constant velocity: pairs by overlap with the predicted box, highest first. state: tracks and the last id."""
-    tracks, n, out = state.get("tracks", {}), state.get("n", 0), []
-    for now, b in frames(pdf):
-        tracks = {t: s for t, s in tracks.items() if now - s[1] <= max_age}
-        names, ids = list(tracks), [-1] * len(b)
-        if names:
-            p = np.stack([tracks[t][0] + tracks[t][2] * (now - tracks[t][1]) for t in names])
-            w = np.minimum(p[:, None, 2], b[None, :, 2]) - np.maximum(p[:, None, 0], b[None, :, 0])
-            h = np.minimum(p[:, None, 3], b[None, :, 3]) - np.maximum(p[:, None, 1], b[None, :, 1])
-            both = np.clip(w, 0, None) * np.clip(h, 0, None)
-            size = lambda x: (x[:, 2] - x[:, 0]) * (x[:, 3] - x[:, 1])
-            iou = both / np.maximum(size(p)[:, None] + size(b)[None] - both, 1e-9)
-            used: set[int] = set()
-            for k in np.argsort(-iou, axis=None, kind="stable"):
-                i, j = divmod(int(k), len(b))
-                if iou[i, j] < least:
-                    break
-                if i not in used and ids[j] < 0:
-                    used.add(i)
-                    ids[j] = names[i]
-        for j, box in enumerate(b):
-            if ids[j] < 0:
-                n += 1
-                ids[j] = n
-                tracks[n] = (box, now, np.zeros(4))
-            else:
-                old, at, _ = tracks[ids[j]]
-                tracks[ids[j]] = (box, now, (box - old) / max(1, now - at))
-        out += ids
-    state["tracks"], state["n"] = tracks, n
-    return pd.DataFrame({"video": pdf["video"], "frame": pdf["frame"], "det_idx": pdf["det_idx"], "track_id": np.array(out, np.int64)})
+def associated(state: dict, pdf: pd.DataFrame, max_age: int = MAX_AGE, least: float = LEAST_OVERLAP) -> pd.DataFrame:
+    """Tracks of these rows of whole frames, and whether a track shows yet; the state holds the live tracks."""
+    tracks = state.setdefault("tracks", Association(max_age, least))
+    at, boxes, conf = pdf["frame"].to_numpy(), pdf[["x1", "y1", "x2", "y2"]].to_numpy(float), pdf["conf"].to_numpy(float)
+    cuts = [0, *(np.flatnonzero(at[1:] != at[:-1]) + 1).tolist(), len(at)]
+    found = [tracks.follow(int(at[a]), boxes[a:z], conf[a:z]) for a, z in zip(cuts, cuts[1:])]  # noqa: B905
+    ids, shows = (np.concatenate(x) for x in zip(*found, strict=True))
+    return pd.DataFrame({"video": pdf["video"], "frame": pdf["frame"], "det_idx": pdf["det_idx"], "track_id": ids, "shown": shows})
 
 
 def animals(spark, sf_dir, least_conf: float = 0.25) -> DataFrame:
-    return adapter(spark, sf_dir, "detections").where((F.col("cls") == 0) & (F.col("conf") >= least_conf)).select("video", "frame", "det_idx", "x1", "y1", "x2", "y2")
+    """Boxes that are surer than least_conf."""
+    return adapter(spark, sf_dir, "detections").where((F.col("cls") == 0) & (F.col("conf") > least_conf)).select("video", "frame", "det_idx", "x1", "y1", "x2", "y2", "conf")
 
 
 @frame("motion_tracks")
 def motion_tracks(spark, sf_dir):
-    return folded(animals(spark, sf_dir), ["video"], lambda state, pdf: moved(state, pdf), "video long, frame long, det_idx long, track_id long")
+    """Observation-centred association (association.py) of each video, gaps between frames included."""
+    return folded(animals(spark, sf_dir), ["video"], associated, "video long, frame long, det_idx long, track_id long, shown boolean")
 
 
 def replayed(state: dict, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Ids that are new in these frames; max_age and least are the configuration's."""
-    before = state.get("n", 0)
-    moved(state, pdf, int(pdf["max_age"].iloc[0]), float(pdf["least"].iloc[0]))
-    return pd.DataFrame({"config": [pdf["config"].iloc[0]], "ids": [state["n"] - before]})
+    """Ids that show for the first time in these frames, and births: those that did not show in the frame before. max_age and least are the configuration's."""
+    tracks = state.setdefault("tracks", Association(int(pdf["max_age"].iloc[0]), float(pdf["least"].iloc[0])))
+    before = tracks.ids_shown, tracks.births
+    associated(state, pdf)
+    return pd.DataFrame({"config": [pdf["config"].iloc[0]], "ids": [tracks.ids_shown - before[0]], "births": [tracks.births - before[1]]})
 
 
 @frame("param_sweep")
 def param_sweep(spark, sf_dir):
-    """Distinct ids of each configuration, replayed in parallel over the same input; best is the first of the fewest."""
+    """Ids that show, and births, of each configuration, replayed in parallel over the same input; best is the first of the fewest ids."""
     configs = F.explode(F.array(*(F.struct(F.lit(k).alias("config"), F.lit(a).alias("max_age"), F.lit(b).alias("least")) for k, (a, b) in enumerate(CONFIGS))))
     rows = animals(spark, sf_dir).select("*", configs.alias("c")).select("*", "c.*").drop("c")
-    sums = folded(rows, ["config", "video"], replayed, "config int, ids long").groupBy("config").agg(F.sum("ids").alias("ids"))
+    sums = folded(rows, ["config", "video"], replayed, "config int, ids long, births long").groupBy("config").agg(F.sum("ids").alias("ids"), F.sum("births").alias("births"))
     return sums.withColumn("best", F.row_number().over(Window.orderBy("ids", "config")) == 1)  # a row a configuration

@@ -152,50 +152,139 @@ def test_greedy_ids_and_alive_against_plain_tracker(spark):
             assert kept[(video, at)] == ",".join(map(str, alive))
 
 
-def plain_motion(rows, max_age, least):
-    """Overlap tracks with constant velocity, in plain Python."""
-    tracks, n, out = {}, 0, []
-    over = lambda a, b: max(0, min(a[2], b[2]) - max(a[0], b[0])) * max(0, min(a[3], b[3]) - max(a[1], b[1]))
-    size = lambda a: (a[2] - a[0]) * (a[3] - a[1])
-    for at, boxes in rows:
-        tracks = {t: v for t, v in tracks.items() if at - v[1] <= max_age}
-        pairs = []
-        for i, (t, (box, seen, speed)) in enumerate(tracks.items()):
-            p = [x + s * (at - seen) for x, s in zip(box, speed, strict=True)]
-            for j, b in enumerate(boxes):
-                both = over(p, b)
-                pairs.append((-(both / max(size(p) + size(b) - both, 1e-9)), i, j, t))
-        got, used = {}, set()
-        for iou, _i, j, t in sorted(pairs):
-            if -iou >= least and t not in used and j not in got:
-                got[j] = t
-                used.add(t)
-        for j, b in enumerate(boxes):
-            if j in got:
-                box, seen, _ = tracks[got[j]]
-                tracks[got[j]] = (b, at, [(x - y) / max(1, at - seen) for x, y in zip(b, box, strict=True)])
+def test_assignment_gives_the_greatest_sum():
+    from itertools import permutations
+
+    from tagstream.operators.association import assign
+
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        n, m = rng.integers(1, 6, 2).tolist()
+        gain = np.round(rng.normal(size=(n, m)), int(rng.integers(0, 4)))
+        got = assign(gain)
+        wide = gain if n <= m else gain.T
+        best = max(sum(wide[i, j] for i, j in enumerate(p)) for p in permutations(range(max(n, m)), min(n, m)))
+        assert len(got) == min(n, m) == len({i for i, _ in got}) == len({j for _, j in got}) and abs(sum(gain[i, j] for i, j in got) - best) < 1e-9
+
+
+def plain_association(rows, max_age, least):
+    """One track at a time, with whole matrices: (ids, shows) of each frame of (frame, boxes, scores), ids that show, births."""
+    from tagstream.operators.association import assign
+
+    f = np.eye(7)
+    f[[0, 1, 2], [4, 5, 6]] = 1
+    h, r = np.eye(4, 7), np.diag([1.0, 1, 10, 10])
+    q = np.diag([1, 1, 1, 1, 0.01, 0.01, 0.0001])
+    z_of = lambda b: np.array([b[0] + (b[2] - b[0]) / 2, b[1] + (b[3] - b[1]) / 2, (b[2] - b[0]) * (b[3] - b[1]), (b[2] - b[0]) / (b[3] - b[1] + 1e-6)])
+
+    def step(x, p):
+        x = x.copy()
+        if x[2] + x[6] <= 0:
+            x[6] = 0
+        return f @ x, f @ p @ f.T + q
+
+    def update(x, p, z):
+        k = p @ h.T @ np.linalg.inv(h @ p @ h.T + r)
+        return x + k @ (z - h @ x), (np.eye(7) - k @ h) @ p
+
+    def box_of(x):
+        if x[2] * x[3] <= 0:
+            return None
+        w = (x[2] * x[3]) ** 0.5
+        return x[0] - w / 2, x[1] - x[2] / w / 2, x[0] + w / 2, x[1] + x[2] / w / 2
+
+    def iou(a, b):
+        if a is None:
+            return 0.0
+        both = max(0, min(a[2], b[2]) - max(a[0], b[0])) * max(0, min(a[3], b[3]) - max(a[1], b[1]))
+        return both / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - both)
+
+    def way(a, b):
+        d = np.array([(b[0] + b[2] - a[0] - a[2]) / 2, (b[1] + b[3] - a[1] - a[3]) / 2])
+        return d / (np.hypot(*d) + 1e-6)
+
+    tracks, n, out, shown, births, before = [], 0, [], set(), 0, set()
+    given = {at: (boxes, scores) for at, boxes, scores in rows}
+    for at in range(max(given) + 1):
+        boxes, scores = given.get(at, ([], []))
+        for t in tracks:
+            if t["missed"]:
+                t["streak"] = 0
+            t["missed"] += 1
+            t["x"], t["p"] = step(t["x"], t["p"])
+        ref = [next((t["seen"][at - k] for k in (3, 2, 1) if at - k in t["seen"]), t["last"]) for t in tracks]
+        got = {}
+        if tracks and boxes:
+            over = np.array([[iou(box_of(t["x"]), b) for b in boxes] for t in tracks])
+            gain = over.copy()
+            for i, t in enumerate(tracks):
+                for j, b in enumerate(boxes):
+                    if t["last"] is not None:
+                        turn = np.arccos(np.clip(way(ref[i], b) @ t["way"], -1, 1))
+                        gain[i, j] += 0.2 * (np.pi / 2 - turn) / np.pi * scores[j]
+            near = over > least
+            if near.any() and near.sum(0).max() == 1 and near.sum(1).max() == 1:
+                found = [(i, j) for i in range(len(tracks)) for j in range(len(boxes)) if near[i, j]]
             else:
+                found = [(i, j) for i, j in assign(gain) if over[i, j] >= least] if over.max() >= least else []
+            got = {j: i for i, j in found}
+            free = [i for i, t in enumerate(tracks) if i not in got.values() and t["last"] is not None]
+            left = [j for j in range(len(boxes)) if j not in got]
+            if free and left:
+                over = np.array([[iou(tracks[i]["last"], boxes[j]) for j in left] for i in free])
+                if over.max() >= least:
+                    got |= {left[j]: free[i] for i, j in assign(over) if over[i, j] >= least}
+        ids = []
+        for j, b in enumerate(boxes):
+            if j not in got:
                 n += 1
-                got[j], tracks[n] = n, (b, at, [0.0] * 4)
-        out.append([got[j] for j in range(len(boxes))])
-    return out, n
+                tracks.append({"id": n, "x": np.concatenate([z_of(b), np.zeros(3)]), "p": np.diag([10.0] * 4 + [10000.0] * 3), "missed": 0, "streak": 0, "seen": {}, "last": None, "way": np.zeros(2)})
+                ids.append(tracks[-1])
+                continue
+            t = tracks[got[j]]
+            if t["last"] is not None and t["missed"] > 1:
+                gap, a = t["missed"], np.array(t["last"])
+                x, p = t["kept"]
+                mid = lambda v: np.array([(v[0] + v[2]) / 2, (v[1] + v[3]) / 2, v[2] - v[0], v[3] - v[1]])
+                for k in range(1, gap + 1):
+                    x, p = step(x, p)
+                    if k < gap:
+                        c = mid(a) + (mid(np.array(b)) - mid(a)) * k / gap
+                        x, p = update(x, p, np.array([c[0], c[1], c[2] * c[3], c[2] / (c[3] + 1e-6)]))
+                t["x"], t["p"] = x, p
+            t["x"], t["p"] = update(t["x"], t["p"], z_of(b))
+            if t["last"] is not None:
+                t["way"] = way(ref[got[j]], b)
+            t["kept"], t["last"], t["missed"], t["streak"] = (t["x"], t["p"]), b, 0, t["streak"] + 1
+            t["seen"][at] = b
+            ids.append(t)
+        shows = [t["streak"] >= 3 or at < 3 for t in ids]
+        now = {t["id"] for t, s in zip(ids, shows, strict=True) if s}
+        shown, births, before = shown | now, births + len(now - before), now
+        tracks = [t for t in tracks if t["missed"] <= max_age]
+        if at in given:
+            out.append(([t["id"] for t in ids], shows))
+    return out, len(shown), births
 
 
 def test_motion_tracks_and_sweep_against_plain_tracker(spark):
     from tagstream.operators.identity import CONFIGS
 
-    d = spark.sql(ADAPTERS["detections"].format(lineitem=f"parquet.`{SF}/lineitem.parquet`")).where("cls = 0 AND conf >= 0.25").toPandas().sort_values(["video", "frame", "det_idx"])
-    got = {(r.video, r.frame, r.det_idx): r.track_id for r in catalog.QUERIES["motion_tracks"](spark, SF).collect()}
-    sums = dict.fromkeys(range(len(CONFIGS)), 0)
+    d = spark.sql(ADAPTERS["detections"].format(lineitem=f"parquet.`{SF}/lineitem.parquet`")).where("cls = 0 AND conf > 0.25").toPandas().sort_values(["video", "frame", "det_idx"])
+    got = {(r.video, r.frame, r.det_idx): (r.track_id, r.shown) for r in catalog.QUERIES["motion_tracks"](spark, SF).collect()}
+    assert len(got) == len(d)
+    sums = {k: [0, 0] for k in range(len(CONFIGS))}
     for video, part in d.groupby("video"):
-        groups = [(f, g[["x1", "y1", "x2", "y2"]].to_numpy().tolist(), g["det_idx"].tolist()) for f, g in part.groupby("frame")]
-        for (at, _, names), own in zip(groups, plain_motion([g[:2] for g in groups], 150, 0.2)[0], strict=True):
-            assert [got[(video, at, k)] for k in names] == own
-        for k, c in enumerate(CONFIGS):
-            sums[k] += plain_motion([g[:2] for g in groups], *c)[1]
-    swept = {r.config: (r.ids, r.best) for r in catalog.QUERIES["param_sweep"](spark, SF).collect()}
-    assert {k: v[0] for k, v in swept.items()} == sums
-    assert [k for k, v in swept.items() if v[1]] == [min(sums, key=lambda k: (sums[k], k))]
+        groups = [(f, g[["x1", "y1", "x2", "y2"]].to_numpy().tolist(), g["conf"].tolist(), g["det_idx"].tolist()) for f, g in part.groupby("frame")]
+        for (at, _, _, names), (own, shows) in zip(groups, plain_association([g[:3] for g in groups], 150, 0.2)[0], strict=True):
+            assert [got[(video, at, k)] for k in names] == list(zip(own, shows, strict=True))
+        for k in (0, 6):
+            for i, x in enumerate(plain_association([g[:3] for g in groups], *CONFIGS[k])[1:]):
+                sums[k][i] += x
+    swept = {r.config: (r.ids, r.births, r.best) for r in catalog.QUERIES["param_sweep"](spark, SF).collect()}
+    assert all(list(swept[k][:2]) == sums[k] for k in (0, 6))
+    assert [k for k, v in swept.items() if v[2]] == [min(swept, key=lambda k: (swept[k][0], k))]
+
 
 
 def test_folds_stream_over_small_batches(spark):
