@@ -103,13 +103,26 @@ class Leaders:
         self.distance, self.gap, self.n, self.size = distance, gap, 0, 0
         self.hash, self.frame, self.id = np.empty(16, np.uint64), np.empty(16, np.int64), np.empty(16, np.int64)
 
-    def add(self, h: np.uint64, frame: int) -> int:
+    def restore(self, n: int, rows: list[tuple[int, int, int]]) -> None:
+        """Leaders (id, hash, frame) in the order of their creation, and the next id."""
+        self.n, self.size = n, len(rows)
+        ids, hashes, frames = zip(*rows, strict=True) if rows else ((), (), ())
+        self.id, self.hash, self.frame = np.array([*ids, *[0] * 16], np.int64), np.array([*hashes, *[0] * 16], np.int64).view(np.uint64), np.array([*frames, *[0] * 16], np.int64)
+
+    def rows(self) -> list[tuple[int, int, int]]:
+        n = self.size
+        return list(zip(self.id[:n].tolist(), self.hash[:n].view(np.int64).tolist(), self.frame[:n].tolist(), strict=True))
+
+    def expire(self, frame: int) -> None:
         keep = frame - self.frame[: self.size] <= self.gap
         if not keep.all():
             k = int(keep.sum())
             for x in (self.hash, self.frame, self.id):
                 x[:k] = x[: self.size][keep]
             self.size = k
+
+    def add(self, h: np.uint64, frame: int) -> int:
+        self.expire(frame)
         d = np.bitwise_count(self.hash[: self.size] ^ h)
         k = int(d.argmin()) if self.size else -1
         if k < 0 or d[k] > self.distance:
