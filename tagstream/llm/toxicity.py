@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded, documents, forget, map_rows, materialize, schema
 
-MAX_PER_CLASS, MAX_BYTES, MIN_DOCS = 1500, 16 << 20, 2
+MAX_PER_CLASS, MAX_BYTES, LONG_SHARE, MIN_DOCS = 1500, 16 << 20, 16, 2
 N_MIN, N_MAX, LEAST_RATIO, LEAST_Z, SMOOTH, STEPS, L2 = 3, 8, 0.7, 2.5, 6.0, 150, 0.01
 THRESHOLD = 0.7
 _EDGES = " \t\n\r\x0b\x0c.,;:!?\"'()[]{}<>*#$%&|-_/\\=+~`^@"
@@ -64,7 +64,10 @@ def held_out(doc_id="doc_id"):
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """text, toxic of at most max_per_class documents and max_bytes of whole texts a class; only the chosen ids are broadcast."""
+    """text, toxic of at most max_per_class documents and max_bytes of whole texts a class; only the chosen ids are broadcast.
+
+    Texts over a LONG_SHARE-th of max_bytes come last, the shortest of them first, so that none crowds out the others; a class of such texts alone keeps its shortest one, whatever its size.
+    """
     usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select(F.col("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     rank = F.xxhash64(F.lit("toxicity"), F.col("doc_id"))
     chosen = None
@@ -73,9 +76,11 @@ def training_sample(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX
         chosen = part if chosen is None else chosen.unionByName(part)
     ids = chosen.groupBy(F.col("doc_id").alias("_id"), "toxic").agg(F.count("*").alias("times"))
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id"))
-    sizes = materialize(rows.groupBy("doc_id", "toxic").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) * F.col("times")).alias("size"), F.first("times").alias("times")), "sample")
-    upto = F.sum("size").over(Window.partitionBy("toxic").orderBy(rank, "doc_id"))  # max_per_class rows each
-    ids = sizes.withColumn("upto", upto).where(F.col("upto") <= max_bytes).select(F.col("doc_id").alias("_id"), "toxic", "times")
+    sizes = materialize(rows.groupBy("doc_id", "toxic").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") * F.col("times")).alias("size"), F.first("times").alias("times")), "sample")
+    long = F.when(F.col("size") > max_bytes / LONG_SHARE, F.col("size")).otherwise(0)
+    order = Window.partitionBy("toxic").orderBy(long, rank, "doc_id")  # max_per_class rows each
+    sizes = sizes.withColumn("upto", F.sum("size").over(order)).withColumn("place", F.row_number().over(order))
+    ids = sizes.where((F.col("upto") <= max_bytes) | (F.col("place") == 1)).select(F.col("doc_id").alias("_id"), "toxic", "times")
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id"))
     return rows.select("text", "toxic", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("text", "toxic")
 
