@@ -19,18 +19,19 @@ def segments(df: DataFrame, distance: int = DISTANCE, bits: int = BITS) -> DataF
     """A row for each of distance + 1 disjoint parts of the hash: within that distance one part at least is equal."""
     n = distance + 1
     cuts = [bits * k // n for k in range(n + 1)]
-    part = lambda k: F.shiftright("hash", cuts[k]).bitwiseAND(F.lit((1 << (cuts[k + 1] - cuts[k])) - 1))
+    part = lambda k: F.shiftrightunsigned("hash", cuts[k]).bitwiseAND(F.lit((1 << (cuts[k + 1] - cuts[k])) - 1))
     return df.withColumn("seg", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), part(k).alias("v")) for k in range(n)))))
 
 
-def hamming_pairs(crops: DataFrame, distance: int = DISTANCE, gap: int = GAP) -> DataFrame:
-    """a < b of the same video, at most gap frames and distance bits apart. Equi-join on video, hash part and frame band; a pair comes from its first equal part alone."""
-    s = segments(crops.select("crop_id", "video", "frame", "hash"), distance).withColumn("band", F.floor(F.col("frame") / (gap + 1)))
+def hamming_pairs(crops: DataFrame, distance: int = DISTANCE, gap: int = GAP, bits: int = BITS) -> DataFrame:
+    """a < b of the same video, at most gap frames and distance bits apart; hashes have `bits` bits (64 of images.hashed).
+    Equi-join on video, hash part and frame band; a pair comes from its first equal part alone."""
+    s = segments(crops.select("crop_id", "video", "frame", "hash"), distance, bits).withColumn("band", F.floor(F.col("frame") / (gap + 1)))
     a = s.select("video", "seg", "band", F.col("crop_id").alias("a"), F.col("frame").alias("fa"), F.col("hash").alias("ha"))
     b = s.select("video", "seg", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.col("crop_id").alias("b"), F.col("frame").alias("fb"), F.col("hash").alias("hb"))
     near = (F.col("a") < F.col("b")) & (F.abs(F.col("fa") - F.col("fb")) <= gap) & (g.hamming("ha", "hb") <= distance)
-    cuts = [BITS * k // (distance + 1) for k in range(distance + 2)]
-    same = lambda k: F.shiftright(F.col("ha").bitwiseXOR(F.col("hb")), cuts[k]).bitwiseAND(F.lit((1 << (cuts[k + 1] - cuts[k])) - 1)) == 0
+    cuts = [bits * k // (distance + 1) for k in range(distance + 2)]
+    same = lambda k: F.shiftrightunsigned(F.col("ha").bitwiseXOR(F.col("hb")), cuts[k]).bitwiseAND(F.lit((1 << (cuts[k + 1] - cuts[k])) - 1)) == 0
     first = F.lit(distance)
     for k in range(distance - 1, -1, -1):
         first = F.when(same(k), k).otherwise(first)

@@ -106,7 +106,11 @@ def priority_queue(spark, sf_dir):
     return numbered(p.join(c, "crop_id"), "place", F.desc("score"), "pos").select("crop_id", "video", "frame", F.col("pred_text").alias("digit"), F.round("score", 4).alias("score"), "place")
 
 
-@frame("left_validity", "SELECT s.crop_id, s.digit, l.crop_id IS NOT NULL AS valid FROM synthetic s LEFT JOIN labels l ON l.crop_id = s.source_crop_id AND l.source = 'manual' UNION ALL SELECT crop_id, digit, source = 'manual' FROM labels", (*MA, "synthetic"), LABELS)
+VALIDITY = """SELECT crop_id, digit, coalesce(bool_or(manual) OVER (PARTITION BY owner), false) AS valid FROM (
+  SELECT crop_id AS owner, crop_id, digit, source = 'manual' AS manual FROM labels UNION ALL SELECT source_crop_id, crop_id, digit, false FROM synthetic) u"""
+
+
+@frame("left_validity", VALIDITY, (*MA, "synthetic"), LABELS)
 def left_validity(spark, sf_dir):
     """Real and synthetic labels; a synthetic one is valid if its source has a manual label."""
     real = labels(spark, sf_dir)

@@ -17,7 +17,7 @@ def frame_seek(spark, sf_dir):
     d = adapter(spark, sf_dir, "detections")
     wanted = d.groupBy("video").agg((F.max("frame") + 1).alias("total")).select("video", "total", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("i"))
     wanted = wanted.select("video", F.floor(F.col("i") * (F.col("total") - 1) / F.lit(11.0)).alias("frame")).distinct()
-    return d.join(F.broadcast(wanted), ["video", "frame"], "left_semi").select("video", "frame", "det_idx")  # 12 rows a video
+    return d.join(wanted, ["video", "frame"], "left_semi").select("video", "frame", "det_idx")  # 12 rows a video: broadcast by Spark where they are few
 
 
 @frame("rate_sample", f"SELECT video, min(frame) AS frame, CAST(floor(frame / {FPS} * {RATE}) AS BIGINT) AS bucket FROM detections GROUP BY video, CAST(floor(frame / {FPS} * {RATE}) AS BIGINT)", ("detections",))
@@ -34,7 +34,7 @@ def limited(d: DataFrame, stride: int, limit: int) -> DataFrame:
         return d
     place = F.row_number().over(Window.partitionBy("video").orderBy("frame"))
     first = d.select("video", "frame").distinct().withColumn("place", place).where(F.col("place") <= limit).drop("place")
-    return d.join(F.broadcast(first), ["video", "frame"], "left_semi")  # limit rows a video
+    return d.join(first, ["video", "frame"], "left_semi")
 
 
 @frame("limited_sample", f"SELECT video, frame, det_idx FROM (SELECT *, dense_rank() OVER (PARTITION BY video ORDER BY frame) AS place FROM detections WHERE frame % 5 = 0) t WHERE place <= {LIMIT}", ("detections",))
@@ -54,7 +54,7 @@ def sequential_scan(spark, sf_dir):
     seen = d.select("video", "frame").distinct()
     after = seen.select("video", (F.col("frame") + 1).alias("frame")).unionByName(seen.select("video").distinct().withColumn("frame", F.lit(0).cast("long")))
     end = after.join(seen, ["video", "frame"], "left_anti").groupBy("video").agg(F.min("frame").alias("end"))  # the first gap
-    return d.join(F.broadcast(end), "video").where("frame < end").select("video", "frame", "det_idx")
+    return d.join(end, "video").where("frame < end").select("video", "frame", "det_idx")
 
 
 def duration_text(seconds):
@@ -87,8 +87,7 @@ PROBED = """SELECT file_name AS file, CAST(image_id * 40961 AS BIGINT) AS bytes,
   concat(chr(CAST(code & 255 AS INT)), chr(CAST((code >> 8) & 255 AS INT)), chr(CAST((code >> 16) & 255 AS INT)), chr(CAST((code >> 24) & 255 AS INT))) AS fourcc, CASE WHEN fps = 0 THEN 25.0 ELSE fps END::DOUBLE AS rate
   FROM (SELECT *, CASE WHEN fps > 0 THEN frame_count / fps ELSE CAST(0 AS DOUBLE) END AS s FROM files) t""", ("images",), {"files": lambda d: PROBED})
 def probe_record(spark, sf_dir):
-    adapter(spark, sf_dir, "images").createOrReplaceTempView("probed_images")
-    return probe(spark.sql(PROBED.replace("FROM images", "FROM probed_images")))
+    return probe(spark.sql(PROBED.replace("FROM images", "FROM {images}"), images=adapter(spark, sf_dir, "images")))
 
 
 @frame("size_totals", "SELECT count(*) AS files, round(sum(bytes) / 1048576.0, 3) AS total_mb, round(sum(bytes) / 1048576.0 / greatest(count(*), 1), 6) AS mean_mb FROM files", ("images",), {"files": lambda d: PROBED})
@@ -213,5 +212,5 @@ def ocr_rows(spark, sf_dir):
     from ..functions.udtf import RecognizedTexts
 
     spark.udtf.register("recognized_texts", RecognizedTexts)
-    reads(spark, sf_dir).select("crop_id", F.to_json(F.struct(F.col("texts").alias("rec_texts"), F.col("scores").alias("rec_scores"))).alias("result")).createOrReplaceTempView("ocr_results")
-    return spark.sql("SELECT r.crop_id, t.at, t.text, t.score FROM ocr_results r, LATERAL recognized_texts(r.result) t")
+    results = reads(spark, sf_dir).select("crop_id", F.to_json(F.struct(F.col("texts").alias("rec_texts"), F.col("scores").alias("rec_scores"))).alias("result"))
+    return spark.sql("SELECT r.crop_id, t.at, t.text, t.score FROM {results} r, LATERAL recognized_texts(r.result) t", results=results)

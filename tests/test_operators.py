@@ -4,7 +4,7 @@ import pandas as pd
 import pytest
 
 from tagstream import catalog
-from tagstream.operators.dedup import lead
+from tagstream.operators.dedup import hamming_pairs, lead
 from tagstream.operators.identity import follow, track_video
 from tagstream.operators.spatial import suppress
 from tagstream.plans.graph import components
@@ -35,6 +35,19 @@ def test_leader_rolls_and_expires():
     assert lead(crops, 3, 150)["cluster"].tolist() == [0, 0, 0, 1, 2]
 
 
+def test_pairs_of_64_bit_hashes(spark):
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2**64, 60, dtype=np.uint64)
+    near = base ^ (np.uint64(1) << rng.integers(0, 64, 60).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(40, 64, 60).astype(np.uint64))
+    h = np.concatenate([base, near, base ^ np.uint64(2**63)])
+    rows = [(k, int(k % 2), int(rng.integers(0, 30)), int(x)) for k, x in enumerate(h.view(np.int64))]
+    got = hamming_pairs(spark.createDataFrame(rows, "crop_id long, video long, frame long, hash long"), 6, 10, 64)
+    apart = lambda a, b: int(np.bitwise_count(np.uint64(a & 2**64 - 1) ^ np.uint64(b & 2**64 - 1)))
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] and abs(a[2] - b[2]) <= 10 and apart(a[3], b[3]) <= 6}
+    found = [tuple(r) for r in got.collect()]
+    assert set(found) == want and len(found) == len(want) > 20
+
+
 def test_undecodable_crops_share_hash_zero():
     crops = pd.DataFrame({"video": 0, "crop_id": [1, 2], "frame": [5, 5], "hash": [0, 0]})
     assert lead(crops)["cluster"].tolist() == [0, 0]
