@@ -20,13 +20,17 @@ def follow(state: dict, boxes: np.ndarray, reach: float = REACH, misses: int = M
     xy = (boxes[:, :2] + boxes[:, 2:4]) / 2
     tags = state.setdefault("tags", {})
     names, ids = list(tags), [-1] * len(xy)
-    pairs = sorted((float(np.hypot(*(xy[j] - tags[t][:2]))), i, j) for i, t in enumerate(names) for j in range(len(xy)))
     used: set[int] = set()
-    for dist, i, j in pairs:
-        if dist <= reach and i not in used and ids[j] < 0:
-            used.add(i)
-            ids[j] = names[i]
-            tags[names[i]] = [*xy[j], 0]
+    if names:
+        at = np.array([tags[t][:2] for t in names])
+        dist = np.hypot(xy[None, :, 0] - at[:, None, 0], xy[None, :, 1] - at[:, None, 1])
+        near = np.argwhere(dist <= reach)
+        order = np.argsort(dist[near[:, 0], near[:, 1]], kind="stable")  # of equal ones, the older id and the smaller ordinal first
+        for i, j in near[order].tolist():
+            if i not in used and ids[j] < 0:
+                used.add(i)
+                ids[j] = names[i]
+                tags[names[i]] = [*xy[j].tolist(), 0]
     for i, t in enumerate(names):
         if i not in used:
             tags[t][2] += 1
@@ -36,7 +40,7 @@ def follow(state: dict, boxes: np.ndarray, reach: float = REACH, misses: int = M
         if ids[j] < 0:
             ids[j] = state.get("next", 0)
             state["next"] = ids[j] + 1
-            tags[ids[j]] = [*xy[j], 0]
+            tags[ids[j]] = [*xy[j].tolist(), 0]
     return ids
 
 
