@@ -464,25 +464,42 @@ def test_templates_join_consecutive_lines(spark):
 
 
 def test_templates_recall_against_brute_force(spark):
-    """Lines of 40 templates with one to three fields of changing words, against all pairs of lines that agree in count, leading tokens and half of the places."""
+    """Lines of templates with one, two or three fields of changing words anywhere after the leading tokens, and with a field in a leading token,
+    against all pairs of lines that agree in count and half of the places."""
     rng = np.random.default_rng(6)
     word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 7))
-    texts, lines = [], []
-    for k in range(40):
-        base, fields = [word() for _ in range(int(rng.integers(9, 30)))], rng.integers(2, 9, 1 + k % 3)
+    texts, lines, kind = [], [], []
+    for k in range(160):
+        base = [word() for _ in range(int(rng.integers(9, 30)))]
+        fields = rng.choice(np.arange(2, len(base)), k % 4, replace=False).tolist() if k % 4 else [int(rng.integers(0, 2)), int(rng.integers(2, len(base)))]
         for _ in range(4):
             line = list(base)
             for f in fields:
                 line[f] = word()
             texts.append(f"{' '.join(word() for _ in range(12))}\n{' '.join(line)}\n{' '.join(word() for _ in range(5))}")
             lines.append(line)
-    like = lambda x, y: len(x) == len(y) and x[:2] == y[:2] and 2 * sum(p == q for p, q in zip(x, y, strict=True)) >= len(x)
-    brute = {i for i, x in enumerate(lines) if any(j < i and like(x, y) for j, y in enumerate(lines))}
+            kind.append(k % 4)
+    like = lambda x, y: len(x) == len(y) and 2 * sum(p == q for p, q in zip(x, y, strict=True)) >= len(x)
+    brute = {i for i, x in enumerate(lines) if any(like(x, y) for y in lines[max(0, i - 3) : i])}
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id for r in dedup(df) if r.n_dropped}
-    assert got <= brute and len(got) >= 0.85 * len(brute)
+    for most in (templates.MAX_KEYS, 0):
+        got = {r.doc_id for r in dedup(df, most) if r.n_dropped}
+        assert got <= brute
+        recall = [len([i for i in got if kind[i] == k]) / len([i for i in brute if kind[i] == k]) for k in range(4)]
+        assert min(recall) >= 0.95, recall
     shown = [r.template for r in templates.templates(df).collect()]
-    assert len(shown) >= 30 and all("<*>" in x for x in shown)
+    assert len(shown) >= 150 and all("<*>" in x for x in shown)
+
+
+def test_templates_leave_unlike_lines_alone(spark):
+    """Lines that share their count, leading tokens and a quarter of the others, but not half of their places, are no template; those among them that are alike are."""
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 7))
+    lines = [" ".join(["the", "log", *("same" if p % 4 == 0 else word() for p in range(16))]) for _ in range(40)]
+    like = [" ".join([*lines[7].split()[:-1], word()]) for _ in range(3)] + [" ".join([*lines[23].split()[:-2], word(), word()]) for _ in range(3)]
+    df = spark.createDataFrame(list(enumerate([*lines, *like])), "doc_id long, text string")
+    for most in (templates.MAX_KEYS, 0):
+        assert {r.doc_id for r in dedup(df, most) if r.n_dropped} == {40, 41, 42, 43, 44, 45}
 
 
 def test_html_article():
