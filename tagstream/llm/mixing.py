@@ -2,15 +2,15 @@
 
 A document belongs to a block of its source by a hash of its id; there is a block for each BLOCK_WORDS words of the
 input (LEAST_BLOCKS at least), and an output shard for each SHARD_WORDS words. A source's target is reached
-by whole passes over its blocks, by further blocks in a permuted order, where those that do not fit are
-skipped, by single documents of the other blocks, and then by single documents of any block that are not yet
-taken CAP times, until none fits into what is left.
-The source's exact number of block draws is its quota: a splitting tree halves the shards again
+by whole passes over its blocks, by further blocks in a permuted order as long as they fit, and by single documents of the blocks
+around the place where these end, CAP times at most each, until none of them fits into what is left.
+The source's exact number of draws (of blocks, then of single documents) is its quota: a splitting tree halves the shards again
 and again and deals the quotas to the halves by multivariate hypergeometric draws, each
 node seeded by its place. A shard then takes the next disjoint run of every source's permuted
-draws, and its rows are ordered by a hash.
+draws, and its rows are ordered by a hash. Each task walks the tree for the draws of its own rows.
 
-The driver holds a row a source and a number a source and shard; blocks are a table.
+Blocks are ranked by running sums over ranges of the hashes that permute them, and inside each range, so that no task holds a source's blocks.
+The driver holds a row a source; blocks are a table.
 
 Cases: a null source is a source of its own, after all others; null and empty texts have size 0;
 the rows of a null doc_id are one document; repeated rows are taken together; a source
@@ -20,13 +20,16 @@ without words has target 0; an empty table gives no rows; other columns are carr
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, documents, materialize, whole
+from .common import WORD, documents, map_rows, materialize, schema, whole
 
 BLOCK_WORDS, LEAST_BLOCKS, SHARD_WORDS, LEAST_SHARDS = 1 << 20, 1024, 1 << 25, 64
 SEED, CAP = 17, 3
+#: Ranges of a source's permuted blocks; words on either side of the last further block whose documents may fill what is left.
+RANGES, NEAR_WORDS = 1024, 1 << 22
 BROADCAST_ROWS = 200_000
 
 
@@ -49,21 +52,22 @@ def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = (1, 2, 3),
     return out
 
 
-def split_tree(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
-    """shards x sources counts whose sums over the shards are exactly the quotas."""
-    out = np.zeros((shards, len(quotas)), np.int64)
+def dealt(source: np.ndarray, draw: np.ndarray, quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
+    """The shard of each draw (numbered from 0 in its source): every shard gets a run of each source's draws, and the runs add up to the quotas."""
+    out = np.zeros(len(draw), np.int64)
 
-    def node(lo: int, hi: int, have: np.ndarray) -> None:
-        if hi - lo == 1 or not have.sum():
-            out[lo] = have
+    def node(lo: int, hi: int, have: np.ndarray, rows: np.ndarray, draw: np.ndarray) -> None:
+        if hi - lo == 1 or not len(rows):
+            out[rows] = lo
             return
         mid = (lo + hi) // 2
-        draw = round(int(have.sum()) * (mid - lo) / (hi - lo))
-        left = np.random.default_rng([seed, lo, hi]).multivariate_hypergeometric(have, draw, method="marginals")
-        node(lo, mid, left)
-        node(mid, hi, have - left)
+        left = np.random.default_rng([seed, lo, hi]).multivariate_hypergeometric(have, round(int(have.sum()) * (mid - lo) / (hi - lo)), method="marginals")
+        own = left[source[rows]]
+        on = draw < own
+        node(lo, mid, left, rows[on], draw[on])
+        node(mid, hi, have - left, rows[~on], (draw - own)[~on])
 
-    node(0, shards, quotas.astype(np.int64))
+    node(0, shards, quotas.astype(np.int64), np.arange(len(draw)), draw)
     return out
 
 
@@ -80,141 +84,112 @@ def power(words: int, each: int, least: int) -> int:
     return max(least, 1 << max(0, (words // each) - 1).bit_length())
 
 
-def _fitting(units: DataFrame, gap: dict) -> DataFrame:
-    """units (with source and words) that fit into their source's gap, and gap_."""
-    gaps = units.sparkSession.createDataFrame(list(gap.items()), "g_s string, gap_ double")
-    return units.join(F.broadcast(gaps), F.col("source").eqNullSafe(F.col("g_s")) & (F.col("words") <= F.col("gap_"))).drop("g_s")
-
-
-def _union(parts: list[DataFrame], none: DataFrame) -> DataFrame:
-    out = parts[0] if parts else none
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def taken(units: DataFrame, gap: dict, seed: int, key: str) -> tuple[list[DataFrame], dict]:
-    """From source, key, words, block_: the units taken in the order of their hashes, each that fits what is left; and what is left.
-
-    A round takes units up to the first that does not fit; what did not fit then goes on, and never fits again if it is too long.
-    """
-    order = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed), key), key).rowsBetween(Window.unboundedPreceding, 0)
-    columns, parts = units.columns, []
-    while gap:
-        ranked = materialize(_fitting(units, gap).withColumn("up_to_", F.sum("words").over(order)), "ranked")
-        got = ranked.where("up_to_ <= gap_").select(*columns)
-        sums = {r.source: r.words for r in got.groupBy("source").agg(F.sum("words").alias("words")).collect()}
-        if not sums:
-            break
-        parts.append(got)
-        gap = {s: g - sums.get(s, 0) for s, g in gap.items()}
-        units = ranked.where("up_to_ > gap_").select(*columns)
-    return parts, gap
-
-
-def singled(singles: DataFrame, gap: dict, seed: int) -> DataFrame:
-    """source, doc_id: single documents taken until none fits. singles: source, block_, doc_id, words.
-
-    Each time only the blocks are looked at whose fitting documents are as long as the gap together.
-    """
-    order = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed + 1), "block_"), "block_").rowsBetween(Window.unboundedPreceding, 0)
-    none = picks = singles.limit(0)
-    rest, parts = singles, []
-    while gap := {s: g for s, g in gap.items() if g >= 1}:
-        rest = _fitting(rest, gap)
-        if parts:  # what does not fit never fits again, so that only short documents go on
-            p = F.broadcast(_union(parts, none).select(F.col("source").alias("p_s"), F.col("doc_id").alias("p_d")))
-            rest = materialize(rest.join(p, F.col("source").eqNullSafe(F.col("p_s")) & F.col("doc_id").eqNullSafe(F.col("p_d")), "left_anti"), "rest")
-        per = rest.groupBy("source", "block_").agg(F.sum("words").alias("fit_"), F.first("gap_").alias("gap_"))
-        near = per.withColumn("up_to_", F.sum("fit_").over(order)).where("up_to_ - fit_ < gap_").select(F.col("source").alias("n_s"), F.col("block_").alias("n_b"))
-        rest = rest.drop("gap_")
-        near = rest.join(near, F.col("source").eqNullSafe(F.col("n_s")) & (F.col("block_") == F.col("n_b")), "left_semi")
-        parts, gap = taken(near, gap, seed + 2, "doc_id")
-        if not parts:
-            break
-        picks = materialize(_union([picks, *parts], none), "picks")
-    return picks.select("source", "doc_id")
-
-
-def summed(picks: DataFrame) -> dict:
-    return {r.source: r.words for r in picks.groupBy("source").agg(F.sum("words").alias("words")).collect()}
+def joined(rows: DataFrame, other: DataFrame, on, n: int, how: str = "inner") -> DataFrame:
+    """other is broadcast if it has few enough rows."""
+    return rows.join(F.broadcast(other) if n <= BROADCAST_ROWS else other, on, how)
+
+
+def ranked(per_block: DataFrame, have: DataFrame, sources: int, seed: int) -> DataFrame:
+    """A row a block in the permuted order of its source: at_ (its place), up_to_ (words up to its end), more_ (1 if it is taken once more)."""
+    rows = per_block.withColumn("order_", F.xxhash64(F.lit(seed + 1), "block_"))
+    rows = rows.withColumn("range_", F.pmod(F.shiftrightunsigned("order_", 40), F.lit(RANGES)))
+    before = Window.partitionBy("source").orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows a source
+    parts = rows.groupBy("source", "range_").agg(F.sum("words").alias("w"), F.count("*").alias("n"))
+    zero = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    parts = materialize(parts.select(F.col("source").alias("p_s"), F.col("range_").alias("p_r"), zero("w").alias("words_before"), zero("n").alias("blocks_before")), "ranges")
+    rows = joined(rows, parts, F.col("source").eqNullSafe(F.col("p_s")) & (F.col("range_") == F.col("p_r")), sources * RANGES)
+    upto = Window.partitionBy("source", "range_").orderBy("order_", "block_").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("up_to_", F.col("words_before") + F.sum("words").over(upto)).withColumn("at_", F.col("blocks_before") + F.count("*").over(upto) - 1)
+    rows = joined(rows, have, F.col("source").eqNullSafe(F.col("s_")), sources).withColumn("more_", (F.col("up_to_") <= F.col("gap_")).cast("int"))
+    return materialize(rows.select("source", "block_", "words", "up_to_", "at_", "more_", "idx_", "full_", "gap_", "n_"), "permuted")
+
+
+def greedy(words: np.ndarray, room: np.ndarray, gap: float) -> np.ndarray:
+    """Places of what is taken, in order: each that fits into what is left, up to `room` times in as many turns."""
+    found, times = [], np.zeros(len(words), np.int64)
+    for _ in range(CAP):
+        at = np.flatnonzero((times < room) & (words <= gap))
+        while len(at):
+            sums = np.cumsum(words[at])
+            k = int(np.searchsorted(sums, gap, "right"))
+            if k:
+                found.append(at[:k])
+                times[at[:k]] += 1
+                gap -= int(sums[k - 1])
+            rest = at[k + 1 :]
+            at = rest[words[rest] <= gap]
+    return np.concatenate(found) if found else np.empty(0, np.int64)
+
+
+def singled(narrow: DataFrame, ordered: DataFrame, have: DataFrame, left: DataFrame, sources: int, seed: int) -> DataFrame:
+    """idx_, doc_id, turn_ (number of the draw among them): single documents that fill what is left of each source, those of blocks of which no more is taken first.
+    A source's candidates are at most twice NEAR_WORDS words and the blocks at the borders."""
+    near = ordered.where((F.abs(F.col("up_to_") - F.col("gap_")) <= NEAR_WORDS) & (F.col("full_") + F.col("more_") < CAP))
+    near = materialize(near.select(F.col("source").alias("b_s"), F.col("block_").alias("b_b"), "idx_", "more_", (CAP - F.col("full_") - F.col("more_")).alias("room_")), "near")
+    pool = joined(narrow.where("size_ > 0"), near, F.col("source").eqNullSafe(F.col("b_s")) & (F.col("block_") == F.col("b_b")), near.count())
+    pool = pool.groupBy("idx_", "doc_id").agg(F.sum("size_").alias("words"), F.first("room_").alias("room_"), F.first("more_").alias("more_"))
+    pool = joined(pool, left, "idx_", sources).where("words <= left_").withColumn("order_", F.xxhash64(F.lit(seed + 2), "doc_id"))
+
+    def fill(table: pa.Table) -> pa.Table:
+        t = table.sort_by([("more_", "ascending"), ("order_", "ascending"), ("doc_id", "ascending")])
+        words, room, gap = t["words"].to_numpy(), t["room_"].to_numpy(), t["left_"][0].as_py()
+        orders = (np.arange(len(words)), np.argsort(-words, kind="stable"))
+        at = min((o[greedy(words[o], room[o], gap)] for o in orders), key=lambda at: -words[at].sum())  # the longest first where that comes nearer
+        return pa.table({"idx_": t["idx_"].take(at), "doc_id": t["doc_id"].take(at), "turn_": pa.array(np.arange(len(at)))})
+
+    return materialize(pool.groupBy("idx_").applyInArrow(fill, "idx_ int, doc_id long, turn_ long"), "picks")
+
+
+def shards_of(draws: DataFrame, quotas: np.ndarray, shards: int, seed: int, kept: str) -> DataFrame:
+    """From idx_, first_ (number of the draw), times_, step_ and the kept columns: these and draws_, the shards of the draws first_, first_ + step_, ..."""
+    shared = draws.sparkSession.sparkContext.broadcast(quotas)
+
+    def make():
+        def f(c):
+            source, first, times, step = (np.array(x, np.int64) for x in c[:4])
+            of = np.repeat(np.arange(len(times)), times)
+            turn = np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times)
+            found = dealt(source[of], first[of] + turn * step[of], shared.value, shards, seed)
+            cut = np.cumsum(times)[:-1]
+            return [*c[4:], [x.tolist() for x in np.split(found, cut)]] if len(times) else [*c[4:], []]
+
+        return f
+
+    names = [x.split()[0] for x in kept.split(", ")]
+    return map_rows(draws.select("idx_", "first_", "times_", "step_", *names), make, schema(f"{kept}, draws_ array<int>"))
 
 
 def plan(narrow: DataFrame, blocks: int, shards: int, seed: int = SEED) -> tuple[DataFrame, DataFrame, DataFrame, int]:
-    """From doc_id, source, size_, block_: a row a source and a row a block, each with what is taken; source, doc_id and times of the single documents; the number of sources."""
+    """From doc_id, source, size_, block_: a row a source, and the shards of each block's and each single document's draws; the number of sources."""
     spark = narrow.sparkSession
     per_block = materialize(narrow.groupBy("source", "block_").agg(F.sum("size_").alias("words")), "blocks")
-    rows = per_block.groupBy("source").agg(F.sum("words").alias("words"), F.count("*").alias("n")).collect()
-    sizes = {r.source: r.words for r in rows}
-    goal = targets(sizes)
-    full = {s: min(CAP, int(goal[s] // sizes[s])) if sizes[s] else 0 for s in sizes}
-    gap = {s: goal[s] - full[s] * sizes[s] for s in sizes}
-    more, gap = taken(per_block, gap, seed + 1, "block_")
-    more = materialize(_union(more, per_block.limit(0)).select("source", "block_"), "further")
-    extra = {r.source: r.n for r in more.groupBy("source").agg(F.count("*").alias("n")).collect()}
-    flag = more.select(F.col("source").alias("m_s"), F.col("block_").alias("m_b"), F.lit(1).alias("more_"))
-    few = len(rows) * blocks <= BROADCAST_ROWS
-    order = Window.partitionBy("source").orderBy(F.desc("more_"), F.xxhash64(F.lit(seed + 1), "block_"), "block_").rowsBetween(Window.unboundedPreceding, 0)
-    have = spark.createDataFrame([(s, full[s]) for s in sizes], "s_ string, full_ int")
-    ordered = materialize(
-        per_block.join(F.broadcast(flag) if few else flag, F.col("source").eqNullSafe(F.col("m_s")) & (F.col("block_") == F.col("m_b")), "left").drop("m_s", "m_b").withColumn("more_", F.coalesce("more_", F.lit(0)))
-        .join(F.broadcast(have), F.col("source").eqNullSafe(F.col("s_"))).drop("s_").withColumn("at_", F.count("*").over(order) - 1), "permuted",
-    )
-    room = ordered.where(F.col("full_") + F.col("more_") < CAP).select(F.col("source").alias("b_s"), F.col("block_").alias("b_b"), "more_", (CAP - F.col("full_") - F.col("more_")).alias("room_"))
-    room = F.broadcast(room) if few else room
-    words = narrow.where("size_ > 0").withColumnRenamed("size_", "words")
-    picks = materialize(words.limit(0).select("source", "doc_id", "words"), "picks")
-    for turn in range(CAP + 1):  # first the blocks of which nothing more is taken
-        gap = {s: g for s, g in gap.items() if g >= 1}
-        if not gap:
-            break
-        pool = _fitting(words, gap).join(room if turn else room.where("more_ = 0"), F.col("source").eqNullSafe(F.col("b_s")) & (F.col("block_") == F.col("b_b")))
-        pool = pool.groupBy("source", "block_", "doc_id").agg(F.sum("words").alias("words"), F.first("room_").alias("room_"))
-        times = picks.groupBy(F.col("source").alias("p_s"), F.col("doc_id").alias("p_d")).agg(F.count("*").alias("times_"))
-        pool = pool.join(times, F.col("source").eqNullSafe(F.col("p_s")) & F.col("doc_id").eqNullSafe(F.col("p_d")), "left").where(F.coalesce("times_", F.lit(0)) < F.col("room_"))
-        pool = materialize(pool.select("source", "block_", "doc_id", "words"), "singles")
-        got = singled(pool, gap, seed + 7 * turn).select(F.col("source").alias("g_s"), F.col("doc_id").alias("g_d"))
-        got = pool.join(F.broadcast(got), F.col("source").eqNullSafe(F.col("g_s")) & F.col("doc_id").eqNullSafe(F.col("g_d")), "left_semi").select("source", "doc_id", "words")
-        got = materialize(got, "turn")
-        sums = summed(got)
-        if not sums and turn:
-            break
-        gap = {s: g - sums.get(s, 0) for s, g in gap.items()}
-        picks = materialize(picks.unionByName(got), "picks")
-    picked = {r.source for r in picks.select("source").distinct().collect()}
-    names = sorted(sizes, key=lambda s: (s is None, s or ""))
-    count = {r.source: r.n for r in rows}
-    quotas = np.array([full[s] * count[s] + extra.get(s, 0) + (s in picked) for s in names], np.int64)
-    ends = np.cumsum(split_tree(quotas, shards, seed), axis=0) if len(names) else np.zeros((shards, 0), np.int64)
-    by_source = spark.createDataFrame(
-        [(s, sizes[s], float(goal[s]), full[s] * count[s], ends[:, k].tolist(), int(np.searchsorted(ends[:, k], quotas[k] - 1, "right"))) for k, s in enumerate(names)],
-        "s_ string, source_size long, target double, passes_ long, ends_ array<long>, last_ int",
-    )
-    shard = lambda draw: F.size(F.filter("ends_", lambda e: e <= draw))
-    n_blocks = spark.createDataFrame([(s, count[s]) for s in names], "n_s string, blocks_ long")
-    by_block = (
-        ordered.join(F.broadcast(by_source.select("s_", "ends_")), F.col("source").eqNullSafe(F.col("s_")))
-        .join(F.broadcast(n_blocks), F.col("source").eqNullSafe(F.col("n_s")))
-        .select(
-            F.col("source").alias("b_s"), F.col("block_").alias("b_b"),
-            F.when(F.col("full_") + F.col("more_") > 0, F.transform(F.sequence(F.lit(0), F.col("full_") + F.col("more_") - 1), lambda e: shard(e * F.col("blocks_") + F.col("at_"))))
-            .otherwise(F.array().cast("array<int>")).alias("draws_"),
-        )
-    )
-    picks = picks.groupBy(F.col("source").alias("p_s"), F.col("doc_id").alias("p_d")).agg(F.count("*").cast("int").alias("times_"))
-    return by_source, by_block, picks, len(rows)
-
-
-def drawn(rows: DataFrame, by_source: DataFrame, by_block: DataFrame, picks: DataFrame, sources: int, blocks: int) -> DataFrame:
+    rows = {r.source: r for r in per_block.groupBy("source").agg(F.sum("words").alias("words"), F.count("*").alias("n")).collect()}
+    sizes = {s: r.words for s, r in rows.items()}
+    goal, names = targets(sizes), sorted(sizes, key=lambda s: (s is None, s or ""))
+    full = {s: min(CAP, int(goal[s] // sizes[s])) if sizes[s] else 0 for s in names}
+    gap = {s: goal[s] - full[s] * sizes[s] for s in names}
+    have = spark.createDataFrame([(k, s, sizes[s], float(goal[s]), full[s], float(gap[s]), rows[s].n) for k, s in enumerate(names)], "idx_ int, s_ string, source_size long, target double, full_ int, gap_ double, n_ long")
+    ordered = ranked(per_block, have, len(names), seed)
+    more = {r.idx_: (r.n, r.words) for r in ordered.where("more_ = 1").groupBy("idx_").agg(F.count("*").alias("n"), F.sum("words").alias("words")).collect()}
+    left = spark.createDataFrame([(k, float(gap[s] - more.get(k, (0, 0))[1])) for k, s in enumerate(names)], "idx_ int, left_ double")
+    picks = singled(narrow, ordered, have, left, len(names), seed)
+    picked = {r.idx_: r.n for r in picks.groupBy("idx_").agg(F.count("*").alias("n")).collect()}
+    passes = [full[s] * rows[s].n + more.get(k, (0, 0))[0] for k, s in enumerate(names)]
+    quotas = np.array([n + picked.get(k, 0) for k, n in enumerate(passes)], np.int64)
+    draws = ordered.select("idx_", F.col("at_").alias("first_"), (F.col("full_") + F.col("more_")).alias("times_"), F.col("n_").alias("step_"), F.col("source").alias("b_s"), F.col("block_").alias("b_b"))
+    by_block = shards_of(draws, quotas, shards, seed, "b_s string, b_b long")
+    after = spark.createDataFrame([(k, s, n) for (k, s), n in zip(enumerate(names), passes, strict=True)], "idx_ int, p_s string, passes_ long")
+    singles = joined(picks, after, "idx_", len(names)).select("idx_", (F.col("passes_") + F.col("turn_")).alias("first_"), F.lit(1).alias("times_"), F.lit(1).alias("step_"), "p_s", F.col("doc_id").alias("p_d"))
+    singles = shards_of(singles, quotas, shards, seed, "p_s string, p_d long").groupBy("p_s", "p_d").agg(F.sort_array(F.flatten(F.collect_list("draws_"))).alias("own_"))  # CAP at most each
+    return have.select("s_", "source_size", "target"), materialize(by_block, "draws"), materialize(singles, "singles"), len(names)
+
+
+def drawn(rows: DataFrame, by_source: DataFrame, by_block: DataFrame, singles: DataFrame, sources: int) -> DataFrame:
     """rows (with doc_id, source, block_) and source_size, target, shards_ (the shard of each copy)."""
-    by_block = F.broadcast(by_block) if sources * blocks <= BROADCAST_ROWS else by_block
-    own = F.when(F.col("times_") > 0, F.array_repeat("last_", F.col("times_")))
-    return (
-        rows.join(F.broadcast(by_source.select("s_", "source_size", "target", "last_")), F.col("source").eqNullSafe(F.col("s_")))
-        .join(by_block, F.col("source").eqNullSafe(F.col("b_s")) & (F.col("block_") == F.col("b_b")))
-        .join(picks, F.col("source").eqNullSafe(F.col("p_s")) & F.col("doc_id").eqNullSafe(F.col("p_d")), "left")
-        .withColumn("shards_", F.concat("draws_", F.coalesce(own, F.array().cast("array<int>")))).drop("s_", "b_s", "b_b", "p_s", "p_d", "times_", "last_", "draws_")
-    )
+    rows = joined(rows, by_source, F.col("source").eqNullSafe(F.col("s_")), sources)
+    rows = joined(rows, by_block, F.col("source").eqNullSafe(F.col("b_s")) & (F.col("block_") == F.col("b_b")), by_block.count())
+    rows = joined(rows, singles, F.col("source").eqNullSafe(F.col("p_s")) & F.col("doc_id").eqNullSafe(F.col("p_d")), singles.count(), "left")
+    return rows.withColumn("shards_", F.concat("draws_", F.coalesce("own_", F.array().cast("array<int>")))).drop("s_", "b_s", "b_b", "p_s", "p_d", "own_", "draws_")
 
 
 def mixed(docs: DataFrame, shards: int | None = None, seed: int = SEED):
@@ -227,8 +202,8 @@ def mixed(docs: DataFrame, shards: int | None = None, seed: int = SEED):
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    narrow, made, blocks = mixed(documents(spark, sf_dir))
-    return drawn(narrow, *made, blocks).select(
+    narrow, made, _ = mixed(documents(spark, sf_dir))
+    return drawn(narrow, *made).select(
         "doc_id", F.col("size_").alias("size"), "source_size", "target", (F.col("size_") * F.size("shards_")).alias("taken"), "source", F.col("shards_").alias("shards"),
     )
 
@@ -237,5 +212,5 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, shards: int
     """The mix itself: a row for each copy that is taken, by shard and shuffled inside it; the columns of docs."""
     _, made, blocks = mixed(docs, shards)
     rows = docs.select(whole(docs).alias("row_"), "doc_id", "source", F.xxhash64(F.lit(SEED), F.col("doc_id")).alias("hash_")).withColumn("block_", in_block(blocks))
-    copies = drawn(rows, *made, blocks).select("row_", "doc_id", F.posexplode("shards_").alias("copy_", "shard_"))
+    copies = drawn(rows, *made).select("row_", "doc_id", F.posexplode("shards_").alias("copy_", "shard_"))
     return copies.repartition("shard_", F.pmod(F.xxhash64("doc_id"), F.lit(16))).sortWithinPartitions("shard_", F.xxhash64(F.lit(SEED + 3), "doc_id", "copy_")).select("row_.*")

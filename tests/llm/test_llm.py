@@ -272,8 +272,20 @@ def test_packing_places_by_least_sum_of_squares():
 
 def test_mixing_targets_and_tree(spark):
     assert mixing.targets({"a": 100, "b": 100, None: 10}) == {"a": 60.0 / 180 * 180, "b": 120.0, None: 30.0} or sum(mixing.targets({"a": 100, "b": 100, None: 10}).values()) == pytest.approx(210)
-    tree = mixing.split_tree(np.array([1000, 1, 77]), 7, 1)
-    assert tree.sum(axis=0).tolist() == [1000, 1, 77] and tree.sum(axis=1).max() - tree.sum(axis=1).min() <= 3
+    quotas = np.array([1000, 1, 77])
+    source = np.repeat([0, 1, 2], quotas)
+    draw = np.concatenate([np.arange(n) for n in quotas])
+    shard = mixing.dealt(source, draw, quotas, 7, 1)
+    tree = np.array([[int(((source == k) & (shard == i)).sum()) for k in range(3)] for i in range(7)])
+    assert tree.sum(axis=1).max() - tree.sum(axis=1).min() <= 3
+    assert all((np.diff(shard[source == k]) >= 0).all() for k in range(3))  # runs
+    some = np.random.default_rng(0).permutation(len(draw))[:200]
+    assert (mixing.dealt(source[some], draw[some], quotas, 7, 1) == shard[some]).all()  # a task's own draws alone
+    for words, gap in (([5, 9, 2, 2, 7], 13), ([5, 5], 4), ([], 9), ([3], 100)):
+        words = np.array(words, np.int64)
+        at = mixing.greedy(words, np.full(len(words), 2), gap)
+        rest = gap - words[at].sum()
+        assert rest >= 0 and all((at == k).sum() == 2 or w > rest for k, w in enumerate(words)) and np.bincount(at, minlength=1).max() <= 2
     rows = mixing.op1_mixing(spark, SF).collect()
     goal, got = {r.source: r.target for r in rows}, {}
     for r in rows:
@@ -295,7 +307,12 @@ def test_mixing_comes_within_half_a_percent(spark):
         assert x <= 3 * total[s] + 1e-6
     assert sum(goal.values()) == pytest.approx(min(sum(total.values()), 3 * sum(total.values())))
     taken = {}
-    for r in mixing.op1_mixing(spark, "/root/testdata/sf0.01").collect():
+    spark.sparkContext.setJobGroup("mixing", "jobs of a mix")
+    rows = mixing.op1_mixing(spark, "/root/testdata/sf0.01").collect()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("mixing"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 40, jobs
+    for r in rows:
         assert (r.source, r.size, r.source_size) == (*size[r.doc_id], total[r.source]) and r.target == pytest.approx(goal[r.source])
         assert r.taken == r.size * len(r.shards) and r.taken <= 3 * r.size
         taken[r.source] = taken.get(r.source, 0) + r.taken
