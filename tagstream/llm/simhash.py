@@ -40,8 +40,8 @@ WORDS, SEED, LINK, SEGMENTS = 4, 42, 4, 32
 CELL_ROWS, BLOCK_ROWS, PAIRED, PART = 1 << 12, 1 << 12, 48, 256
 #: Groups: nodes that they are for. The most frequent cell of unrelated nodes then has CELL_ROWS of them; beyond the last number cells are cut more often.
 GRIDS = {5: 1 << 18, 6: 1 << 22, 7: 1 << 24, 8: 1 << 28, 10: 1 << 62}
-#: Links that are held before they are reduced to a forest, and rows of whole cells that are compared at once.
-FOREST, HELD = 1 << 18, 1 << 16
+#: Links that are held before they are reduced to a forest; rows and bytes of whole cells that are compared at once.
+FOREST, HELD, HELD_BYTES = 1 << 18, 1 << 16, 32 << 20
 _U = np.uint64
 _ODD = 0x5555555555555555
 
@@ -201,11 +201,11 @@ def by_cell(rows: DataFrame, keys: list[str], compare) -> DataFrame:
     columns = rows.columns
 
     def run(batches):
-        waiting, held = [], 0
+        waiting, held, size = [], 0, 0
         for batch in batches:
             waiting.append(batch)
-            held += batch.num_rows
-            if held >= HELD:
+            held, size = held + batch.num_rows, size + batch.nbytes
+            if held >= HELD or size >= HELD_BYTES:
                 t = pa.Table.from_batches(waiting).combine_chunks()
                 at = [t[k].to_numpy() for k in keys]
                 start, _ = runs(*at)
@@ -213,7 +213,7 @@ def by_cell(rows: DataFrame, keys: list[str], compare) -> DataFrame:
                 if cut:
                     yield done(t.slice(0, cut))
                     t = t.slice(cut)
-                waiting, held = t.to_batches(), t.num_rows if cut else 0
+                waiting, held, size = t.to_batches(), t.num_rows if cut else 0, 0
         if waiting and sum(b.num_rows for b in waiting):
             yield done(pa.Table.from_batches(waiting).combine_chunks())
 
