@@ -147,9 +147,9 @@ def label_text(texts, scores):
 
 
 @frame("label_texts", """SELECT c.crop_id, substr(concat(coalesce(array_to_string(r.texts, ' '), '(none)'), ' (', CAST(CAST(round(CAST(coalesce(list_max(r.scores), 0.0) AS DECIMAL(12, 6)), 2) AS DECIMAL(12, 2)) AS VARCHAR), ')'), 1, 22) AS label, coalesce(list_max(r.scores), 0.0)::DOUBLE AS best
-  FROM (SELECT crop_id FROM crops WHERE crop_id < 4000) c LEFT JOIN r ON r.crop_id = c.crop_id""", ("crops", "auto_preds"), {"r": lambda d: READS})
+  FROM crops c LEFT JOIN r ON r.crop_id = c.crop_id""", ("crops", "auto_preds"), {"r": lambda d: READS})
 def label_texts(spark, sf_dir):
-    rows = adapter(spark, sf_dir, "crops").where("crop_id < 4000").select("crop_id").join(reads(spark, sf_dir), "crop_id", "left")
+    rows = adapter(spark, sf_dir, "crops").select("crop_id").join(reads(spark, sf_dir), "crop_id", "left")
     return rows.select("crop_id", label_text(F.col("texts"), F.col("scores")).alias("label"), F.coalesce(F.array_max("scores"), F.lit(0.0)).alias("best"))
 
 

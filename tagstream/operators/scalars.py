@@ -99,9 +99,9 @@ def class_demux(spark, sf_dir):
     return adapter(spark, sf_dir, "detections").where("cls = 1 AND conf >= 0.4").select("video", "frame", "det_idx", "cls", "conf")
 
 
-@frame("stride_sample", "SELECT video, frame, det_idx FROM detections WHERE frame % 25 = 0 AND frame < 1000", ("detections",))
+@frame("stride_sample", "SELECT video, frame, det_idx FROM detections WHERE frame % 25 = 0", ("detections",))
 def stride_sample(spark, sf_dir):
-    return adapter(spark, sf_dir, "detections").where("frame % 25 = 0 AND frame < 1000").select("video", "frame", "det_idx")
+    return adapter(spark, sf_dir, "detections").where("frame % 25 = 0").select("video", "frame", "det_idx")
 
 
 @relational("even_sample", "detections")
