@@ -58,11 +58,19 @@ def folder(spark: SparkSession) -> str:
     return _scratch[-1] if _scratch else shared_dir(spark)
 
 
+def passing(spark: SparkSession, path: str) -> str:
+    """path, which the driver deletes when its session ends, if nothing has before."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder (the innermost scratch) and read it back: cuts lineage, survives lost executors."""
+    """Write df to the shared folder (the innermost scratch) and read it back: cuts lineage, survives lost executors. The table goes with the session."""
     spark = df.sparkSession
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    passing(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -85,6 +93,7 @@ def staged(spark: SparkSession, stage, docs: DataFrame, sf_dir: str, name: str)
     with scratch(spark):
         out = stage(spark, docs, sf_dir)
         out.write.parquet(path)
+        passing(spark, path)
     return spark.read.schema(out.schema).parquet(path), path
 
 

@@ -26,7 +26,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, folder, joined_first, materialize, text_or_empty
+from .common import documents, folder, joined_first, materialize, passing, text_or_empty
 
 SPACE, SYMBOLS = "[\\x20\\x09-\\x0D]", "[#$%&*|]"
 LOST = {"good_lost": "good", "toxic_lost": "toxic"}
@@ -89,6 +89,7 @@ def edges(rows: DataFrame, filters: str) -> DataFrame:
     each = F.array(*(F.struct(F.lit(f).alias("filter"), *(F.col(f"{name}_{f}").alias(name) for name in names)) for f in filters))
     for passed, counts in walk(rows, filters, frozenset(), set()):
         counts.select("part", F.lit(mask(passed, filters)).alias("state"), "n", F.inline(each)).write.mode("append").parquet(path)
+    passing(rows.sparkSession, path)
     return rows.sparkSession.read.schema("part string, state int, n long, filter string, removed long, good_lost long, toxic_lost long, alone long").parquet(path)
 
 
