@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tagstream.llm import common, interaction, periodic, queries, simhash, toxicity
+from tagstream.llm import common, interaction, periodic, quality, queries, simhash, toxicity
 from tagstream.plans.graph import components
 
 SF = "/root/testdata/sf0.001"
@@ -316,3 +316,72 @@ def test_a_long_text_takes_no_class_away(spark, tmp_path, long_ones):
 
 def test_new_queries_are_registered():
     assert {"op11_simhash", "op12_periodic", "op13_interaction"} <= set(queries.QUERIES) and os.path.basename(interaction.__file__) == "interaction.py"
+
+
+# op9: an independent model, and the order of words
+
+
+def plain_symbols(text):
+    """The symbols of each word and of its end, with the three before them in the word."""
+    words = WORDS.findall(text)
+    for w, after in zip(words, [*words[1:], ""], strict=True):
+        own = [quality.char_class(c, i == 0) for i, c in enumerate(w)] + [0 if after[:1].isupper() else 63]
+        for i in range(len(own)):
+            yield tuple([0, 0, 0, *own][i : i + 4])
+
+
+def plain_kneser_ney(grams):
+    """P(last | before) by interpolated modified Kneser-Ney in plain Python; grams: tuples of four symbols."""
+    counts = {4: Counter(grams)}
+    for n in (3, 2, 1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+    discount = {}
+    for n, c in counts.items():
+        n1, n2, n3, n4 = (max(1, sum(v == k for v in c.values())) for k in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2)
+        discount[n] = [0] + [min(max(d, 0.05), most) for d, most in ((1 - 2 * y * n2 / n1, 0.95), (2 - 3 * y * n3 / n2, 1.9), (3 - 4 * y * n4 / n3, 2.9))]
+    totals = {n: Counter() for n in counts}
+    spare = {n: Counter() for n in counts}
+    for n, c in counts.items():
+        for g, v in c.items():
+            totals[n][g[:-1]] += v
+            spare[n][g[:-1]] += discount[n][min(v, 3)]
+
+    def p(g):
+        below = p(g[1:]) if len(g) > 1 else 1 / 64
+        n, context = len(g), g[:-1]
+        if not totals[n][context]:
+            return below
+        v = counts[n][g]
+        return max(0, v - discount[n][min(v, 3)]) / totals[n][context] + spare[n][context] / totals[n][context] * below
+
+    return p
+
+
+def test_perplexity_model_equals_a_plain_one(spark):
+    texts = [r.text for r in common.documents(spark, SF).where("lang = 'en' AND text IS NOT NULL").limit(12).collect()]
+    tables = quality.class_tables({})
+    grams = [g for t in texts for g in plain_symbols(t)]
+    code = np.concatenate([quality.codes(t, tables) for t in texts])
+    assert [int(x) for x in code] == [((a * 64 + b) * 64 + c) * 64 + d for a, b, c, d in grams] and 0 in {g[3] for g in grams}
+    levels, p = quality.kneser_ney(*np.unique(code, return_counts=True)), plain_kneser_ney(grams)
+    rng = np.random.default_rng(0)
+    tried = [grams[i] for i in rng.integers(0, len(grams), 300)] + [tuple(x) for x in rng.integers(0, 64, (300, 4)).tolist()] + [(0, 0, 0, k) for k in range(64)]
+    got = quality.log_probs(levels, np.array([((a * 64 + b) * 64 + c) * 64 + d for a, b, c, d in tried]))
+    assert np.allclose(got, np.log([p(g) for g in tried]), atol=1e-4)
+
+
+def test_texts_with_shuffled_words_are_rejected(spark):
+    """sf0.01: the good documents with their words in another order, under the bands of the documents as they are."""
+    docs = common.documents(spark, "/root/testdata/sf0.01")
+    good = {r.doc_id for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality = 1").collect()}
+    rng = random.Random(1)
+    mixed = [(10_000 + r.doc_id, " ".join(rng.sample(w := r.text.split(), len(w))), r.lang) for r in docs.collect() if r.doc_id in good and r.text]
+    counts = common.materialize(quality.count_codes(docs), "ngrams")
+    both = docs.select("doc_id", "text", "lang").unionByName(spark.createDataFrame(mixed, "doc_id long, text string, lang string"))
+    measured = common.materialize(quality.measure(both, counts), "measured")
+    bands = {r.lang: (r.lower, r.upper) for r in quality.bands(measured.where("doc_id < 10000")).collect()}
+    rows = [r for r in measured.where(~quality.base_failed()).collect() if r.log_ppl is not None and (r.doc_id >= 10_000 or r.doc_id in good)]
+    inside = {k: [bands[r.lang][0] <= r.log_ppl <= bands[r.lang][1] for r in rows if (r.doc_id >= 10_000) == k] for k in (False, True)}
+    assert np.mean(inside[False]) >= 0.97 and len(inside[True]) > 250, np.mean(inside[False])
+    assert np.mean(inside[True]) <= 0.6, np.mean(inside[True])
