@@ -29,7 +29,7 @@ from .common import WORD, documents, map_rows, materialize, schema, whole
 BLOCK_WORDS, LEAST_BLOCKS, SHARD_WORDS, LEAST_SHARDS = 1 << 20, 1024, 1 << 25, 64
 SEED, CAP = 17, 3
 #: Ranges of a source's permuted blocks; words on either side of the last further block whose documents may fill what is left.
-RANGES, NEAR_WORDS = 1024, 1 << 22
+RANGES, NEAR_WORDS = 1024, 1 << 18
 BROADCAST_ROWS = 200_000
 
 
@@ -124,7 +124,8 @@ def greedy(words: np.ndarray, room: np.ndarray, gap: float) -> np.ndarray:
 def singled(narrow: DataFrame, ordered: DataFrame, have: DataFrame, left: DataFrame, sources: int, seed: int) -> DataFrame:
     """idx_, doc_id, turn_ (number of the draw among them): single documents that fill what is left of each source, those of blocks of which no more is taken first.
     A source's candidates are at most twice NEAR_WORDS words and the blocks at the borders."""
-    near = ordered.where((F.abs(F.col("up_to_") - F.col("gap_")) <= NEAR_WORDS) & (F.col("full_") + F.col("more_") < CAP))
+    at_border = (F.col("up_to_") - F.col("words") <= F.col("gap_") + NEAR_WORDS) & (F.col("up_to_") >= F.col("gap_") - NEAR_WORDS)
+    near = ordered.where(at_border & (F.col("full_") + F.col("more_") < CAP))
     near = materialize(near.select(F.col("source").alias("b_s"), F.col("block_").alias("b_b"), "idx_", "more_", (CAP - F.col("full_") - F.col("more_")).alias("room_")), "near")
     pool = joined(narrow.where("size_ > 0"), near, F.col("source").eqNullSafe(F.col("b_s")) & (F.col("block_") == F.col("b_b")), near.count())
     pool = pool.groupBy("idx_", "doc_id").agg(F.sum("size_").alias("words"), F.first("room_").alias("room_"), F.first("more_").alias("more_"))
