@@ -57,13 +57,13 @@ def images_of(x: list[bytes]) -> np.ndarray:
 
 def score(images: DataFrame, w: net.Weights, key: str = "crop_id", size: int = net.SIZE) -> DataFrame:
     """key, digit, confidence, angle of every image; nulls where it can't be decoded. A worker holds one copy of the weights."""
-    return scored(prepared(images, size, key).withColumn("fold", F.lit(0)), [w], key)
+    return scored(prepared(images, size, key).withColumn("fold", F.lit(0)), [w], key).drop("model")
 
 
 def scored(rows: DataFrame, models: list[net.Weights], key: str) -> DataFrame:
-    """From key, x, fold: key, digit, confidence, angle by the fold's model."""
+    """From key, x, fold (the number of the model): key, digit, confidence, angle, model."""
     shared = rows.sparkSession.sparkContext.broadcast(models)
-    out = pa.schema([("key", pa.int64()), ("digit", pa.int32()), ("confidence", pa.float64()), ("angle", pa.float64())])
+    out = pa.schema([("key", pa.int64()), ("digit", pa.int32()), ("confidence", pa.float64()), ("angle", pa.float64()), ("model", pa.int32())])
 
     def run(batches):
         for batch in batches:
@@ -75,9 +75,9 @@ def scored(rows: DataFrame, models: list[net.Weights], key: str) -> DataFrame:
                     part = at[k : k + SCORED]
                     for i, r in zip(part, zip(*(c.tolist() for c in net.classify(shared.value[int(f)], images_of([x[i] for i in part]))), strict=True), strict=True):
                         found[i] = r
-            yield pa.record_batch([batch["key"].cast(pa.int64()), *(pa.array(c, t.type) for c, t in zip(zip(*found, strict=True), list(out)[1:], strict=True))], schema=out) if x else pa.record_batch([pa.array([], t.type) for t in out], schema=out)
+            yield pa.record_batch([batch["key"].cast(pa.int64()), *(pa.array(c, t.type) for c, t in zip(zip(*found, strict=True), list(out)[1:4], strict=True)), batch["fold"].cast(pa.int32())], schema=out) if x else pa.record_batch([pa.array([], t.type) for t in out], schema=out)
 
-    kinds = "key long, digit int, confidence double, angle double"
+    kinds = "key long, digit int, confidence double, angle double, model int"
     return rows.select(F.col(key).alias("key"), "x", F.col("fold").cast("int").alias("fold")).mapInArrow(run, kinds).withColumnRenamed("key", key)
 
 
@@ -175,14 +175,28 @@ class Adam:
         return out
 
 
-def train(batches: DataFrame, held_out: list[int | None], epochs: int = 25, steps: int = 1, rate: float = 1e-3, seed: int = 42, channels: tuple[int, ...] = net.CHANNELS, classes: int = net.CLASSES) -> tuple[list[net.Weights], list[tuple]]:
+def evaluated(rows: DataFrame, models: list[net.Weights], held_out: list[int | None], key: str = "crop_id") -> dict[int, tuple[float, float | None]]:
+    """For each model: the share of its held-out fold's rows (all rows, where it has none) whose digit it finds, and the mean error of the angles that count, in degrees."""
+    of = F.array(*(F.lit(k) for k, f in enumerate(held_out) if f is None), *(F.when(F.col("fold") == f, k) for k, f in enumerate(held_out) if f is not None))
+    own = rows.where("x is not null").withColumn("fold", F.explode(F.array_compact(of)))
+    found = scored(own, models, key).select(F.col(key).alias("found_key"), F.col("digit").alias("found"), F.col("angle").alias("found_angle"), "model")
+    both = own.join(found, (F.col(key) == F.col("found_key")) & (F.col("fold") == F.col("model")))
+    off = F.abs(F.pmod(F.col("found_angle") - F.col("angle") + 180, F.lit(360)) - 180)
+    sums = both.groupBy("model").agg(F.avg((F.col("found") == F.col("digit")).cast("double")).alias("right"), F.avg(F.when(F.col("valid"), off)).alias("off"))
+    return {r.model: (r.right, r.off) for r in sums.collect()}
+
+
+def train(
+    batches: DataFrame, held_out: list[int | None], epochs: int = 25, steps: int = 1, rate: float = 1e-3, seed: int = 42, channels: tuple[int, ...] = net.CHANNELS, classes: int = net.CLASSES, check: DataFrame | None = None,
+) -> tuple[list[net.Weights], list[tuple]]:
     """A model for each entry of held_out, of all rows but that fold's (None: of all rows), and (epoch, model, digit loss, direction loss) of each epoch.
-    An epoch takes `steps` steps, each over the batches that fall to it by hash."""
+    An epoch takes `steps` steps, each over the batches that fall to it by hash. With rows to check against (as evaluated() takes them), each
+    model is the one after its best epoch, the first of equals, and the log's entries go on with the share of digits found and the angles' error."""
     spark = batches.sparkSession
     weights = class_weights(batches, held_out, classes)
     models = [net.initial(seed + (f or 0), channels, classes) for f in held_out]
     movers = [Adam(w, rate) for w in models]
-    log = []
+    log, best = [], [(-1.0, w) for w in models]
     with arrow_rows(spark, ROWS):
         for epoch in range(epochs):
             seen = np.zeros((len(models), 3))
@@ -193,10 +207,15 @@ def train(batches: DataFrame, held_out: list[int | None], epochs: int = 25, step
                         n, digit, turn, g = found
                         seen[m] += n, n * digit, n * turn
                         models[m] = movers[m].move(models[m], g)
-            log += [(epoch, m, *(s[1:] / max(1, s[0])).tolist()) for m, s in enumerate(seen)]
-    return models, log
+            now = [(epoch, m, *(s[1:] / max(1, s[0])).tolist()) for m, s in enumerate(seen)]
+            if check is not None:
+                found = evaluated(check, models, held_out)
+                now = [(*entry, *found.get(m, (0.0, None))) for m, entry in enumerate(now)]
+                best = [(entry[4], w) if entry[4] > b[0] else b for entry, w, b in zip(now, models, best, strict=True)]
+            log += now
+    return models if check is None else [w for _, w in best], log
 
 
 def out_of_fold(rows: DataFrame, models: list[net.Weights], key: str = "crop_id") -> DataFrame:
     """key, digit, confidence, angle of each row with a fold, by the model that did not see this fold."""
-    return scored(rows.where(F.col("fold") >= 0), models, key)
+    return scored(rows.where(F.col("fold") >= 0), models, key).drop("model")

@@ -192,3 +192,54 @@ def test_class_weights(spark, tmp_path):
     batches = classifier.write_batches(spark.createDataFrame(rows, FIELDS), str(tmp_path / "b"))
     got = classifier.class_weights(batches, [None, 0], 3)
     assert got[0] == pytest.approx([9 / 18, 9 / 3, 9 / 6]) and got[1] == pytest.approx([5 / 9, 5 / 3, 5 / 3])
+
+
+def test_crops_are_the_pixels_of_the_padded_boxes(spark):
+    from tagstream.operators import crops as c
+    from tagstream.plans.dialect import adapter
+
+    boxes = adapter(spark, SF, "detections").where("video = 1 AND frame < 30")
+    wanted = {(r.video, r.frame, r.det_idx): (r.px1, r.py1, r.px2, r.py2) for r in catalog.QUERIES["crop_padded"](spark, SF).where("video = 1 AND frame < 30").collect()}
+    frames = sorted({k[1] for k in wanted})
+    pictures = {f: image(f, 360, 640) for f in frames[:-1]}
+    rows = [(1, f, 360, 640, 3, p.tobytes()) for f, p in pictures.items()] + [(1, frames[-1], 360, 640, 3, b"short")]
+    images = spark.createDataFrame(rows, "video long, frame long, height int, width int, nChannels int, data binary").repartition(3)
+    odd = spark.createDataFrame([(1, frames[0], 900, 50.0, 50.0, 50.0, 60.0), (1, frames[0], 901, None, 1.0, 2.0, 3.0), (1, frames[0], 902, 700.0, 0.0, 800.0, 9.0)], "video long, frame long, det_idx long, x1 double, y1 double, x2 double, y2 double")
+    got = c.cropped(images, boxes.select(odd.columns).unionByName(odd)).collect()
+    assert {(r.video, r.frame, r.det_idx) for r in got} == {k for k in wanted if k[1] != frames[-1]} and len(got) > 20
+    for r in got:
+        x0, y0, x1, y1 = wanted[(r.video, r.frame, r.det_idx)]
+        assert (r.x0, r.y0, r.width, r.height) == (x0, y0, x1 - x0, y1 - y0) and r.data == pictures[r.frame][y0:y1, x0:x1].tobytes()
+    assert c.enlarged(image(1, 30, 20)).shape == (150, 100, 3) and c.enlarged(image(1, 200, 20)).shape == (200, 20, 3)
+
+
+def test_contact_sheets(spark):
+    from tagstream.operators import crops as c
+
+    rows = [(k, 10 + k, 20, 3, image(k, 10 + k, 20).tobytes()) for k in range(15)] + [(16, 4, 4, 3, b"short")]
+    got = {r.sheet: r for r in c.contact_sheets(spark.createDataFrame(rows, "place long, height int, width int, nChannels int, data binary").repartition(3), per_sheet=8).collect()}
+    assert {k: (r.height, r.width) for k, r in got.items()} == {0: (400, 1320), 1: (400, 1320), 2: (200, 1320)}
+    sheets = {k: np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, 3) for k, r in got.items()}
+    assert (sheets[2] == 255).all()
+    for k, h, w, _, data in rows[:15]:
+        small = c.thumbnail(pixels.decoded(data, h, w, 3))
+        assert small.shape[0] <= 160 and small.shape[1] <= 210 and max(small.shape[0] / 160, small.shape[1] / 210) > 0.98
+        y, x = k % 8 // 6 * 200, k % 8 % 6 * 220
+        cell = sheets[k // 8][y : y + 200, x : x + 220]
+        assert (cell[5 : 5 + small.shape[0], 5 : 5 + small.shape[1]] == small).all() and (cell[:5] == 255).all() and (cell[5 + small.shape[0] :] == 255).all()
+    for n, size in ((13, 64), (64, 9), (1, 8)):
+        assert np.allclose(pixels.linear(n, size).sum(1), 1)
+
+
+def test_the_best_epoch_is_kept(spark, tmp_path):
+    df = spark.createDataFrame(crops(90), FIELDS).repartition(2)
+    batches = classifier.write_batches(df, str(tmp_path / "b"), per_batch=16)
+    models, log = classifier.train(batches, [0, None], epochs=4, rate=0.02, channels=(3,), classes=2, check=df)
+    for m, fold in ((0, 0), (1, None)):
+        found = {r.crop_id: r for r in classifier.scored(df.withColumn("fold", F.lit(m)), models, "crop_id").collect()}
+        own = [r for r in crops(90) if fold is None or r[5] == fold]
+        right = np.mean([found[r[0]].digit == r[2] for r in own])
+        off = np.mean([abs((found[r[0]].angle - r[3] + 180) % 360 - 180) for r in own if r[4]])
+        entries = [e for e in log if e[1] == m]
+        best = max(entries, key=lambda e: (e[4], -e[0]))
+        assert len(entries) == 4 and abs(best[4] - right) < 1e-9 and abs(best[5] - off) < 1e-6
