@@ -9,9 +9,9 @@ mean value of all text are selected. The article is the smallest
 element that holds all selected units, and all text in it is returned. Of an element that holds more than the
 article (menus, say), only the parts that hold selected units are.
 
-Names break ties. Of selected units, those in a part that is called sidebar, comments, notice and the like, by
+Names come after. Of selected units, those in a part that is called sidebar, comments, notice and the like, by
 element or by the head word of a class, id or role, do not count, unless little is selected outside of it: then
-the name is taken to mislead. An article or main element that holds half of what is selected is the article.
+the name is taken to mislead. Parts called search, social, share and the like go by their ratio, which the name moves. An article or main element that holds half of what is selected is the article.
 
 Cases: null html is empty; a page without such text gives an empty string; unclosed elements, comments, scripts
 and quoted values end where the standard ends them (a page that ends inside a tag ends before it); stray
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import map_rows, schema
 
-LEAST, REACH, TRUST_CHARS, TRUST_SHARE = 0.3, 2, 200, 0.25
+LEAST, REACH, TRUST_CHARS, TRUST_SHARE, TIP, OUTER = 0.3, 2, 200, 0.25, 2.0, 0.6
 
 # Element names of the HTML standard, by how they are treated here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -50,6 +50,8 @@ MARKS = frozenset(
     "reply replies respond related recommended share sharing social widget login search pagination pager toolbar skip contentinfo complementary dialog form".split()
 )
 HEADERS = frozenset(["header", "topbar"])
+# Of these, names of parts that hold text of the article often enough: such a part goes by its ratio, which counts TIP times in an article or main element, OUTER times elsewhere.
+TIPPED = frozenset("search social share sharing dialog widget alert".split())
 # Words after the one that says what a part is (ad-slot, comment-list), and before it, if it says what a page has (no-sidebar).
 PLACES = frozenset("area areas articles bar block body bottom box buttons button container content group icons inner item items left link links list main outer panel posts right section slot top trail unit wrap wrapper".split())
 STATES = frozenset("disable disabled enable enabled has have hide is no non not show with without".split())
@@ -65,11 +67,11 @@ _KERNEL = [math.exp(-k * k / 2) for k in range(-REACH, REACH + 1)]
 class Element:
     """number, last: place of the element and of its last descendant in page order. mark: the nearest marked element around it or itself; holder: the same for article and main."""
 
-    __slots__ = ("tag", "parent", "number", "last", "block", "path", "never", "article", "link", "mark", "holder")
+    __slots__ = ("tag", "parent", "number", "last", "block", "path", "never", "article", "link", "mark", "holder", "tipped")
 
     def __init__(self, tag, parent, number, path):
         self.tag, self.parent, self.number, self.path, self.last = tag, parent, number, path, math.inf
-        self.block = parent.block if tag in INLINE else self
+        self.block, self.tipped = parent.block if tag in INLINE else self, False
         self.never, self.article, self.link, self.mark, self.holder = (parent.never, parent.article, parent.link or tag == "a", parent.mark, parent.holder) if parent else (False, False, False, None, None)
 
 
@@ -155,6 +157,7 @@ class Reader:
             named = ("class", "role") if parent.article and (tag == "p" or tag in HEADINGS) else ("class", "id", "role")
             heads = {head(x) for k in named for x in a.get(k, "").split()}
             mark = bool(heads & MARKS) or bool(heads & HEADERS) and not parent.article
+            e.tipped = mark and parent.mark is None and not heads & (MARKS - TIPPED | HEADERS)
         if mark:
             e.mark = e
         e.never = parent.never or tag in NEVER or bool(a) and ("hidden" in a or a.get("aria-hidden", "").lower() == "true" or "display:none" in a.get("style", "").replace(" ", "").lower())
@@ -256,8 +259,8 @@ def smoothed(values: list[float]) -> list[float]:
     return out
 
 
-def select(units: list[Unit], least: float = LEAST) -> list[bool]:
-    """Whether the path of each unit is selected by its fused, smoothed ratios."""
+def select(units: list[Unit], least: float = LEAST) -> tuple[list[bool], list[bool]]:
+    """Whether the path of each unit is selected by its fused, smoothed ratios, and whether it is where they count TIP or OUTER times."""
     stats: dict[int, list[float]] = {}
     for u in units:
         s = stats.setdefault(u.element.path, [0, 0, 0, 0, 0, 0.0])
@@ -273,7 +276,7 @@ def select(units: list[Unit], least: float = LEAST) -> list[bool]:
         value[p] = math.sqrt((c / k) * (1 + m / k) * (total / k)) * (1 + math.sqrt(spread)) * (1 - links / c)
     own = sum(u.chars - u.links for u in units)
     bar = least * sum(value[u.element.path] * (u.chars - u.links) for u in units) / own if own else 0.0
-    return [value[p] >= bar and value[p] > 0 for p in paths]
+    return [value[p] >= bar and value[p] > 0 for p in paths], [(TIP if u.element.article else OUTER) * value[u.element.path] >= bar and value[u.element.path] > 0 for u in units]
 
 
 def misleading(units: list[Unit], chosen: list[bool], elements: list[Element]) -> set[int]:
@@ -359,14 +362,14 @@ def main_text(page: str | None, least: float = LEAST) -> str:
     units, elements = reader.units, reader.elements
     if not units:
         return ""
-    chosen = select(units, least)
+    chosen, clear = select(units, least)
     ours = misleading(units, chosen, elements)
     beside = {}
     for e in elements:
         if e.mark is e:
             outer = e.parent.mark
             beside[e.number] = e.number not in ours or outer is not None and beside[outer.number]
-    marked = [u.element.mark is not None and beside[u.element.mark.number] for u in units]
+    marked = [u.element.mark is not None and beside[u.element.mark.number] and not (c and u.element.mark.tipped) for u, c in zip(units, clear, strict=True)]
     chosen = [ok and not m for ok, m in zip(chosen, marked, strict=True)]
     if not any(chosen):  # nothing stands out
         chosen = [not m and u.links < u.chars for u, m in zip(units, marked, strict=True)]

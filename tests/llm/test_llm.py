@@ -576,6 +576,17 @@ def test_html_pages_without_article_and_with_misleading_names():
         assert html.main_text(page) == html.main_text(around.format(page)) == "\n".join(long)
 
 
+def test_html_names_that_only_move_the_ratio():
+    long = "A long sentence, with words and marks, to read; it goes on for a while, and then it ends."
+    text = [f"{long} {k}{' more' * (k % 4)}" for k in range(5)]
+    body = "".join(f"<p>{t}</p>" for t in text)
+    kept = html.main_text(f"<article>{body}<section class=search><p>{long}</p></section></article>")
+    assert kept == "\n".join([*text, long])
+    assert html.main_text(f"<article>{body}<div class=share><a href=x>Share</a></div><div class=social><p>Follow us</p></div></article>") == "\n".join(text)
+    assert html.main_text(f"<body><div class=social>{body}</div><div class=sidebar>{body}</div>") == "\n".join(text)
+    assert html.main_text(f"<article>{body}<section class=comments><p>{long}</p></section></article>") == "\n".join(text)
+
+
 @pytest.mark.parametrize("page", ["<a " * 350_000, "<p>x" + "<a " + '"x" ' * 250_000, '<a ="x ' * 150_000, "<div>" * 100_000 + "<p>x", "<div>x" * 100_000, "<b><table>" + "<i>x" * 50_000 + "</b>" * 50_000, "<div class='comments'>x" * 50_000, "<article>x" * 50_000, "<p " + "= " * 300_000 + ">x", "<li>x" * 100_000, "<p a" + " " * 500_000, "<" * 500_000, "<!--" * 200_000], ids=range(13))
 def test_html_takes_time_in_proportion(page):
     start = time.process_time()
