@@ -40,8 +40,7 @@ def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     h = np.minimum(a[:, None, 3], b[None, :, 3]) - np.maximum(a[:, None, 1], b[None, :, 1])
     both = np.maximum(w, 0) * np.maximum(h, 0)
     size = lambda x: (x[:, 2] - x[:, 0]) * (x[:, 3] - x[:, 1])
-    with np.errstate(invalid="ignore", divide="ignore"):
-        return np.nan_to_num(both / (size(a)[:, None] + size(b)[None] - both))
+    return np.divide(both, size(a)[:, None] + size(b)[None] - both, out=np.zeros_like(both), where=both > 0)
 
 
 def directions(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -80,22 +79,23 @@ def assign(gain: np.ndarray) -> list[tuple[int, int]]:
 def predict(m: np.ndarray) -> None:
     """m: position, velocity and their variances and covariance (position, both, velocity), each (tracks, 4). The area stays above 0."""
     x, v, pp, pv, vv = m
-    v[x[:, 2] + v[:, 2] <= 0, 2] = 0
+    shrinks = x[:, 2] + v[:, 2] <= 0
+    if shrinks.any():
+        v[shrinks, 2] = 0
     x += v
-    pp += 2 * pv + vv + DRIFT
+    pp += pv
+    pp += pv
+    pp += vv
+    pp += DRIFT
     pv += vv
     vv += TURN
 
 
 def correct(m: np.ndarray, z: np.ndarray) -> None:
-    x, v, pp, pv, vv = m
-    total = pp + SEEN
-    kx, kv, off = pp / total, pv / total, z - x
-    x += kx * off
-    v += kv * off
-    vv -= kv * pv
-    pv *= 1 - kx
-    pp *= 1 - kx
+    gain = m[2:4] / (m[2] + SEEN)
+    m[:2] += gain * (z - m[0])
+    m[4] -= gain[1] * m[3]
+    m[2:4] *= 1 - gain[0]
 
 
 class Association:
@@ -187,14 +187,17 @@ class Association:
     def anew(self, m: np.ndarray, before: np.ndarray, after: np.ndarray, gap: np.ndarray) -> np.ndarray:
         """The states as predicted for the new boxes, had the tracks gone straight from their last boxes to these."""
         whole = lambda b: np.stack([(b[:, 0] + b[:, 2]) / 2, (b[:, 1] + b[:, 3]) / 2, b[:, 2] - b[:, 0], b[:, 3] - b[:, 1]], axis=1)
-        a, step = whole(before), (whole(after) - whole(before)) / gap[:, None]
-        m, out = m.copy(), np.empty_like(m)
-        for k in range(1, int(gap.max()) + 1):
-            predict(m)
-            end = gap == k
-            out[:, end] = m[:, end]
-            b = a + k * step
-            correct(m, np.stack([b[:, 0], b[:, 1], b[:, 2] * b[:, 3], b[:, 2] / (b[:, 3] + 1e-6)], axis=1))
+        order = np.argsort(-gap, kind="stable")  # the tracks that go on come first
+        m, gap, a, b = m[:, order], gap[order], whole(before[order]), whole(after[order])
+        way = a + np.arange(1, gap[0])[:, None, None] * ((b - a) / gap[:, None])
+        z = np.stack([way[..., 0], way[..., 1], way[..., 2] * way[..., 3], way[..., 2] / (way[..., 3] + 1e-6)], axis=2)
+        left = np.searchsorted(-gap, -np.arange(gap[0] + 1)).tolist()  # tracks with a longer gap
+        for k in range(gap[0]):
+            predict(m[:, : left[k]])
+            if left[k + 1]:
+                correct(m[:, : left[k + 1]], z[k, : left[k + 1]])
+        out = np.empty_like(m)
+        out[:, order] = m
         return out
 
     def start(self, boxes: np.ndarray) -> None:
