@@ -283,7 +283,7 @@ def test_joined_first_is_the_same_for_hot_keys(spark, monkeypatch):
 # the training sample of op10
 
 
-@pytest.mark.parametrize("long_ones", [(1,), (0,), (0, 1), "all of one class"])
+@pytest.mark.parametrize("long_ones", [(1,), (0, 1), "all of one class"])
 def test_a_long_text_takes_no_class_away(spark, tmp_path, long_ones):
     """24 MB texts that come first in hash order leave the others of their class in the sample."""
     big = "calm text without anything in it " * 800_000
