@@ -79,7 +79,9 @@ class Folder:
         found = []
         for name, last in sorted(end.items()):
             first = start.get(name, 0)
-            if first >= last:
+            if first > last:
+                raise ValueError(f"{name}: {first} frames were read, {last} are there")
+            if first == last:
                 continue
             if name not in self.known or self.known[name].frames < last:
                 self.look()

@@ -128,7 +128,9 @@ def test_restart_repeats_and_loses_no_frame(spark, folder):
     (folder / "in" / "a.mp4").write_bytes(written([picture("a", k) for k in range(50)]))  # goes on
     (folder / "in" / "d.mp4").write_bytes(written([picture("d", k) if k != 7 else b"damaged" for k in range(20)]))  # ends
     assert run() == {"a.mp4": (50, 50, 49), "b.mp4": (41, 41, 40), "d.mp4": (7, 7, 6)}
-    assert run() == {"a.mp4": (50, 50, 49), "b.mp4": (41, 41, 40), "d.mp4": (7, 7, 6)}
+    (folder / "in" / "b.mp4").write_bytes(written([picture("b", k) for k in range(5)]))  # lost frames
+    with pytest.raises(Exception, match="41 frames were read, 5 are there"):
+        run()
 
 
 def test_videos_and_images_appear_whole_or_not_at_all(spark, tmp_path):
