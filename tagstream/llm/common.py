@@ -169,13 +169,23 @@ def worker_state(kind: str, version: str) -> dict:
     return kept[kind][1]
 
 
+def trim() -> None:
+    """Give what earlier tasks of this worker have freed back to the system: workers are used again, and allocators keep it."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def forget(kind: str) -> None:
     """Give up what a worker keeps of a kind: the caches of one operator are no use to the next."""
     import sys
 
     kept = sys.modules.get("_tagstream_worker")
-    if kept is not None and kept.__dict__.pop(kind, None):
-        pa.default_memory_pool().release_unused()
+    if kept is not None:
+        kept.__dict__.pop(kind, None)
+    trim()
 
 
 #: Keys that joined_first broadcasts: those with more than one of FREQUENT rows. There are fewer of them, whatever the table.

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import bounded, documents, schema, slices, worker_state
+from .common import bounded, documents, schema, slices, trim, worker_state
 
 CAPACITY, END = 4096, 2
 VOCABULARY = "word_bpe_49k.json"
@@ -354,6 +354,7 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: int =
     bounded(df.sparkSession)
 
     def run(batches):
+        trim()
         words = WordIds(path, worker_state("packing", path))
         packer = Packer(capacity, TaskContext.get().partitionId() << 40)
 
