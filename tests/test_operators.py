@@ -459,3 +459,21 @@ def test_top_up_goes_on_after_gaps(spark):
     got = sorted(map(tuple, turns(real, before, ["5", "7"], 8).select("digit", "source_crop_id", "aug_index").collect()))
     assert got == [("5", 1, 5), ("5", 1, 6), ("5", 2, 0), ("5", 2, 1), *(("7", 3, k) for k in range(6))]
     assert sorted((r.digit, r.source_crop_id) for r in turns(real, before, ["7"], None).collect()) == [("7", 3)]  # the mean of 23 rows over 9 classes is 3
+
+
+def sql_and_query(spark, folder, name, **tables):
+    """The rows of a query and of its SQL over these tables (column -> values)."""
+    c = duckdb.connect()
+    for t, cols in tables.items():
+        given = pd.DataFrame(cols)  # noqa: F841
+        c.execute(f"COPY (SELECT * FROM given) TO '{folder}/{t}.parquet'")
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    df = catalog.QUERIES[name](spark, str(folder))
+    found = c.execute(catalog.SQL[name])
+    return rows(df.columns, df.collect()), rows([x[0] for x in found.description], found.fetchall())
+
+
+def test_rate_of_rows_that_took_no_time(spark, tmp_path):
+    at = pd.Timestamp("2024-01-01").as_unit("us") + pd.to_timedelta(range(6), unit="s").as_unit("us")
+    got, want = sql_and_query(spark, tmp_path, "fps_ma", events={"event_id": range(6), "ts": at, "user_id": [1, 1, 1, 2, 2, 2], "event_type": "view", "value": [0.0, 0.0, 20.0, 5.0, 0.0, 1.0], "props": ""})
+    assert got == want and sum("inf" in r for r in got) == 2
