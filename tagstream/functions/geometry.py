@@ -39,9 +39,5 @@ def clamped(lo: str, hi: str, pad: float, most: int) -> tuple[Column, Column]:
     return F.greatest(F.lit(0), (F.col(lo) - side).cast("int")), F.least(F.lit(most), (F.col(hi) + side).cast("int"))
 
 
-def relative_angle(dy, dx, ref) -> Column:
-    return F.pmod(F.atan2(dy, dx) - ref, F.lit(2) * F.pi())
-
-
 def hamming(a, b) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))

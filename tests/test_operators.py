@@ -477,3 +477,10 @@ def test_rate_of_rows_that_took_no_time(spark, tmp_path):
     at = pd.Timestamp("2024-01-01").as_unit("us") + pd.to_timedelta(range(6), unit="s").as_unit("us")
     got, want = sql_and_query(spark, tmp_path, "fps_ma", events={"event_id": range(6), "ts": at, "user_id": [1, 1, 1, 2, 2, 2], "event_type": "view", "value": [0.0, 0.0, 20.0, 5.0, 0.0, 1.0], "props": ""})
     assert got == want and sum("inf" in r for r in got) == 2
+
+
+def test_beads_on_the_axis(spark, tmp_path):
+    parts = [310151, 312343, 315260, 337145, 338727, 337211, 332853, 334937, 323331]
+    beads = {"l_orderkey": [2294438] * 3 + [2491480] * 6, "l_linenumber": [1, 2, 3, 1, 2, 3, 4, 5, 6], "l_partkey": parts, "l_suppkey": [15735, 15694, 15068, 16377, 16834, 16092, 16751, 16931, 16764]}
+    got, want = sql_and_query(spark, tmp_path, "position_rank", lineitem=beads | {"l_quantity": 1.0, "l_extendedprice": 1.0, "l_discount": 0.0, "l_shipdate": pd.Timestamp("2024-01-01").as_unit("us")})
+    assert got == want
