@@ -6,7 +6,8 @@ belong to one template when they agree in half of their places:
   1. Equal masked lines are one, with its documents counted. Branches of more than one such line are looked at (Spark counts them); their lines' tokens are read.
   2. The places after the leading two are dealt to four quarters in turn. Lines of a leaf that agree in a quarter are candidates: three
      changing fields leave a quarter alone, wherever they are. They are compared token by token: with the first of them, and those
-     that are unlike it with all. More than GROUP candidates are cut into slices by hash, which all get the line of the smallest document.
+     that are unlike it with all. More than GROUP candidates are cut into slices by hash, which all get the line of the smallest document;
+     lines that are then outside of the candidates' largest template are compared, in blocks, with the other templates' lines of every slice.
   3. Alike lines are joined up to templates by the shared component code; where their tokens differ is learnt: templates()
      gives the tokens that all of them share and a mark for each that varies.
 Lines of under LONG tokens must agree everywhere. Consecutive lines (those without words aside) that reach LONG_RUN tokens only
@@ -252,6 +253,35 @@ def alike(cols: dict, start: np.ndarray, size: np.ndarray):
             yield h[part[a]], h[b]
 
 
+def apart(cols: dict, start: np.ndarray, size: np.ndarray):
+    """(h, h) arrays of lines of either side that agree in half of their places and are of different templates c."""
+    for s, k in zip(start.tolist(), size.tolist(), strict=True):
+        codes, h, c = (cols[n][s : s + k] for n in ("codes", "h", "c"))
+        m, n = int(np.searchsorted(cols["side"][s : s + k], 1)), np.array([len(x) for x in codes])
+        for length in np.intersect1d(n[:m], n[m:]).tolist():
+            left, right = np.flatnonzero(n[:m] == length), m + np.flatnonzero(n[m:] == length)
+            x, y = (np.frombuffer(b"".join(codes[at]), np.uint32).reshape(len(at), -1) for at in (left, right))
+            step = max(1, CELLS // y.size)
+            for i in range(0, len(x), step):
+                a, b = np.nonzero(2 * (x[i : i + step, None] == y[None]).sum(2) >= x.shape[1])
+                a, b = left[i + a], right[b]
+                other = c[a] != c[b]
+                yield h[a[other]], h[b[other]]
+
+
+def across(large: DataFrame, first: DataFrame, tokens: DataFrame) -> DataFrame:
+    """a, b: links of lines of one sliced group (sub, slices, slice, h) that `first` leaves in different templates: one of them at least is outside of the group's largest."""
+    joined = components(first, materialize).select(F.col("node").alias("h"), "component")
+    named = materialize(large.join(joined, "h", "left").select("sub", "slices", "slice", "h", F.coalesce("component", "h").alias("c")), "named")
+    top = named.groupBy("sub", "c").agg(F.count("*").alias("k")).groupBy("sub").agg(F.max_by("c", F.struct("k", "c")).alias("top"), F.sum("k").alias("rows"), (F.sum("k") - F.max("k")).alias("minor"))
+    top = materialize(top.where("minor > 0").withColumn("blocks", F.ceil(F.col("minor") / GROUP).cast("int")), "top")
+    named = joined_first(named, top, "sub").where("top is not null")
+    pick = lambda df, block, slice_, side: df.select("sub", block.alias("block"), slice_.alias("slice"), F.lit(side).alias("side"), "h", "c")
+    left = pick(named.where("c <> top").withColumn("block", F.pmod(F.xxhash64(F.lit(5), "h"), F.col("blocks")).cast("int")), F.col("block"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)), 0)
+    right = pick(named, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), F.col("slice"), 1)
+    return by_cell(left.unionByName(right).join(tokens.select("h", "codes"), "h"), ["sub", "block", "slice"], apart)
+
+
 def generalised(plain: DataFrame, lines: DataFrame, max_keys: int) -> DataFrame | None:
     """h, template of the long lines that are like others; None if there are none. lines: h, first, branches of each distinct long line."""
     rows = lines.select("h", "first", F.posexplode("branches").alias("depth", "branch"))
@@ -266,10 +296,13 @@ def generalised(plain: DataFrame, lines: DataFrame, max_keys: int) -> DataFrame
     rows = materialize(rows, "candidates")
     firsts = rows.groupBy("sub").agg(F.count("*").alias("rows"), F.min_by("h", F.struct(F.col("first").isNull(), "first", "h")).alias("rep")).where("rows > 1")
     firsts = materialize(firsts.withColumn("slices", F.ceil(F.col("rows") / GROUP).cast("int")), "groups")
-    rows = joined_first(rows, firsts, "sub").where("rep is not null").select("sub", F.pmod(F.xxhash64("h"), F.col("slices")).cast("int").alias("slice"), "h")
-    also = firsts.where("slices > 1").select("sub", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.col("rep").alias("h"))
-    rows = rows.unionByName(also).distinct().join(tokens.select("h", "codes"), "h")
-    links = materialize(by_cell(rows, ["sub", "slice"], alike), "alike")
+    rows = joined_first(rows, firsts, "sub").where("rep is not null").select("sub", "slices", F.pmod(F.xxhash64("h"), F.col("slices")).cast("int").alias("slice"), "h")
+    large = firsts.where("slices > 1")
+    also = large.select("sub", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.col("rep").alias("h"))
+    sliced = rows.drop("slices").unionByName(also).distinct().join(tokens.select("h", "codes"), "h")
+    links = materialize(by_cell(sliced, ["sub", "slice"], alike), "alike")
+    if large.limit(1).count():
+        links = materialize(links.unionByName(across(rows.where("slices > 1"), links, tokens)), "alike")
     return components(links, materialize).select(F.col("node").alias("h"), F.col("component").alias("template"))
 
 

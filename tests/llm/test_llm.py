@@ -519,6 +519,18 @@ def test_templates_leave_unlike_lines_alone(spark):
         assert {r.doc_id for r in dedup(df, most) if r.n_dropped} == {40, 41, 42, 43, 44, 45}
 
 
+def test_templates_of_lines_in_different_slices(spark, monkeypatch):
+    """Lines that agree in half of their places, and in one quarter only, which very many lines share."""
+    rng = np.random.default_rng(9)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 7))
+    lines = [["the", "log", *("same" if p % 4 == 0 else word() for p in range(18))] for _ in range(60)]
+    like = [[*lines[k][:6], *("same" if p % 4 == 0 else word() for p in range(4, 18))] for k in range(20, 60)]
+    df = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate([*lines, *like])], "doc_id long, text string")
+    monkeypatch.setattr(templates, "GROUP", 8)
+    shown = {r.template for r in templates.templates(df).where("docs = 2").collect()}
+    assert shown == {" ".join([*x[:6], *("same" if p % 4 == 0 else "<*>" for p in range(4, 18))]) for x in lines[20:]}
+
+
 def test_html_article():
     page = """<html><head><title>T</title></head><body><header>Site</header><nav><ul><li><a href=x>Menu</a></ul></nav><div class="cookie-notice">We use cookies.</div>
     <article><h1>A &amp; B</h1><p><b>First one, here.<br>then<p>Second &lt;two&gt;<div class="ad">Buy!</div><section class="comments"><p>Nice post.</p></section></article>
