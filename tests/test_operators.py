@@ -4,6 +4,7 @@ import pandas as pd
 import pytest
 
 from tagstream import catalog
+from tagstream.operators import windows
 from tagstream.operators.dedup import crop_pairs, crops_by_band, hamming_pairs, lead
 from tagstream.operators.identity import follow, track_video
 from tagstream.operators.spatial import suppress
@@ -501,3 +502,14 @@ def test_pairs_across_bands(spark):
     rows = [(k, 0, f, h) for k, (f, h) in enumerate([(252, 1), (253, 1), (255, 3), (256, 1), (256, 0), (258, 1), (512, 1), (515, 0), (516, 1)])]
     got = [tuple(r) for r in hamming_pairs(spark.createDataFrame(rows, "crop_id long, video long, frame long, hash long")).collect()]
     assert sorted(got) == [(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and abs(a[2] - b[2]) <= 3]
+
+
+def test_spans_are_cut_into_few_cells(spark):
+    """Each frame of a span lies in one cell; a long span has few, however many bands it has."""
+    rng = np.random.default_rng(3)
+    spans = [(int(a), int(a + n)) for a, n in zip(rng.integers(0, 1 << 20, 200), 2 ** rng.integers(0, 21, 200), strict=True)] + [(0, 4096), (4096, 8192), (5000, 5001), (4095, 8193), (0, 1 << 24)]
+    got = spark.createDataFrame(spans, "start long, until long").select("start", "until", windows.cells("start", "until").alias("cells")).collect()
+    for start, until, cells in got:
+        parts = sorted((max(start, c * w), min(until, (c + 1) * w)) for k, c in cells for w in [windows.SPAN << max(0, k)])
+        assert parts[0][0] == start and parts[-1][1] == until and all(x[1] == y[0] for x, y in zip(parts, parts[1:]))  # noqa: B905
+        assert len(cells) <= 2 + 2 * windows.LEVELS + (until - start) // (windows.SPAN << windows.LEVELS)
