@@ -48,6 +48,8 @@ SKETCH_SHARE, INNER_SHARE, SKETCH_LEAST, SKETCH_MOST = 128, 8, 16, 24
 LONG_COLUMN, DENSE, DEPTH, NEIGHBOURS = 24, 2048, 2, 16
 #: Rows a of a block and their n-grams, rows b of a task's share of it, and the set size from which a row is a block of its own.
 BLOCK_ROWS, BLOCK_GRAMS, TASK_ROWS, LONG_ROW = 128, 2_000_000, 8192, 50_000
+#: Prefix places or pairs of a batch that a worker returns, and cells of a product that it holds at once.
+BATCH_PLACES, CELLS = 1 << 18, 1 << 20
 BROADCAST_IDS = 2_000_000
 _U = np.uint64
 
@@ -109,7 +111,7 @@ def signatures(df: DataFrame, counts: np.ndarray) -> DataFrame:
         state, level = {}, shared.value
 
         def f(c):
-            rows = []
+            rows, held = [], 0
             for k, t, groups in zip(*c, strict=True):
                 h = shingles(t, state)
                 n = len(h)
@@ -122,7 +124,12 @@ def signatures(df: DataFrame, counts: np.ndarray) -> DataFrame:
                     place = level[own >> _U(64 - bits)]
                     first = np.lexsort((own, place))[: n - least(n) + 1]
                     rows.append((k, n, f1, f2, int(1000 * place.mean()), own[first].view(np.int64)))
-            return list(zip(*rows, strict=True)) if rows else [[]] * 6
+                    held += len(first)
+                    if held >= BATCH_PLACES:  # a text may be looked at in many columns
+                        yield list(zip(*rows, strict=True))
+                        rows, held = [], 0
+            if rows:
+                yield list(zip(*rows, strict=True))
 
         return f
 
@@ -141,7 +148,7 @@ def fits(a, b):
 
 
 def grouped(df: DataFrame, make, out_schema: str) -> DataFrame:
-    """mapInArrow of f(columns as numpy arrays, last) -> columns; df's partitions are sorted by h. f gets whole runs of equal h,
+    """mapInArrow of f(columns as numpy arrays, last), which yields columns; df's partitions are sorted by h. f gets whole runs of equal h,
     but for runs longer than RUN rows, and is told whether more of the first or of the last run may be elsewhere."""
     rows = schema(out_schema)
     out = to_arrow_schema(rows)
@@ -156,29 +163,28 @@ def grouped(df: DataFrame, make, out_schema: str) -> DataFrame:
         def flush(last: bool):
             nonlocal waiting, first, held
             if not waiting:
-                return None
+                return
             t = pa.Table.from_batches(waiting).combine_chunks()
             h = t["h"].to_numpy()
             cut = len(h) if last else int(np.searchsorted(h, h[-1], "left"))
             if not cut and held < RUN:
-                return None
+                return
             whole = cut > 0
             cut = cut or len(h)
             part, rest = t.slice(0, cut), t.slice(cut)
             waiting, held = rest.to_batches() if rest.num_rows else [], rest.num_rows
             cols = {n: part[n].to_numpy() for n in part.column_names}
-            got = f(cols, first, last or not whole)
+            for got in f(cols, first, last or not whole):
+                yield pa.record_batch([pa.array(c, x.type, from_pandas=True) for c, x in zip(got, out, strict=True)], schema=out)
             first = not whole
-            return pa.record_batch([pa.array(c, x.type, from_pandas=True) for c, x in zip(got, out, strict=True)], schema=out)
 
         for batch in batches:
             if batch.num_rows:
                 waiting.append(batch)
                 held += batch.num_rows
-                if held >= RUN // 2 and (got := flush(False)) is not None:
-                    yield got
-        if (got := flush(True)) is not None:
-            yield got
+                if held >= RUN // 2:
+                    yield from flush(False)
+        yield from flush(True)
 
     return df.mapInArrow(run, rows)
 
@@ -217,7 +223,7 @@ def starred(post: DataFrame) -> DataFrame:
             pick = lambda x: x[keep]
             rim = np.zeros(len(h), bool)
             rim[start[edge]] = True
-            return [pick(h), pick(node), pick(n), pick(c["at"]), np.where(ok, node[hub], -1)[keep], pick(ok), pick(n[hub]), pick(rim)]
+            yield [pick(h), pick(node), pick(n), pick(c["at"]), np.where(ok, node[hub], -1)[keep], pick(ok), pick(n[hub]), pick(rim)]
 
         return f
 
@@ -242,33 +248,29 @@ def divided(post: DataFrame) -> DataFrame:
         def f(c, first, last):
             h, node, n, comp = c["h"], c["node"], c["n"], c["c"]
             start, size = runs(h)
-            out: list[list[np.ndarray]] = [[] for _ in range(5)]
-
-            def add(*cols):
-                for x, y in zip(out, cols, strict=True):
-                    x.append(y)
-
-            if len(start):
-                lo, hi = comp[start], comp[start + size - 1]
-                edge = np.zeros(len(start), bool)
-                edge[0], edge[-1] = first, last or edge[-1]
-                hot = (size > LONG_COLUMN) & (lo != hi) | edge
-                rows = np.repeat(hot, size)
-                own_h, own_c = h[rows], comp[rows]
-                at = np.flatnonzero(np.concatenate([[True], (own_h[1:] != own_h[:-1]) | (own_c[1:] != own_c[:-1])])) if len(own_h) else np.empty(0, np.int64)
-                many = np.diff(np.concatenate([at, [len(own_h)]]))
-                add(own_h[at], own_c[at], many * 0, many, many * 0 - 1)
-                short = np.flatnonzero(~hot & (lo != hi))
-                for back in range(1, int(size[short].max()) if len(short) else 1):
-                    on = short[size[short] > back]
+            if not len(start):
+                return
+            lo, hi = comp[start], comp[start + size - 1]
+            edge = np.zeros(len(start), bool)
+            edge[0], edge[-1] = first, last or edge[-1]
+            hot = (size > LONG_COLUMN) & (lo != hi) | edge
+            rows = np.repeat(hot, size)
+            own_h, own_c = h[rows], comp[rows]
+            at = np.flatnonzero(np.concatenate([[True], (own_h[1:] != own_h[:-1]) | (own_c[1:] != own_c[:-1])])) if len(own_h) else np.empty(0, np.int64)
+            many = np.diff(np.concatenate([at, [len(own_h)]]))
+            yield [own_h[at], own_c[at], many * 0, many, many * 0 - 1]
+            short = np.flatnonzero(~hot & (lo != hi))
+            share = np.cumsum(size[short] * (size[short] - 1) // 2) // BATCH_PLACES  # of the pairs
+            for part in np.split(short, np.flatnonzero(np.diff(share)) + 1):
+                for back in range(1, int(size[part].max()) if len(part) else 1):
+                    on = part[size[part] > back]
                     at = np.repeat(start[on], size[on] - back) + np.concatenate([np.arange(k) for k in (size[on] - back).tolist()])
                     x, y = at, at + back
                     ok = (comp[x] != comp[y]) & fits(n[x], n[y])
                     x, y = x[ok], y[ok]
                     swap = node[x] > node[y]
                     x, y = np.where(swap, y, x), np.where(swap, x, y)
-                    add(h[x], node[x], node[y], n[x], n[y])
-            return [np.concatenate(x) if x else np.empty(0, np.int64) for x in out]
+                    yield [h[x], node[x], node[y], n[x], n[y]]
 
         return f
 
@@ -362,9 +364,20 @@ def multiply(left: DataFrame, right: DataFrame, docs: DataFrame, few: bool) -> D
         now, ids, parts, sets, matrix = [None], [], [], [], [None]
 
         def built():
-            h, r = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+            size = np.array([len(x) for x in sets])
+            h, r = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), size)
+            sets.clear()
             at = np.argsort(h, kind="stable")
-            matrix[0] = h[at], r[at], np.array([len(x) for x in sets]), np.array(ids), np.array(parts)
+            matrix[0] = h[at], r[at], size, np.array(ids), np.array(parts)
+
+        def overlap(r, lo, many, n):
+            """Cells of each row of the block that lie in these columns, CELLS of them at a time, or a column's."""
+            both = np.zeros(n, np.int64)
+            share = np.cumsum(many) // CELLS
+            for part in np.split(np.arange(len(many)), np.flatnonzero(np.diff(share)) + 1):
+                a, k = lo[part], many[part]
+                both += np.bincount(r[np.repeat(a - np.cumsum(k) + k, k) + np.arange(int(k.sum()))], minlength=n)
+            return both
 
         def f(c):
             found: tuple[list, list] = ([], [])
@@ -384,13 +397,14 @@ def multiply(left: DataFrame, right: DataFrame, docs: DataFrame, few: bool) -> D
                 h, r, n, names, other = matrix[0]
                 lo, hi = np.searchsorted(h, own, "left"), np.searchsorted(h, own, "right")
                 hit = hi > lo
-                lo, many = lo[hit], (hi - lo)[hit]
-                cells = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
-                both = np.bincount(r[cells], minlength=len(n))
+                both = overlap(r, lo[hit], (hi - lo)[hit], len(n))
                 ok = fits(n, len(own)) & (both > 0) & (DEN * both >= NUM * (n + len(own) - both)) & (other != own_c)
                 found[0].extend(names[ok].tolist())
                 found[1].extend([k] * int(ok.sum()))
-            return found
+                if len(found[0]) >= BATCH_PLACES:
+                    yield found
+                    found = ([], [])
+            yield found
 
         return f
 

@@ -667,3 +667,26 @@ def test_op3_and_op8_base_columns_of_every_document(spark):
         assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest() and (not plain or set(joined.split(",")) <= set(r.spans.split(",")))
         found += len(plain)
     assert found > 100
+
+
+def test_jaccard_workers_return_bounded_batches(spark, monkeypatch):
+    """What a worker holds doesn't grow with the columns a text is looked at in, nor with a column's pairs; results stay."""
+    from tagstream.llm import jaccard
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(150)
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    groups = docs.select("doc_id", "text", F.sequence(F.lit(1), F.lit(60)).cast("array<long>").alias("groups"))
+    counts = np.zeros(1 << 16, np.uint32)
+    want, signed = rows(jaccard.similar(docs)), rows(jaccard.signatures(groups, counts).select("doc_id", "n_shingles", "common", F.xxhash64("prefix")))
+    monkeypatch.setattr(jaccard, "BATCH_PLACES", 64)
+    monkeypatch.setattr(jaccard, "CELLS", 32)
+    assert rows(jaccard.similar(docs)) == want
+    assert rows(jaccard.signatures(groups, counts).select("doc_id", "n_shingles", "common", F.xxhash64("prefix"))) == signed
+    monkeypatch.setattr(jaccard, "map_rows", lambda df, make, schema: make)
+    batches = list(jaccard.signatures(groups, counts)()([[1], ["a b c d e f g h"], [list(range(60))]]))
+    assert sum(len(b[0]) for b in batches) == 60 and all(sum(map(len, b[5][:-1])) < 64 for b in batches) and len(batches) > 1
+    monkeypatch.setattr(jaccard, "grouped", lambda df, make, schema: make)
+    make = jaccard.divided(spark.createDataFrame([(1, 1, 1, 1)], "h long, node long, n long, c long"))
+    node = np.arange(2000)
+    parts = list(make()({"h": node // 20, "node": node, "n": np.full(2000, 9), "c": node}, False, False))
+    assert sum(len(p[0]) for p in parts) == 100 * 190 and max(len(p[0]) for p in parts) <= 64
