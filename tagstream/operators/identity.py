@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.dialect import adapter, frame
-from .association import Association
+from .association import Association, Associations
 
 REACH, MISSES = 400.0, 15
 MAX_AGE, LEAST_OVERLAP = 150, 0.2
 CONFIGS = [(30, 0.3), (60, 0.3), (90, 0.3), (125, 0.2), (150, 0.3), (200, 0.2), (200, 0.1)]
+#: Parts of the configurations: more use more cores, and more time of each. Partitions over which a part's videos are dealt.
+PARTS, PLACES = 2, 128
 
 
 def follow(state: dict, boxes: np.ndarray, reach: float = REACH, misses: int = MISSES) -> list[int]:
@@ -60,8 +62,9 @@ def ended(batches):
     yield None, True
 
 
-def folded(df: DataFrame, keys: list[str], step, schema: str) -> DataFrame:
-    """step(state, rows of whole frames) -> rows, for each key in frame order. A task streams its sorted rows in batches: what it holds is a batch and the state."""
+def folded(df: DataFrame, keys: list[str], step, schema: str, places: int | None = None) -> DataFrame:
+    """step(state, rows of whole frames) -> rows, for each key in frame order. A task streams its sorted rows in batches: what it holds is a batch and the state.
+    places: partitions, which Spark leaves apart then, as few rows may be much work."""
 
     def run(batches):
         kept, state, now = None, {}, None
@@ -80,7 +83,7 @@ def folded(df: DataFrame, keys: list[str], step, schema: str) -> DataFrame:
                         now, state = tuple(names[a, :-1]), {}
                     yield step(state, pdf.iloc[a:z])
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, "frame", "det_idx").mapInPandas(run, schema)
+    return df.repartition(*([places] if places else []), *keys).sortWithinPartitions(*keys, "frame", "det_idx").mapInPandas(run, schema)
 
 
 def tracked(state: dict, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -116,12 +119,17 @@ def alive_ids(spark, sf_dir):
     return folded(tags_of(spark, sf_dir), ["video"], alive, "video long, frame long, n long, ids string")
 
 
-def associated(state: dict, pdf: pd.DataFrame, max_age: int = MAX_AGE, least: float = LEAST_OVERLAP) -> pd.DataFrame:
-    """Tracks of these rows of whole frames, and whether a track shows yet; the state holds the live tracks."""
-    tracks = state.setdefault("tracks", Association(max_age, least))
+def associations(tracks: Associations, pdf: pd.DataFrame):
+    """What follow() finds in each frame of these rows."""
     at, boxes, conf = pdf["frame"].to_numpy(), pdf[["x1", "y1", "x2", "y2"]].to_numpy(float), pdf["conf"].to_numpy(float)
     cuts = [0, *(np.flatnonzero(at[1:] != at[:-1]) + 1).tolist(), len(at)]
-    found = [tracks.follow(int(at[a]), boxes[a:z], conf[a:z]) for a, z in zip(cuts, cuts[1:])]  # noqa: B905
+    for a, z in zip(cuts, cuts[1:]):  # noqa: B905
+        yield tracks.follow(int(at[a]), boxes[a:z], conf[a:z])
+
+
+def associated(state: dict, pdf: pd.DataFrame, max_age: int = MAX_AGE, least: float = LEAST_OVERLAP) -> pd.DataFrame:
+    """Tracks of these rows of whole frames, and whether a track shows yet; the state holds the live tracks."""
+    found = associations(state.setdefault("tracks", Association(max_age, least)), pdf)
     ids, shows = (np.concatenate(x) for x in zip(*found, strict=True))
     return pd.DataFrame({"video": pdf["video"], "frame": pdf["frame"], "det_idx": pdf["det_idx"], "track_id": ids, "shown": shows})
 
@@ -138,17 +146,18 @@ def motion_tracks(spark, sf_dir):
 
 
 def replayed(state: dict, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Ids that show for the first time in these frames, and births: those that did not show in the frame before. max_age and least are the configuration's."""
-    tracks = state.setdefault("tracks", Association(int(pdf["max_age"].iloc[0]), float(pdf["least"].iloc[0])))
-    before = tracks.ids_shown, tracks.births
-    associated(state, pdf)
-    return pd.DataFrame({"config": [pdf["config"].iloc[0]], "ids": [tracks.ids_shown - before[0]], "births": [tracks.births - before[1]]})
+    """For each configuration of this part: ids that show for the first time in these frames, and births: those that did not show in the frame before."""
+    part = int(pdf["part"].iloc[0])
+    tracks = state.setdefault("tracks", Associations(*zip(*CONFIGS[part::PARTS], strict=True)))
+    before = tracks.ids_shown.copy(), tracks.births.copy()
+    for _ in associations(tracks, pdf):
+        pass
+    return pd.DataFrame({"config": range(part, len(CONFIGS), PARTS), "ids": tracks.ids_shown - before[0], "births": tracks.births - before[1]})
 
 
 @frame("param_sweep")
 def param_sweep(spark, sf_dir):
-    """Ids that show, and births, of each configuration, replayed in parallel over the same input; best is the first of the fewest ids."""
-    configs = F.explode(F.array(*(F.struct(F.lit(k).alias("config"), F.lit(a).alias("max_age"), F.lit(b).alias("least")) for k, (a, b) in enumerate(CONFIGS))))
-    rows = animals(spark, sf_dir).select("*", configs.alias("c")).select("*", "c.*").drop("c")
-    sums = folded(rows, ["config", "video"], replayed, "config int, ids long, births long").groupBy("config").agg(F.sum("ids").alias("ids"), F.sum("births").alias("births"))
+    """Ids that show, and births, of each configuration, replayed over the same input; best is the first of the fewest ids. A task follows a video under the configurations of a part at once."""
+    rows = animals(spark, sf_dir).select("*", F.explode(F.array(*map(F.lit, range(PARTS)))).alias("part"))
+    sums = folded(rows, ["part", "video"], replayed, "config int, ids long, births long", PLACES).groupBy("config").agg(F.sum("ids").alias("ids"), F.sum("births").alias("births"))
     return sums.withColumn("best", F.row_number().over(Window.orderBy("ids", "config")) == 1)  # a row a configuration

@@ -298,6 +298,28 @@ def plain_association(rows, max_age, least):
     return out, len(shown), births
 
 
+def test_settings_followed_at_once_are_as_each_alone(monkeypatch):
+    """A sweep's settings share the steps over a frame; frames without boxes, tracks that wait for their first match, and ends included."""
+    from tagstream.operators import association
+    from tagstream.operators.identity import CONFIGS
+
+    rng, rows, at, steps = np.random.default_rng(6), [], 0, [0]
+    for k in range(120):
+        at += 45 if k == 60 else int(rng.integers(1, 5))
+        n = int(rng.integers(1, 7))
+        corner = rng.integers(0, 300, (n, 2)).astype(float)
+        rows.append((at, np.concatenate([corner, corner + rng.integers(60, 180, (n, 2))], axis=1), rng.uniform(0.3, 0.9, n)))
+    plain = association.predict
+    monkeypatch.setattr(association, "predict", lambda m: steps.append(steps.pop() + 1) or plain(m))
+    tracks = association.Associations(*zip(*CONFIGS, strict=True))
+    got = [tracks.follow(*x) for x in rows]
+    assert steps[0] <= at + 1
+    for k, setting in enumerate(CONFIGS):
+        found, shown, births = plain_association([(f, b.tolist(), c.tolist()) for f, b, c in rows], *setting)
+        assert [(ids[k].tolist(), shows[k].tolist()) for ids, shows in got] == [(ids, [bool(x) for x in shows]) for ids, shows in found]
+        assert (tracks.ids_shown[k], tracks.births[k]) == (shown, births)
+
+
 def test_motion_tracks_and_sweep_against_plain_tracker(spark):
     from tagstream.operators.identity import CONFIGS
 
