@@ -519,6 +519,16 @@ def test_rate_of_rows_that_took_no_time(spark, tmp_path):
     assert got == want and sum("inf" in r for r in got) == 2
 
 
+def test_rate_is_rounded_as_in_sql(spark, tmp_path):
+    """Rates that end in a five at the fifth decimal, and very high ones: decimal rounding gives 22.1021 for the first."""
+    value = [45.244671874328404, 1.1663109904108826, 1.846854230104186, 2.4799216245569777, 1e-11, 3e-12, 7e-300, 1e-304, 51.2, 30.0]
+    n = len(value)
+    at = pd.Timestamp("2024-01-01").as_unit("us") + pd.to_timedelta(range(n), unit="s").as_unit("us")
+    events = {"event_id": range(n), "ts": at, "user_id": range(n), "event_type": "view", "value": value, "props": ""}
+    got, want = sql_and_query(spark, tmp_path, "fps_ma", events=events)
+    assert got == want
+
+
 def test_beads_on_the_axis(spark, tmp_path):
     parts = [310151, 312343, 315260, 337145, 338727, 337211, 332853, 334937, 323331]
     beads = {"l_orderkey": [2294438] * 3 + [2491480] * 6, "l_linenumber": [1, 2, 3, 1, 2, 3, 4, 5, 6], "l_partkey": parts, "l_suppkey": [15735, 15694, 15068, 16377, 16834, 16092, 16751, 16931, 16764]}
