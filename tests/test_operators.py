@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import duckdb
 import numpy as np
 import pandas as pd
@@ -598,3 +600,32 @@ def test_spans_are_cut_into_few_cells(spark):
         parts = sorted((max(start, c * w), min(until, (c + 1) * w)) for k, c in cells for w in [windows.SPAN << max(0, k)])
         assert parts[0][0] == start and parts[-1][1] == until and all(x[1] == y[0] for x, y in zip(parts, parts[1:]))  # noqa: B905
         assert len(cells) <= 2 + 2 * windows.LEVELS + (until - start) // (windows.SPAN << windows.LEVELS)
+
+
+def test_cells_grow_with_the_logarithm_of_the_frames(spark):
+    for end in (1 << 20, 36_000_000, 1 << 36):
+        top = windows.levels(end)
+        (found,) = spark.sql(f"SELECT 1L AS start, {end}L AS until").select(windows.cells("start", "until", top)).first()
+        assert len(found) <= 2 + 2 * top + 2 * windows.WIDE
+
+
+@pytest.mark.parametrize("span", [1, 64])
+def test_swaps_on_many_levels_equal_their_sql(spark, tmp_path, monkeypatch, span):
+    """Few tracks and codes, with runs of unread rows, long ones too; more levels than a small table has."""
+    monkeypatch.setattr(windows, "SPAN", span)
+    monkeypatch.setattr(windows, "LEVELS", 0)
+    monkeypatch.setattr(windows, "WIDE", 2)
+    rng = np.random.default_rng(5)
+    n = 3000
+    at = pd.Timestamp("2024-01-01").as_unit("us") + pd.to_timedelta(rng.integers(0, 2000, n), unit="s").as_unit("us")
+    kind = np.where(rng.random(n) < 0.3, "error", np.where(rng.random(n) < 0.7, "view", "click"))
+    kind[np.argsort(at.to_numpy(), kind="stable")[1200:1900]] = "error"
+    events = {"event_id": rng.permutation(n), "ts": at, "user_id": rng.integers(0, 9, n), "event_type": kind, "value": 1.0, "props": ""}
+    got, want = sql_and_query(spark, tmp_path, "possible_swaps", events=events)
+    assert got == want and len(got) > 100
+
+
+def test_swaps_checkpoint_no_rows(spark):
+    held = lambda: {str(f) for f in Path(spark.conf.get("spark.checkpoint.dir")).rglob("rdd-*")}
+    before = held()
+    assert catalog.QUERIES["possible_swaps"](spark, SF).count() and held() == before
